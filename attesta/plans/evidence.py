@@ -10,7 +10,35 @@ from attesta.plans import duck, fixtures as fx, query
 
 
 def cells(t):
-    return t.sql(fx.CELLS).withColumn("bbox", F.lit(None).cast(U.BBOX))
+    """The grid of `fixtures.CELLS` in two scans: one pass over the parts, one over the tables."""
+
+    def cell(idx, top, bottom, left, right, text, header=False, row_header=False, section=False):
+        as_col = lambda v: v if not isinstance(v, (int, bool, str)) else F.lit(v)
+        return F.struct(
+            as_col(idx).cast("int").alias("idx"), as_col(top).cast("int").alias("row_start"),
+            as_col(bottom).cast("int").alias("row_end"), F.lit(left).alias("col_start"), F.lit(right).alias("col_end"),
+            F.lit(header).alias("column_header"), as_col(row_header).alias("row_header"),
+            F.lit(section).alias("row_section"), as_col(text).alias("text"))
+
+    g = t.sql(fx.GRID_BASE)
+    key, r, size = F.col("p_partkey"), F.col("r"), F.col("p_size").cast("string")
+    code = F.when(key % 5 == 0, F.concat(size, F.lit(" "), key.cast("string"))).otherwise("n/a")
+    price = F.concat(F.floor("p_retailprice").cast("int").cast("string"), F.lit(".5"))
+    rows = F.array_compact(F.array(
+        F.when(F.col("p_size") % 10 == 0,
+               cell(key * 8 + 8, r - 1, r, 0, 4, F.concat(F.lit("Group "), "p_name"), section=True)),
+        cell(key * 8 + 9, r, r + 1, 0, 1, F.col("p_name"), row_header=key % 3 != 0),
+        cell(key * 8 + 10, r, r + 1, 1, 2, size),
+        cell(key * 8 + 11, r, r + 1, 2, 3, price),
+        cell(key * 8 + 12, r, F.when(key % 7 == 0, r + 2).otherwise(r + 1), 3, 4, code),
+    ))
+    heads = F.array(
+        cell(0, 0, 1, 0, 1, "-", True), cell(1, 0, 1, 1, 3, F.col("document_id"), True), cell(2, 0, 1, 3, 4, "Codes", True),
+        cell(3, 1, 2, 1, 2, "Size ↓", True), cell(4, 1, 2, 2, 3, "Price ↑", True))
+    return (
+        g.select("document_id", "item_ref", F.inline(rows))
+        .unionByName(g.select("document_id", "item_ref").distinct().select("document_id", "item_ref", F.inline(heads)))
+        .withColumn("bbox", F.lit(None).cast(U.BBOX)))
 
 
 def grid_items(t):

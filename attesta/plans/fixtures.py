@@ -68,7 +68,7 @@ SELECT concat('r', CAST(p_partkey AS STRING)) AS result_id, document_id, item_re
        'Price' AS metric,
        CASE WHEN p_partkey % 17 = 0 THEN 'lower' ELSE 'higher' END AS direction,
        concat(CAST(CAST(floor(p_retailprice) AS INT) AS STRING), CASE WHEN p_partkey % 19 = 0 THEN '.6' ELSE '.5' END) AS raw_value,
-       CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE floor(p_retailprice) + CASE WHEN p_partkey % 29 = 0 THEN 0.25 ELSE 0.5 END END AS numeric_value,
+       CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE CAST(floor(p_retailprice) + CASE WHEN p_partkey % 29 = 0 THEN 0.25 ELSE 0.5 END AS DOUBLE) END AS numeric_value,
        concat(item_ref, '::cell:', CAST(CASE WHEN p_partkey % 31 = 0 THEN 99999999 ELSE p_partkey * 8 + 11 END AS STRING)) AS value_ref,
        concat(item_ref, '::cell:', CAST(p_partkey * 8 + 9 AS STRING)) AS method_ref,
        concat(item_ref, '::cell:', CASE WHEN p_partkey % 37 = 0 THEN '3' ELSE '4' END) AS metric_ref,
