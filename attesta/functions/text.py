@@ -40,15 +40,13 @@ MULTIPLE_NUMBERS = rf"^{NUMBER}(?:\s+{NUMBER})+$"
 
 @F.pandas_udf(T.StringType())
 def _nfkc_casefold(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold(),
-        na_action="ignore",
-    )
+    folded = [v if v is None else unicodedata.normalize("NFKC", v).casefold() for v in values.astype(object).where(values.notna(), None)]
+    return pd.Series(folded, dtype=object)
 
 
 @F.pandas_udf(T.StringType())
 def _casefold(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else v.casefold(), na_action="ignore")
+    return pd.Series([v if v is None else v.casefold() for v in values.astype(object).where(values.notna(), None)], dtype=object)
 
 
 def col(c: Column | str) -> Column:

@@ -35,7 +35,7 @@ def _long_spans(limit: int):
     @F.pandas_udf(SPAN)
     def spans(values: pd.Series) -> pd.Series:
         def one(value):
-            if value is None:
+            if not isinstance(value, str):
                 return None
             found, start = [], 0
             while start < len(value):
@@ -47,7 +47,7 @@ def _long_spans(limit: int):
                 start = end
             return found
 
-        return values.map(one)
+        return pd.Series([one(v) for v in values], dtype=object)
 
     return spans
 

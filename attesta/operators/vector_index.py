@@ -213,8 +213,9 @@ def _scan_with(queries: list, k: int):
 def _tile(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [part.split()[0] for part in HIT_SCHEMA.split(", ")]
+        text = {n: object for n in names[:4]}
         if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: [] for n in names}).astype(text)
         found = _distances(_unit(np.stack(right["embedding"].to_list())), _unit(np.stack(left["embedding"].to_list())))
         best = _Best(k)
         ordinals, ids = left["ordinal"].to_numpy(), left["chunk_id"].tolist()
@@ -224,7 +225,7 @@ def _tile(k: int):
             (right["index_id"].iat[q], right["query_id"].iat[q], right["channel"].iat[q], c, o, float(d))
             for q, c, o, d in best.rows()
         ]
-        return pd.DataFrame(rows, columns=names)
+        return pd.DataFrame(rows, columns=names).astype(text)
 
     return run
 

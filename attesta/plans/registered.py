@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from attesta.plans import attribution, chunking, evidence  # noqa: F401
+from attesta.plans import answering, attribution, chunking, evidence, searching  # noqa: F401
