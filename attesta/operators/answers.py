@@ -150,13 +150,26 @@ def unfenced(content: Column) -> Column:
     return F.when(fenced, inner).otherwise(body)
 
 
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns evaluated once per row: a generator keeps the optimizer from inlining
+    the expressions into each of their many uses."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """answers(answer_id, content) with the parsed value; null `answer` means invalid JSON."""
-    body = unfenced(F.col("content"))
+    """answers(answer_id, content) with the parsed value and its root keys; null `answer`
+    means invalid JSON."""
+    read = _computed(answers, body=unfenced(F.col("content")))
+    body = F.col("body")
     # The JSON reader stops after the first value; wrapping exposes trailing text.
     wrapped = [F.concat(F.lit("["), body, F.lit("]")), F.concat(F.lit('{"v":'), body, F.lit("}"))]
     whole = F.try_parse_json(wrapped[0]).isNotNull() & F.try_parse_json(wrapped[1]).isNotNull()
-    return answers.withColumn("body", body).withColumn("answer", F.when(whole, F.from_json("body", ANSWER)))
+    none = F.array().cast("array<string>")
+    return _computed(
+        read,
+        answer=F.when(whole, F.from_json(body, ANSWER)),
+        root_keys=F.coalesce(F.json_object_keys(body), none),
+    )
 
 
 def _trimmed_length(c: Column) -> Column:
@@ -180,7 +193,7 @@ def schema_issues(parsed: DataFrame) -> DataFrame:
     """Structural faults: (answer_id, path, rule)."""
     root = parsed.where("answer IS NOT NULL")
     a = F.col("answer")
-    keys = F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>"))
+    keys = F.col("root_keys")
     absent = lambda name: ~F.array_contains(keys, name)
     fields = ("status", "claims", "missing_information")
     rules = F.array_compact(
@@ -294,7 +307,7 @@ def retain_cited_claims(answers: DataFrame, sources: DataFrame) -> DataFrame:
 def restore_status(answers: DataFrame) -> DataFrame:
     """Absent status rebuilt from claims and missing information; nothing else is touched."""
     parsed = parse_answers(answers)
-    keys = F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>"))
+    keys = F.col("root_keys")
     claims = F.size("answer.claims")
     missing = _trimmed_length(F.col("answer.missing_information")) > 0
     status = F.when((claims > 0) & missing, "partial").when(claims > 0, "answered").when(missing, "insufficient_evidence")

@@ -5,13 +5,12 @@ items(document_id, pos, item_ref, label, level, text[, parent_ref, orig])
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions import skew, text
+from attesta.functions import packing, skew, text
 from attesta.functions.text import pieces, squash, strip
 
 DOC = ["document_id"]
@@ -98,7 +97,7 @@ def item_status(items: DataFrame, captions: DataFrame, *, include_bibliography:
         .when(~holder & blank, F.struct(F.lit("unresolved").alias("status"), F.when(F.col("label") == "formula", "empty_original_formula").otherwise("empty_source_text").alias("reason")))
         .otherwise(F.struct(F.lit("included").alias("status"), F.lit("serialized_source_content").alias("reason")))
     )
-    return rows.drop("__owned").withColumn("__s", status).select("*", "__s.status", "__s.reason").drop("__s")
+    return rows.withColumn("__s", status).select("*", "__s.status", "__s.reason").drop("__s", "__owned")
 
 
 def accounting(status: DataFrame, captions: DataFrame, serialized: DataFrame) -> DataFrame:
@@ -336,62 +335,42 @@ def max_tokens(records: DataFrame, count: Callable[[Column], Column] = token_cou
     return records.groupBy(*DOC).agg(F.max(count(F.col("record_text"))).alias("max_record_tokens"))
 
 
-def _island_starts(rows: DataFrame, limit: int, small: int) -> DataFrame:
-    """Cut points that need no running state: heading change, non-prose, definition, large pair."""
-    previous = skew.neighbour(
-        rows, DOC, "n",
-        {"p_prose": "prose", "p_headings": "headings", "p_size": "size", "p_body": "body"},
-    )
-    definition = F.lower("p_body").rlike(r"^(where |and )") & F.col("body").rlike(DEFINITION)
-    cut = (
-        F.col("p_prose").isNull() | ~F.col("prose") | ~F.col("p_prose") | ~(F.col("headings") <=> F.col("p_headings") if False else F.col("headings").eqNullSafe(F.col("p_headings")))
-        | definition | (F.least("p_size", "size") >= small)
-    )
-    return previous.withColumn("cut", F.coalesce(cut, F.lit(True)))
-
-
 def join_islands(records: DataFrame, count: Callable[[Column], Column] = token_count, limit: int = WINDOW_TOKENS, small: int = SMALL_TOKENS) -> DataFrame:
     """Adjacent small prose under one heading path joined up to the token limit.
 
-    records(document_id, n (dense order), record_id, prose, headings, prefix, body).  Hard cuts
-    are found with equi-joins; only a run between two hard cuts is folded in order.  A run
-    is split into bounded segments: no joined record exceeds the limit, so a fold over one
-    run carries a single running size.
+    records(document_id, n (dense order), record_id, prose, headings, prefix, body).  Cuts that
+    depend only on a row and its predecessor are found by an equi-join on the order; the
+    running token limit is applied by exact greedy packing.
     """
     sized = records.withColumn("size", count(F.col("body"))).withColumn("prefix_size", count(F.col("prefix")))
-    marked = _island_starts(sized, limit, small)
-    runs = skew.running_sum(marked, DOC, "n", F.col("cut").cast("int"), "run")
-    schema = "document_id string, run long, n long, island long"
-
-    def fold(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, used = None, 0
-        for frame in batches:
-            out = []
-            for n, size, prefix in zip(frame["n"], frame["size"], frame["prefix_size"]):
-                if island is None or used + size > limit:
-                    island, used = n, prefix + size
-                else:
-                    used += size
-                out.append(island)
-            yield pd.DataFrame({"document_id": frame["document_id"], "run": frame["run"], "n": frame["n"], "island": out})
-
-    slim = runs.select("document_id", "run", "n", "size", "prefix_size")
-    alone = Window.partitionBy("document_id", "run")
-    counted = slim.withColumn("__k", F.count("*").over(alone))
-    single = counted.where("__k = 1").select("document_id", "run", "n", F.col("n").alias("island"))
-    folded = _ordered_fold(counted.where("__k > 1").drop("__k"), ["document_id", "run"], "n", fold, schema)
-    islands = single.unionByName(folded)
-    joined = records.join(islands.select("document_id", "n", "island"), ["document_id", "n"])
+    previous = skew.neighbour(
+        sized, DOC, "n", {"p_prose": "prose", "p_headings": "headings", "p_size": "size", "p_body": "body"}
+    )
+    definition = F.lower("p_body").rlike(r"^(where |and )") & F.col("body").rlike(DEFINITION)
+    cut = (
+        F.col("p_prose").isNull()
+        | ~F.col("prose")
+        | ~F.col("p_prose")
+        | ~F.col("headings").eqNullSafe(F.col("p_headings"))
+        | definition
+        | (F.least("p_size", "size") >= small)
+    )
+    islands = packing.greedy_groups(
+        previous.select(*records.columns, "size", "prefix_size", cut.alias("__cut")), DOC, "n",
+        F.col("size"), limit, extra=F.col("prefix_size"), force=F.col("__cut"),
+    )
+    first = F.element_at("r", 1)["record_id"]
     return (
-        joined.groupBy("document_id", "island")
+        islands.groupBy(*DOC, F.col("group_no").alias("island"))
         .agg(
-            F.sort_array(F.collect_list(F.struct("n", "record_id", "body"))).alias("r"),
+            F.array_sort(F.collect_list(F.struct("n", "record_id", "body"))).alias("r"),
             F.min_by("prefix", "n").alias("prefix"),
             F.min_by("prose", "n").alias("prose"),
         )
         .select(
-            "document_id", "island",
-            F.when(F.size("r") > 1, F.concat(F.element_at("r", 1)["record_id"], F.lit(":joined"))).otherwise(F.element_at("r", 1)["record_id"]).alias("record_id"),
+            *DOC,
+            "island",
+            F.when(F.size("r") > 1, F.concat(first, F.lit(":joined"))).otherwise(first).alias("record_id"),
             F.col("r.record_id").alias("parent_record_ids"),
             F.concat("prefix", F.array_join("r.body", "\n\n")).alias("record_text"),
             "prose",
@@ -399,40 +378,6 @@ def join_islands(records: DataFrame, count: Callable[[Column], Column] = token_c
     )
 
 
-def _ordered_fold(df: DataFrame, keys: list[str], order: str, fold, schema: str) -> DataFrame:
-    """Stream each group in order through a small-state Python fold, one Arrow batch at a time."""
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, order)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"key": None, "rows": None}
-        for frame in batches:
-            same = frame[keys].apply(tuple, axis=1)
-            change = same.ne(same.shift()).cumsum()
-            for _, part in frame.groupby(change, sort=False):
-                key = tuple(part[keys].iloc[0])
-                if key != state["key"]:
-                    state["key"], state["feed"] = key, _Feed(fold, key)
-                yield state["feed"].push(part)
-
-    return sorted_rows.mapInPandas(run, schema)
-
-
-class _Feed:
-    """Runs a generator fold over the frames of one group as they arrive."""
-
-    def __init__(self, fold, key):
-        self.queue: list = []
-        self.out = fold(key, self._frames())
-
-    def _frames(self):
-        while True:
-            yield self.queue.pop(0)
-
-    def push(self, frame):
-        self.queue.append(frame)
-        return next(self.out)
-
-
 def merged_provenance(islands: DataFrame, records: DataFrame) -> DataFrame:
     """Item references and pages of all parents of a joined record.
 
@@ -473,30 +418,13 @@ def missing_headings(chunks: DataFrame, requested: DataFrame) -> DataFrame:
 def token_batches(chunks: DataFrame, limit: int, count: Callable[[Column], Column] = token_count) -> DataFrame:
     """Batches per heading in order: never over the limit, oversize chunks alone, nothing cut.
 
-    chunks(document_id, n, chunk_id, heading, rendered).  Each (document, heading) group is
-    streamed in order with two integers of state, so a large group needs no memory.
+    chunks(document_id, n, chunk_id, heading, rendered)
     """
-    rows = chunks.select("document_id", "heading", F.col("n").cast("long"), "chunk_id", count(F.col("rendered")).cast("long").alias("cost"))
-    schema = "document_id string, heading string, n long, chunk_id string, cost long, batch long, oversize boolean"
-
-    def fold(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, used, opened = -1, 0, False
-        for frame in batches:
-            numbers, large = [], []
-            for cost in frame["cost"]:
-                if cost > limit:
-                    batch, used, opened = batch + 1, 0, False
-                    numbers.append(batch)
-                    large.append(True)
-                    continue
-                if not opened or used + cost > limit:
-                    batch, used, opened = batch + 1, 0, True
-                used += cost
-                numbers.append(batch)
-                large.append(False)
-            yield frame.assign(batch=numbers, oversize=large)
-
-    return _ordered_fold(rows, ["document_id", "heading"], "n", fold, schema)
+    rows = chunks.select(*DOC, "heading", "n", "chunk_id", count(F.col("rendered")).alias("cost"))
+    large = F.col("cost") > limit
+    return packing.greedy_groups(rows, [*DOC, "heading"], "n", F.col("cost"), limit, alone=large).select(
+        *DOC, "heading", "n", "chunk_id", "cost", F.col("group_no").alias("batch"), large.alias("oversize")
+    )
 
 
 def render_chunk(refs: Column, pages: Column, body: Column) -> Column:
