@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from attesta.plans import answering, attribution, chunking, evidence, preparing, searching  # noqa: F401
+from attesta.plans import answering, attribution, chunking, evidence, graphing, operations, preparing, searching  # noqa: F401
