@@ -311,20 +311,20 @@ def candidates(t):
 
 def decisions(t):
     verdict = F.when(F.col("candidate_id") % 3 == 0, "supported").when(F.col("candidate_id") % 3 == 1, "unsupported").otherwise("uncertain")
-    return candidates(t).where("NOT (batch_id LIKE 'src7%' AND candidate_id % 2 = 0)").select("batch_id", "candidate_id", verdict.alias("verdict"))
+    return candidates(t).where("NOT (batch_id LIKE 'src1%' AND candidate_id % 2 = 1)").select("batch_id", "candidate_id", verdict.alias("verdict"))
 
 
 query(
     "review_faults",
     "H15",
-    "SELECT concat(source, '-', doc_id % 3) AS batch_id, doc_id AS candidate_id, 'omitted' AS fault FROM documents WHERE source LIKE 'src7%' AND doc_id % 2 = 0",
+    "SELECT concat(source, '-', doc_id % 3) AS batch_id, doc_id AS candidate_id, 'omitted' AS fault FROM documents WHERE source LIKE 'src1%' AND doc_id % 2 = 1",
 )(lambda t: R.review_faults(candidates(t), decisions(t)))
 query(
     "apply_review",
     "H15",
     f"""WITH {D_P}, c AS (SELECT concat(document_id, '-', batch_id) AS batch_id, rel_id, document_id, reasons FROM pr)
 SELECT batch_id, rel_id AS candidate_id, len(reasons) = 0 AND rel_id % 3 = 0 AS accepted, array_to_string(list_sort(list_concat(reasons, CASE rel_id % 3 WHEN 1 THEN ['semantic_review_unsupported'] WHEN 2 THEN ['semantic_review_uncertain'] ELSE [] END)), ';') AS reasons
-FROM c WHERE batch_id NOT IN (SELECT concat(source, '-', doc_id % 3) FROM documents WHERE source LIKE 'src7%' AND doc_id % 2 = 0)""",
+FROM c WHERE batch_id NOT IN (SELECT concat(source, '-', doc_id % 3) FROM documents WHERE source LIKE 'src1%' AND doc_id % 2 = 1)""",
 )(lambda t: R.apply_review(candidates(t), decisions(t)).select("batch_id", "candidate_id", "accepted", F.array_join("reasons", ";").alias("reasons")))
 
 # ---- research records ----------------------------------------------------------------

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from attesta.plans import answering, attribution, chunking, evidence, graphing, knowledge, operations, preparing, searching, sourcing  # noqa: F401
+from attesta.plans import answering, attribution, chunking, contexting, evidence, graphing, knowledge, operations, preparing, searching, sourcing  # noqa: F401
