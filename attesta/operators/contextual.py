@@ -91,14 +91,16 @@ def contextual_chunks(
     are split; the heading path is part of the budget and of the contextualized text.
     """
     parts = _pieces(items, max_tokens, tokens).withColumn("__order", F.col("pos") * max_parts + F.col("part"))
-    numbered = skew.ordinal(parts, DOC, "__order", "n", block=skew.BLOCK * max_parts).withColumn("n", F.col("n").cast("long"))
-    previous = skew.neighbour(numbered, DOC, "n", {"__ph": "headings", "__pl": "lead"})
-    change = F.col("__ph").isNull() | ~F.col("__ph").eqNullSafe(F.col("headings")) | ~F.col("__pl").eqNullSafe(F.col("lead"))
+    before = skew.carry_last(
+        parts, DOC, "__order", {"__before": F.struct("headings", "lead")}, inclusive=False, block=skew.BLOCK * max_parts
+    )
+    change = ~F.col("__before").eqNullSafe(F.struct("headings", "lead"))
     grouped = packing.greedy_groups(
-        previous.withColumn("__force", change).drop("__ph", "__pl"), DOC, "n", F.col("cost"), max_tokens, extra=F.col("overhead"), force=F.col("__force")
+        before.withColumn("__force", change).drop("__before"), DOC, "__order", F.col("cost"), max_tokens,
+        extra=F.col("overhead"), force=F.col("__force"), block=packing.BLOCK * max_parts,
     )
-    piece = F.struct("n", "item_ref", "label", "body", "part", "pages", "lead")
-    chunks = grouped.groupBy(*DOC, F.col("group_no").alias("chunk_no")).agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min_by("headings", "n").alias("headings"))
+    piece = F.struct(F.col("__order").alias("n"), "item_ref", "label", "body", "part", "pages", "lead")
+    chunks = grouped.groupBy(*DOC, F.col("group_no").alias("chunk_no")).agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min_by("headings", "__order").alias("headings"))
     # A split item continues without a separator; different items start a new line.
     joined = F.aggregate(
         "p", F.lit(""), lambda acc, x: F.when(acc == "", x["body"]).when(x["part"] > 0, F.concat(acc, x["body"])).otherwise(F.concat(acc, F.lit("\n"), x["body"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions.stage import stage
 from attesta.operators import checks as C
 from attesta.operators import units as U
 from attesta.plans import duck, fixtures as fx, query
@@ -36,7 +37,8 @@ def nested_records(t):
 
 
 def checked(t):
-    return C.check_records(records(t), links(t), grid_units(t), U.full_context(cells(t), t.sql(fx.ITEM_CONTEXT)))
+    context = stage(U.full_context(cells(t), t.sql(fx.ITEM_CONTEXT)))
+    return C.check_records(records(t), links(t), grid_units(t), context)
 
 
 def flat(df):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions.stage import stage
 from attesta.operators import contextual as K
 from attesta.operators import preparation as P
 from attesta.plans import query
@@ -13,11 +14,11 @@ BUDGET = 240
 
 
 def items(t):
-    return P.breadcrumbs(headed(t)).withColumn("pages", F.array((1 + F.col("pos") % 40).cast("int")))
+    return stage(P.breadcrumbs(headed(t)).withColumn("pages", F.array((1 + F.col("pos") % 40).cast("int"))))
 
 
 def chunks(t):
-    return K.contextual_chunks(items(t), BUDGET)
+    return stage(K.contextual_chunks(items(t), BUDGET))
 
 
 # Oracle: cut every item to its room, number the parts, then pack them one after the other.

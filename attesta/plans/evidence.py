@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.functions import text as tx
+from attesta.functions.stage import stage
 from attesta.operators import units as U
 from attesta.plans import duck, fixtures as fx, query
 
@@ -57,7 +57,7 @@ def text_items(t):
 
 def grid_units(t):
     items = U.item_units(grid_items(t))
-    return items.unionByName(U.cell_units(cells(t), items), allowMissingColumns=True)
+    return stage(items.unionByName(U.cell_units(cells(t), items), allowMissingColumns=True))
 
 
 D_CELLS = duck(fx.CELLS)

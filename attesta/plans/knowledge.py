@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions.stage import stage
 from attesta.functions.text import metric_name
 from attesta.operators import extraction as X
 from attesta.operators import relations as R
@@ -70,7 +71,7 @@ rr AS (SELECT rk.response_id, rk.pos, rk.kind, a.name AS an, b.name AS bn, k1, k
 
 
 def checked_entities(t):
-    return X.check_entities(entities(t), responses(t))
+    return stage(X.check_entities(entities(t), responses(t)))
 
 
 def checked_relations(t):
@@ -394,11 +395,11 @@ def plain_cells(t):
 
 def plain_units(t):
     items = U.item_units(grid_items(t))
-    return items.unionByName(U.cell_units(plain_cells(t), items), allowMissingColumns=True)
+    return stage(items.unionByName(U.cell_units(plain_cells(t), items), allowMissingColumns=True))
 
 
 def plain_labels(t):
-    return U.table_labels(U.item_units(grid_items(t)), U.own_context(t.sql(fx.ITEM_CONTEXT)))
+    return stage(U.table_labels(U.item_units(grid_items(t)), U.own_context(t.sql(fx.ITEM_CONTEXT))))
 
 
 def claims(t):
@@ -452,11 +453,11 @@ def study_anchors(t):
     for c, k in (("row_end", "int"), ("col_start", "int"), ("col_end", "int"), ("issues", "array<string>")):
         units = units.withColumn(c, F.lit(None).cast(k))
     labels = doc_units(t).select("document_id", "evidence_id", F.lit("Table 1").alias("table_label"))
-    return S.node_anchors(study_nodes(t), evidence, units, empty, labels)
+    return stage(S.node_anchors(study_nodes(t), evidence, units, empty, labels))
 
 
 def assessed(t):
-    return S.assess_nodes(study_nodes(t), study_anchors(t))
+    return stage(S.assess_nodes(study_nodes(t), study_anchors(t)))
 
 
 D_NODES = f"""w AS ({D_WORDS}), nd AS (SELECT source AS document_id, doc_id, {NODE_LABEL} AS label, concat(w1, ' ', w2) AS name, {NORM.format("concat(w1, ' ', w2)")} AS k, {NORM.format('text')} AS body, {NORM.format('substr(text, 1, 50)')} AS q FROM w),

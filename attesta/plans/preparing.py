@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions.stage import stage
 from attesta.operators import preparation as P
 from attesta.plans import duck, fixtures as fx, query
 from attesta.plans.evidence import D_CELLS, D_ITEMS, D_TEXT, cells, text_items
@@ -47,7 +48,7 @@ st AS (SELECT cr.*, CASE WHEN label = 'section_header' THEN 'context' WHEN label
 
 
 def status(t):
-    return P.item_status(headed(t), captions(t))
+    return stage(P.item_status(headed(t), captions(t)))
 
 
 query("item_status", "D12 D15 D16", f"WITH {D_STATUS} SELECT document_id, item_ref, status, reason FROM st")(
@@ -202,7 +203,7 @@ ISLAND = """SELECT source AS document_id, CAST(doc_id DIV 20 AS BIGINT) AS n, co
 
 
 def island_records(t):
-    return t.sql(ISLAND).withColumn("headings", F.array("heading")).withColumn("prefix", F.lit("Paper title: x\n\n"))
+    return stage(t.sql(ISLAND).withColumn("headings", F.array("heading")).withColumn("prefix", F.lit("Paper title: x\n\n")))
 
 
 D_ISLAND = f"""r AS (SELECT *, len(regexp_extract_all(body, {PIECE})) AS size FROM ({duck(ISLAND).replace('DIV', '//').replace('STRING', 'VARCHAR')})),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from attesta.functions.stage import stage
 from attesta.operators import fulltext as T
 from attesta.operators import questions as Q
 from attesta.operators import retrieval as R
@@ -48,7 +49,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY index_id, channel ORDER BY di
 
 
 def hits(t, k=30):
-    return V.exact_top_k(vectors(t), two_channels(t), k)
+    return stage(V.exact_top_k(vectors(t), two_channels(t), k))
 
 
 query(
@@ -334,7 +335,7 @@ def section_chunks(t):
 
 
 def kinds(t):
-    return R.with_section_kind(R.chunk_roles(section_chunks(t), R.item_roles(text_items(t))))
+    return stage(R.with_section_kind(R.chunk_roles(section_chunks(t), R.item_roles(text_items(t)))))
 
 
 D_ROLE = f"""roles AS (SELECT document_id, item_ref, CASE WHEN label = 'page_header' THEN 'document_metadata'
