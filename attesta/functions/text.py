@@ -40,7 +40,7 @@ MULTIPLE_NUMBERS = rf"^{NUMBER}(?:\s+{NUMBER})+$"
 
 @F.pandas_udf(T.StringType())
 def _nfkc_casefold(values: pd.Series) -> pd.Series:
-    folded = [v if v is None else unicodedata.normalize("NFKC", v).casefold() for v in values.astype(object).where(values.notna(), None)]
+    folded = [v if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()) for v in values.astype(object).where(values.notna(), None)]
     return pd.Series(folded, dtype=object)
 
 
@@ -58,6 +58,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+def has_text(c: Column | str) -> Column:
+    """Whether anything but white space occurs; stops at the first such character."""
+    return F.coalesce(col(c).rlike(r"(?U)\S"), F.lit(False))
+
+
 def squash(c: Column | str) -> Column:
     """Collapse white-space runs to one space and strip."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
@@ -67,18 +72,21 @@ def _fold_plain(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
-def _with_fallback(c: Column, udf) -> Column:
-    plain = c.rlike(_PLAIN_ONLY)
-    return F.coalesce(F.when(plain, _fold_plain(c)), udf(F.when(~plain, c)))
-
-
 def casefold(c: Column | str) -> Column:
-    return _with_fallback(col(c), _casefold)
+    c = col(c)
+    plain = c.rlike(_PLAIN_ONLY)
+    return F.coalesce(F.when(plain, _fold_plain(c)), _casefold(F.when(~plain, c)))
 
 
 def normalized(c: Column | str) -> Column:
-    """Identity key of a text: NFKC, case folding, collapsed white space."""
-    return squash(_with_fallback(col(c), _nfkc_casefold))
+    """Identity key of a text: NFKC, case folding, collapsed white space.
+
+    Plain text holds no white space beyond ASCII, so the cheaper class suffices there.
+    """
+    c = col(c)
+    plain = c.rlike(_PLAIN_ONLY)
+    folded = F.trim(F.regexp_replace(_fold_plain(c), r"\s+", " "))
+    return F.coalesce(F.when(plain, folded), _nfkc_casefold(F.when(~plain, c)))
 
 
 def squash_casefold(c: Column | str) -> Column:

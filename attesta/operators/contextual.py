@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import packing, skew
-from attesta.functions.text import codes, pieces, strip
+from attesta.functions.text import codes, has_text, pieces
 from attesta.operators.preparation import PAGE_FURNITURE
 
 DOC = ["document_id"]
@@ -29,12 +29,12 @@ def picture_links(pictures: DataFrame, captions: DataFrame, *, include_descripti
     reached_time_budget); captions(document_id, picture_ref, item_ref, pos, text).  A generated
     description enters the chunks only when opted in, complete, and without a caption.
     """
-    usable = captions.where(F.length(strip("text")) > 0).groupBy(*DOC, "picture_ref").agg(
+    usable = captions.wherehas_text("text").groupBy(*DOC, "picture_ref").agg(
         F.array_sort(F.collect_list(F.struct("pos", "item_ref"))).alias("c")
     )
     rows = pictures.join(usable, [*DOC, "picture_ref"], "left")
     caption_refs = F.coalesce("c.item_ref", F.array().cast("array<string>"))
-    described = F.length(strip(F.coalesce("description", F.lit("")))) > 0
+    described = has_text(F.coalesce("description", F.lit("")))
     complete = (
         (F.coalesce("status", F.lit("generated")) == "generated")
         & ~F.coalesce("hit_token_cap", F.lit(False)) & ~F.coalesce("reached_time_budget", F.lit(False))
@@ -71,7 +71,7 @@ def _pieces(items: DataFrame, limit: int, tokens: Callable[[Column], Column]) ->
     lead = F.col("lead") if "lead" in items.columns else F.lit(None).cast("string")
     overhead = F.size(tokens(path)) + F.size(tokens(F.coalesce(lead, F.lit(""))))
     rows = items.where(
-        ~F.col("label").isin(*PAGE_FURNITURE, "section_header") & (F.length(strip("text")) > 0)
+        ~F.col("label").isin(*PAGE_FURNITURE, "section_header") & has_text("text")
     ).withColumn("__over", overhead).withColumn("__t", tokens(F.col("text")))
     rows = rows.withColumn("__room", F.greatest(F.lit(1), limit - F.col("__over")))
     cuts = F.sequence(F.lit(0), F.size("__t") - 1, F.col("__room"))
@@ -142,7 +142,7 @@ def chunk_violations(chunks: DataFrame, items: DataFrame, limit: int = MODEL_TOK
     unknown = refs.join(items.select(*DOC, "item_ref"), [*DOC, "item_ref"], "left_anti").select(*DOC, "chunk_id", F.lit("unknown_source_ref").alias("reason")).distinct()
     rules = codes(
         (F.col("tokens") > limit, "model_token_limit_exceeded"),
-        ((F.length(strip("contextualized_text")) == 0) | (F.size("source_refs") == 0), "empty_content"),
+        (~has_text("contextualized_text") | (F.size("source_refs") == 0), "empty_content"),
     )
     own = chunks.select(*DOC, "chunk_id", F.explode(rules).alias("reason"))
     silent = items.select(*DOC).distinct().join(chunks.select(*DOC).distinct(), DOC, "left_anti").select(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import skew, text
-from attesta.functions.text import MULTIPLE_NUMBERS, strip
+from attesta.functions.text import MULTIPLE_NUMBERS, has_text, strip
 
 DOC = ["document_id"]
 BBOX = "struct<l:double,t:double,r:double,b:double,coord_origin:string>"
@@ -34,7 +34,7 @@ def cell_id(item_ref: Column | str, idx: Column | str) -> Column:
 def item_units(items: DataFrame) -> DataFrame:
     """Text, table and picture items as units with their extraction flags."""
     no_place = F.coalesce(F.size("locations"), F.lit(0)) <= 0
-    blank = (F.col("kind") == "text") & (F.length(strip(F.coalesce("text", F.lit("")))) == 0)
+    blank = (F.col("kind") == "text") & ~has_text(F.coalesce("text", F.lit("")))
     return items.select(
         *DOC,
         "pos",
@@ -377,7 +377,7 @@ def inventory(units: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFram
     counts = units.groupBy(*DOC).agg(
         F.count_if(F.col("label") == "section_header").alias("headings"),
         F.count_if(formula).alias("formula_regions"),
-        F.count_if(formula & (F.length(strip("text")) == 0)).alias("empty_formulas"),
+        F.count_if(formula & ~has_text("text")).alias("empty_formulas"),
         F.count_if((F.col("kind") == "table_cell") & (F.size("issues") > 0)).alias("table_warnings"),
     )
     return (
@@ -419,7 +419,7 @@ def picture_sources(pictures: DataFrame, captions: DataFrame, pages: DataFrame,
 
     pictures(document_id, picture_ref, page_no, bbox); captions(document_id, picture_ref, pos, text).
     """
-    usable = captions.where(F.length(strip("text")) > 0)
+    usable = captions.wherehas_text("text")
     reused = usable.groupBy(*DOC, "picture_ref").agg(
         F.sort_array(F.collect_list(F.struct("pos", strip("text").alias("text")))).alias("parts")
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions import skew
-from attesta.functions.text import strip
+from attesta.functions.text import has_text, strip
 
 KEY = ["index_id", "chunk_id"]
 MAX_K = 50
@@ -354,7 +354,7 @@ def readiness_violations(reports: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     counted = chunks.groupBy("index_id").agg(
         F.count("*").alias("n"),
-        F.count_if((F.length(strip(F.coalesce("contextualized_text", F.lit("")))) == 0) | (F.coalesce(F.size("source_refs"), F.lit(0)) <= 0)).alias("unusable"),
+        F.count_if(~has_text(F.coalesce("contextualized_text", F.lit(""))) | (F.coalesce(F.size("source_refs"), F.lit(0)) <= 0)).alias("unusable"),
     )
     repeated = (
         chunks.groupBy(*KEY).agg(F.count("*").alias("c")).where("c > 1").select("index_id").distinct().withColumn("dup", F.lit(True))

@@ -14,7 +14,7 @@ from attesta.operators import vector_index as V
 
 def _vectors(spark, n, dims=8, seed=1):
     rng = random.Random(seed)
-    rows = [("i%d" % (i % 2), "c%d" % i, i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) + 0.1 for _ in range(dims)]) for i in range(n)]
+    rows = [("i%d" % (i % 2), "c%d" % i, i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) + 0.125 for _ in range(dims)]) for i in range(n)]
     return rows, spark.createDataFrame(rows, "index_id string, chunk_id string, ordinal long, embedding array<float>")
 
 
@@ -27,7 +27,7 @@ def test_inline_and_tiled_search_agree_with_brute_force(spark):
 
     def dist(a, b):
         dot = sum(x * y for x, y in zip(a, b))
-        return round(1 - dot / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 6)
+        return round(1 - dot / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 9)
 
     want = {}
     for q in rows[:6]:
