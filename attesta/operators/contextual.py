@@ -29,7 +29,7 @@ def picture_links(pictures: DataFrame, captions: DataFrame, *, include_descripti
     reached_time_budget); captions(document_id, picture_ref, item_ref, pos, text).  A generated
     description enters the chunks only when opted in, complete, and without a caption.
     """
-    usable = captions.wherehas_text("text").groupBy(*DOC, "picture_ref").agg(
+    usable = captions.where(has_text("text")).groupBy(*DOC, "picture_ref").agg(
         F.array_sort(F.collect_list(F.struct("pos", "item_ref"))).alias("c")
     )
     rows = pictures.join(usable, [*DOC, "picture_ref"], "left")

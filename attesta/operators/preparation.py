@@ -159,9 +159,9 @@ def table_grid_lines(cells: DataFrame) -> DataFrame:
 
 def missing_cells(cells: DataFrame, lines: DataFrame) -> DataFrame:
     """Cells whose text does not appear in any line of their rows."""
-    spots = cells.wherehas_text("text").withColumn("row", F.explode(F.sequence("row_start", F.col("row_end") - 1)))
+    spots = cells.where(has_text("text")).withColumn("row", F.explode(F.sequence("row_start", F.col("row_end") - 1)))
     found = spots.join(lines, [*DOC, "item_ref", "row"]).where(F.contains(squash("line"), squash("text")))
-    return cells.wherehas_text("text").select(*DOC, "item_ref", "idx").join(
+    return cells.where(has_text("text")).select(*DOC, "item_ref", "idx").join(
         found.select(*DOC, "item_ref", "idx"), [*DOC, "item_ref", "idx"], "left_anti"
     )
 
@@ -190,7 +190,7 @@ def picture_records(pictures: DataFrame, captions: DataFrame, inner: DataFrame,
     (document_id, owner_ref, item_ref, pos, text).
     """
     def joined(df: DataFrame, separator: str, name: str) -> DataFrame:
-        full = df.wherehas_text("text")
+        full = df.where(has_text("text"))
         return full.groupBy(*DOC, F.col("owner_ref").alias("item_ref")).agg(
             F.sort_array(F.collect_list(F.struct("pos", "item_ref", "text"))).alias("p")
         ).select(*DOC, "item_ref", F.array_join("p.text", separator).alias(name))
@@ -205,7 +205,7 @@ def picture_records(pictures: DataFrame, captions: DataFrame, inner: DataFrame,
         F.when(F.col("labels").isNotNull(), F.concat(F.lit(FIGURE_TEXT + "\n"), "labels")),
         F.when(F.lit(include_descriptions) & (F.coalesce("description", F.lit("")) != ""), F.concat(F.lit(DESCRIPTION_TEXT + "\n"), "description")),
     )
-    return rows.select(*DOC, "item_ref", parts.alias("content")).wherehas_text("content")
+    return rows.select(*DOC, "item_ref", parts.alias("content")).where(has_text("content"))
 
 
 def table_rows(cells: DataFrame, captions: DataFrame, titles: DataFrame, tables: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def header_records(cells: DataFrame, captions: DataFrame, titles: DataFrame) ->
 def omitted_cells(cells: DataFrame, rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Nonblank cells missing from every record of their row, header or section context."""
     key = [*DOC, "item_ref"]
-    full = cells.wherehas_text("text").select(*key, "idx", F.col("row_start").alias("row"), "text", "column_header")
+    full = cells.where(has_text("text")).select(*key, "idx", F.col("row_start").alias("row"), "text", "column_header")
     in_rows = full.join(rows.select(*key, "row", "record_text"), [*key, "row"]).where(F.contains("record_text", "text"))
     in_heads = skew.salted_join(full.where("column_header"), headers.select(*key, "record_text"), key, spread=["idx"]).where(F.contains("record_text", "text"))
     covered = in_rows.select(*key, "idx").unionByName(in_heads.select(*key, "idx"))

@@ -419,7 +419,7 @@ def picture_sources(pictures: DataFrame, captions: DataFrame, pages: DataFrame,
 
     pictures(document_id, picture_ref, page_no, bbox); captions(document_id, picture_ref, pos, text).
     """
-    usable = captions.wherehas_text("text")
+    usable = captions.where(has_text("text"))
     reused = usable.groupBy(*DOC, "picture_ref").agg(
         F.sort_array(F.collect_list(F.struct("pos", strip("text").alias("text")))).alias("parts")
     )
