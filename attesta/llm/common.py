@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fold(key: Column) -> Column:
     """Fold 0 is held out; the others are for learning. A null key belongs to none."""
     return F.crc32(key.cast("string").cast("binary")) % FOLDS

@@ -14,16 +14,19 @@ from attesta.llm.common import held_out, small_batches, unused
 
 UNKNOWN = "und"
 #: Bounds of what is learned: rows asked for in each language, bytes kept of them, and languages.
-FIT_ROWS, FIT_BYTES, FIT_LANGUAGES = 200, 96 << 10, 256
-BLOCK = 4 << 10
-LEVEL = 3
-#: A narrow margin: the second best encoding is less than this share larger than the best one.
-MARGIN = 0.004
+FIT_ROWS, FIT_BYTES, FIT_LANGUAGES = 200, 64 << 10, 256
+BLOCK = 16 << 10
+#: A text of at most SHORT bytes is encoded in up to ROTATIONS rotations, as whole bytes are too coarse a measure for one.
+SHORT, ROTATIONS = 256, 16
+#: Short matches count in short texts; small tables make the start of each block cheap.
+CODER = {"min_match": 4, "strategy": zstandard.STRATEGY_LAZY, "hash_log": 15, "chain_log": 15, "search_log": 3, "window_log": 17}
+#: A narrow margin: the best encoding saves less than this share of the second best one.
+MARGIN = 0.002
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """One dictionary per language from a bounded sample of labelled rows outside the held-out fold.
+    """One dictionary per language, the most frequent language first, from a bounded sample of labelled rows outside the held-out fold.
 
     For each language FIT_ROWS rows in the order of a hash of the key are taken (rows beyond that number never
     leave their tasks) and joined, in lower case and without repeats, up to FIT_BYTES. Rows with null text, null lang or null key are not
@@ -42,20 +45,22 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         found.setdefault(l, bytearray()).extend(t.lower().encode() + b"\n")
         if len(found) > FIT_LANGUAGES:
             raise ValueError(f"more than {FIT_LANGUAGES} languages")
-    return {l: bytes(b[:FIT_BYTES]) for l, b in found.items()}
+    frequent = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(FIT_LANGUAGES)
+    return {l: bytes(found[l][:FIT_BYTES]) for l, _ in frequent.collect() if l in found}
 
 
 def classifier(dictionaries: dict[str, bytes]):
     """A pandas UDF text -> RESULT. Whole texts are encoded in blocks of BLOCK bytes with every dictionary."""
-    names = sorted(dictionaries)
+    names = list(dictionaries)
 
     @F.pandas_udf(RESULT)
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coders = []
         for name in names:
             content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            coders.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+            how = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **CODER)
+            content.precompute_compress(compression_params=how)
+            coders.append(zstandard.ZstdCompressor(dict_data=content, compression_params=how))
         for batch in batches:
             yield pd.DataFrame([_verdict(t, names, coders) for t in batch], columns=["lang_pred", "score", "margin", "rejected"])
 
@@ -66,7 +71,10 @@ def _verdict(text: str | None, names: list[str], coders: list) -> tuple[str, flo
     if text is None or not names or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, 0.0, True
     data = text.lower().encode("utf-8", "replace")
-    blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+    if len(data) <= SHORT:
+        blocks = [data[i:] + b" " + data[:i] for i in range(min(len(data), ROTATIONS))]
+    else:
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
     sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in coders], dtype=float)
     order = np.argsort(sizes, kind="stable")
     best, second = sizes[order[0]], sizes[order[1]] if len(names) > 1 else 2 * sizes[order[0]]
@@ -79,8 +87,8 @@ def _verdict(text: str | None, names: list[str], coders: list) -> tuple[str, flo
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", into: str = "language") -> DataFrame:
     """All rows and columns of `docs` plus the struct column `into` (lang_pred, score, margin, rejected).
 
-    A null text and a text without letters are `und`, score 0, rejected. Where all encodings are equally long the
-    alphabetically first language is named and the row is rejected, as is any row with a margin under MARGIN. An empty
+    A null text and a text without letters are `und`, score 0, rejected. Where the shortest encodings are equally
+    long the language that is most frequent among the learned rows is named and the row is rejected, as is any row with a margin under MARGIN. An empty
     table gives an empty one; without any dictionary every row is `und`.
     """
     small_batches(docs.sparkSession)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import language, sharding, simhash
+from attesta.llm import decontamination, language, lines, sharding, simhash
 from attesta.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,18 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines that are copies of an earlier line, where that line is, and a digest of what stays."""
+    left = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", F.size("removed").alias("n_removed"), F.col("removed.line_no").alias("removed_lines"),
+        F.col("removed.first_doc").alias("first_docs"), F.col("removed.first_line").alias("first_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+    )
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
