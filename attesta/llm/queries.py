@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontamination, language, lines, sharding, simhash
+from attesta.llm import decontamination, language, lines, pieces, quality, rules, secret_scan, sharding, simhash, surrogates
 from attesta.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,41 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.learn(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_model")
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@_query
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_lines", "n_good_lines")
+
+
+@_query
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with surrogates, and what was replaced; the key is a parameter of the operator."""
+    left = surrogates.replace_private(table(spark, sf_dir, "documents"), secret="a key of the caller")
+    return left.select("doc_id", "text", F.size("private").alias("n_private"), F.col("private.kind").alias("kinds"), F.col("private.surrogate").alias("surrogates"))
+
+
+@_query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts encoded with their four best segmentations, and decoded again."""
+    docs = table(spark, sf_dir, "documents")
+    back = pieces.decoded(pieces.encoded(docs))
+    return back.select(
+        "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5")
+    )
