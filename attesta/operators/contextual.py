@@ -76,28 +76,30 @@ def _pieces(items: DataFrame, limit: int, tokens: Callable[[Column], Column]) ->
     rows = rows.withColumn("__room", F.greatest(F.lit(1), limit - F.col("__over")))
     cuts = F.sequence(F.lit(0), F.size("__t") - 1, F.col("__room"))
     parts = F.transform(cuts, lambda s: F.struct(F.array_join(F.slice("__t", s + 1, F.col("__room")), "").alias("body"), F.least(F.col("__room"), F.size("__t") - s).alias("cost")))
-    return rows.select(
-        *DOC, "pos", "item_ref", "label", "headings", "pages", lead.alias("lead"), F.col("__over").alias("overhead"),
-        F.posexplode(parts).alias("part", "p"),
-    ).select(*DOC, "pos", "part", "item_ref", "label", "headings", "pages", "lead", "overhead", "p.body", "p.cost")
+    rows = rows.select(
+        *DOC, "pos", "item_ref", "label", "headings", "pages", lead.alias("lead"), F.col("__over").alias("overhead"), parts.alias("__parts"), F.size(cuts).cast("long").alias("__n"),
+    )
+    # Pieces of a document are counted through, so that blocks of them hold the same number however long an item is.
+    numbered = skew.running_sum(rows, DOC, "pos", F.col("__n"), "__upto")
+    return numbered.select(
+        *DOC, "pos", "item_ref", "label", "headings", "pages", "lead", "overhead", (F.col("__upto") - F.col("__n")).alias("__first"), F.posexplode("__parts").alias("part", "p")
+    ).select(*DOC, (F.col("__first") + F.col("part")).alias("__order"), "part", "item_ref", "label", "headings", "pages", "lead", "overhead", "p.body", "p.cost")
 
 
 def contextual_chunks(
-    items: DataFrame, max_tokens: int = MAX_TOKENS, tokens: Callable[[Column], Column] = pieces, max_parts: int = 1_000_000
+    items: DataFrame, max_tokens: int = MAX_TOKENS, tokens: Callable[[Column], Column] = pieces
 ) -> DataFrame:
     """Chunks of adjacent items under one heading path, each within the token budget.
 
     Peers are merged by exact greedy packing (parallel inside a document); oversized items
     are split; the heading path is part of the budget and of the contextualized text.
     """
-    parts = _pieces(items, max_tokens, tokens).withColumn("__order", F.col("pos") * max_parts + F.col("part"))
-    before = skew.carry_last(
-        parts, DOC, "__order", {"__before": F.struct("headings", "lead")}, inclusive=False, block=skew.BLOCK * max_parts
-    )
+    parts = _pieces(items, max_tokens, tokens)
+    before = skew.carry_last(parts, DOC, "__order", {"__before": F.struct("headings", "lead")}, inclusive=False)
     change = ~F.col("__before").eqNullSafe(F.struct("headings", "lead"))
     grouped = packing.greedy_groups(
         before.withColumn("__force", change).drop("__before"), DOC, "__order", F.col("cost"), max_tokens,
-        extra=F.col("overhead"), force=F.col("__force"), block=packing.BLOCK * max_parts,
+        extra=F.col("overhead"), force=F.col("__force"),
     )
     piece = F.struct(F.col("__order").alias("n"), "item_ref", "label", "body", "part", "pages", "lead")
     chunks = grouped.groupBy(*DOC, F.col("group_no").alias("chunk_no")).agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min_by("headings", "__order").alias("headings"))

@@ -44,21 +44,30 @@ def group_ranks(cases: DataFrame, hits: DataFrame, evidence: DataFrame) -> DataF
     return cases.join(ranked, ["case_id", "mode"], "left")
 
 
-def retrieval_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Hit rates and mean reciprocal rank over the answerable cases."""
+def retrieval_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), depth: int = 10) -> DataFrame:
+    """Hit rates and mean reciprocal rank over the answerable cases; hits beyond rank `depth` count for neither."""
+    ranks = ranks.withColumns({c: F.when(F.col(c) <= depth, F.col(c)) for c in ("all_rank", "any_rank")})
     within = lambda c, k: F.avg(F.coalesce((F.col(c) <= k).cast("double"), F.lit(0.0)))
     return ranks.where("kind = 'answerable'").groupBy("mode").agg(
         F.count("*").alias("answerable"),
         *[within("all_rank", k).alias(f"all_hit_{k}") for k in ks],
         *[within("any_rank", k).alias(f"any_hit_{k}") for k in ks],
-        F.avg(F.coalesce(1.0 / F.col("any_rank"), F.lit(0.0))).alias("mrr_10"),
+        F.avg(F.coalesce(1.0 / F.col("any_rank"), F.lit(0.0))).alias(f"mrr_{depth}"),
     )
 
 
-def mode_comparison(ranks: DataFrame, modes: list[str]) -> DataFrame:
-    """Cases whose reference was found, side by side per retrieval mode."""
+def mode_comparison(ranks: DataFrame, modes: list[str], runs: DataFrame | None = None) -> DataFrame:
+    """Cases whose reference was found, side by side per retrieval mode, and how many runs fell back.
+
+    runs(case_id, planner, reranking): a planner other than `llm` is a fallback, a reranking other than `applied` was
+    not available; a case without a run counts for both.
+    """
     found = ranks.groupBy("case_id").pivot("mode", modes).agg(F.max(F.col("any_rank").isNotNull()))
-    return found.agg(F.count("*").alias("cases"), *[F.count_if(F.col(m)).alias(m) for m in modes])
+    counts = [F.count("*").alias("cases"), *[F.count_if(F.col(m)).alias(m) for m in modes]]
+    if runs is not None:
+        found = found.join(runs.select("case_id", "planner", "reranking"), "case_id", "left")
+        counts += [F.count_if(~F.col("planner").eqNullSafe("llm")).alias("planner_fallbacks"), F.count_if(~F.col("reranking").eqNullSafe("applied")).alias("reranker_unavailable")]
+    return found.agg(*counts)
 
 
 def misplaced_terms(cases: DataFrame, sources: DataFrame) -> DataFrame:

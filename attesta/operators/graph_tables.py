@@ -290,12 +290,12 @@ def rebuild_gates(relations: DataFrame, assertions: DataFrame, names: DataFrame,
 
 
 # ---- components, communities, local context ------------------------------------------
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): smallest id of each weakly connected component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): every step is a
     map-side-combined minimum per node plus one equi-join, and the number of rounds grows
-    with the logarithm of the graph, not with its diameter.
+    with the logarithm of the graph, not with its diameter. Rounds go on until one changes nothing.
     """
     pairs = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).where("u <> v").distinct()
 
@@ -313,7 +313,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
         return result.where("u <> v").distinct()
 
     mark = None
-    for _ in range(max_rounds):
+    while True:
         pairs = cut(star(star(pairs, True), False))
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == mark:

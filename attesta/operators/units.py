@@ -445,15 +445,33 @@ def picture_sources(pictures: DataFrame, captions: DataFrame, pages: DataFrame,
 
 
 def unit_title(text_col: Column, caption: Column, kind: Column) -> Column:
-    """Caption, else own text, else a placeholder naming the kind."""
-    filled = [F.when(F.length(strip(c)) > 0, c) for c in (caption, text_col)]
-    return F.coalesce(*filled, F.concat(F.lit("Untitled "), F.replace(kind, F.lit("_"), F.lit(" "))))
+    """Caption, else own text, else what kind of region it is. `kind` may be a label, too: formula or picture."""
+    filled = [F.when(F.length(c) > 0, c) for c in (caption, text_col)]
+    # What is shown for a unit without words.
+    region = F.when(kind == "formula", "Equation · transcription unavailable").when(kind == "picture", "Figure · source region")
+    return F.coalesce(*filled, region, F.lit("Table · source region"))
+
+
+def captions_of(units: DataFrame) -> DataFrame:
+    """(document_id, evidence_id, caption): texts of a unit's captions in their order, empty ones left out.
+
+    units(document_id, evidence_id, text, captions array of evidence ids)
+    """
+    named = units.select(*DOC, "evidence_id", F.posexplode("captions").alias("no", "ref"))
+    texts = units.select(*DOC, F.col("evidence_id").alias("ref"), F.col("text").alias("part")).where("length(part) > 0")
+    return named.join(texts, [*DOC, "ref"]).groupBy(*DOC, "evidence_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x["part"]), " ").alias("caption")
+    )
 
 
 def search_units(units: DataFrame, needle: str, kinds: list[str] | None = None, limit: int = 200) -> DataFrame:
-    """Units of a category whose title contains a substring; the first `limit` in document order."""
-    title = unit_title(F.col("text"), F.lit(None).cast("string"), F.col("kind"))
-    hits = units.withColumn("title", title).where(F.contains(F.lower("title"), F.lit(needle.lower())))
+    """Units of a category whose title contains a substring; the first `limit` in document order.
+
+    The title is the caption where `captions` names one, so a table or picture is found by its caption.
+    """
+    named = units.join(captions_of(units), [*DOC, "evidence_id"], "left") if "captions" in units.columns else units.withColumn("caption", F.lit(None).cast("string"))
+    kind = F.when(F.col("label") == "formula", F.col("label")).otherwise(F.col("kind")) if "label" in units.columns else F.col("kind")
+    hits = named.withColumn("title", unit_title(F.col("text"), F.col("caption"), kind)).drop("caption").where(F.contains(F.lower("title"), F.lit(needle.lower())))
     if kinds:
         hits = hits.where(F.col("kind").isin(kinds))
     return skew.top_k(hits, DOC, [F.col("pos"), F.col("evidence_id")], limit, "hit_no")

@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +21,10 @@ from attesta.functions.text import has_text, strip
 
 KEY = ["index_id", "chunk_id"]
 MAX_K = 50
-# Queries up to this many rows travel inside the task closure; larger sets are tiled.
-INLINE_QUERIES = 4096
+# Rows of a task's slice of vectors and block of queries.
 TILE_VECTORS, TILE_QUERIES = 50_000, 2_048
+# Shorter vectors have no direction.
+LEAST_NORM = 1e-8
 DISTANCE_DIGITS = 9
 HIT_SCHEMA = "index_id string, query_id string, channel string, chunk_id string, ordinal long, distance double"
 
@@ -175,41 +175,6 @@ def _prepare(df: DataFrame, *names: str) -> DataFrame:
                      F.col("embedding").cast("array<float>"))
 
 
-def _scan_with(queries: list, k: int):
-    by_index: dict[str, list[int]] = {}
-    for i, q in enumerate(queries):
-        by_index.setdefault(q["index_id"], []).append(i)
-    matrix = {
-        index: _unit(np.asarray([queries[i]["embedding"] for i in rows])) for index, rows in by_index.items()
-    }
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            index = np.asarray(batch.column("index_id").to_pylist(), dtype=object)
-            ids = batch.column("chunk_id").to_pylist()
-            ordinals = batch.column("ordinal").to_numpy(zero_copy_only=False)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = flat.reshape(batch.num_rows, -1)
-            for name in set(index):
-                if name not in matrix:
-                    continue
-                rows = np.nonzero(index == name)[0]
-                found = _distances(matrix[name], _unit(vectors[rows]))
-                chosen_ids = [ids[i] for i in rows]
-                for at, q in enumerate(by_index[name]):
-                    best.add(q, found[at], ordinals[rows], chosen_ids)
-        out = [(queries[q]["index_id"], queries[q]["query_id"], queries[q]["channel"], c, o, float(d)) for q, c, o, d in best.rows()]
-        names = [part.split()[0] for part in HIT_SCHEMA.split(", ")]
-        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64()]
-        columns = list(zip(*out)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
-
-    return run
-
-
 def _tile(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [part.split()[0] for part in HIT_SCHEMA.split(", ")]
@@ -230,36 +195,77 @@ def _tile(k: int):
     return run
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, vector_count: int | None = None) -> DataFrame:
+def searchable(vectors: DataFrame) -> Column:
+    """Whether a vector has a direction: not null, no null, infinite or NaN element, and not all zero."""
+    v = F.col("embedding")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(v) > 0) & finite & (norm(v) >= LEAST_NORM), F.lit(False))
+
+
+def search_faults(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(index_id, kind, id, fault) of vectors and queries that `exact_top_k` leaves out.
+
+    A vector is left out if it has no direction or another size than most vectors of its index (of equally frequent
+    sizes the larger); a query likewise, measured against its index.
+    """
+    size = _index_sizes(vectors)
+    both = vectors.select(F.col("index_id").cast("string"), F.lit("vector").alias("kind"), F.col("chunk_id").cast("string").alias("id"), F.col("embedding").cast("array<float>")).unionByName(
+        queries.select(F.col("index_id").cast("string"), F.lit("query").alias("kind"), F.col("query_id").cast("string").alias("id"), F.col("embedding").cast("array<float>"))
+    )
+    fault = (
+        F.when(F.col("embedding").isNull(), "missing_vector").when(~searchable(both), "no_direction")
+        .when(F.size("embedding") != F.col("dims"), "wrong_dimensions")
+    )
+    return both.join(size, "index_id", "left").select("index_id", "kind", "id", fault.alias("fault")).where("fault is not null")
+
+
+def _index_sizes(vectors: DataFrame) -> DataFrame:
+    sized = vectors.select(F.col("index_id").cast("string"), F.col("embedding").cast("array<float>"))
+    counted = sized.where(searchable(sized)).groupBy("index_id", F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
+    return counted.groupBy("index_id").agg(F.max_by("dims", F.struct("n", "dims")).alias("dims"), F.sum("n").alias("vectors"))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosine neighbours of each query in its own index: distance, then ordinal.
 
-    A query set of proven size is carried to the vectors, which are scanned in place with
-    no shuffle; each task returns at most k rows per query.  A larger set is cut into
-    blocks, the vectors into slices, and every (slice, block) tile is one bounded task,
-    so the result stays exact for any number of queries.  `vector_count` (known from the
-    index registry) sets the number of slices.
+    One plan for every size: each index is cut into slices of about TILE_VECTORS vectors and its queries into blocks of
+    about TILE_QUERIES, counted per index, and every (slice, block) is one bounded task that returns at most k rows per
+    query. Vectors and queries without a direction or of another size than their index are left out and listed by
+    `search_faults`.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     v = _prepare(vectors, "index_id", "chunk_id", "ordinal", "embedding")
     q = _prepare(queries, "index_id", "query_id", "channel", "embedding")
-    bounded = q.limit(INLINE_QUERIES + 1).collect()
-    if len(bounded) <= INLINE_QUERIES:
-        partial = v.mapInArrow(_scan_with([r.asDict() for r in bounded], k), HIT_SCHEMA)
-    else:
-        partial = tiled_top_k(v, q, k, vector_count or vectors.count(), queries.count())
-    order = [F.asc("distance"), F.asc("ordinal")]
-    return skew.top_k(partial, ["index_id", "query_id", "channel"], order, k)
+    v, q = v.where(searchable(v)), q.where(searchable(q))
+    sizes = _index_sizes(vectors).join(q.groupBy("index_id").agg(F.count("*").alias("asked")), "index_id").select(
+        "index_id", "dims", F.ceil(F.col("vectors") / TILE_VECTORS).cast("int").alias("slices"), F.ceil(F.col("asked") / TILE_QUERIES).cast("int").alias("blocks")
+    )
+    return _merged(_tiled(v.join(sizes, "index_id").where("size(embedding) = dims"), q.join(sizes, "index_id").where("size(embedding) = dims"), k), k)
 
 
-def tiled_top_k(v: DataFrame, q: DataFrame, k: int, vector_count: int, query_count: int) -> DataFrame:
-    slices = max(1, -(-vector_count // TILE_VECTORS))
-    blocks = max(1, -(-query_count // TILE_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = v.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
-    right = q.withColumn("block", F.pmod(F.xxhash64("query_id", "channel"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))
+def _merged(partial: DataFrame, k: int) -> DataFrame:
+    return skew.top_k(partial, ["index_id", "query_id", "channel"], [F.asc("distance"), F.asc("ordinal")], k)
+
+
+def _tiled(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """Tiles of rows that carry the numbers of `slices` and `blocks` of their index.
+
+    The slice of a vector meets every block of the queries of its index and the other way round; blocks are few as
+    queries are, so vectors are copied once for each TILE_QUERIES queries.
+    """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = v.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).withColumn("block", every("blocks"))
+    right = q.withColumn("block", F.pmod(F.xxhash64("query_id", "channel"), F.col("blocks")).cast("int")).withColumn("slice", every("slices"))
     key = ["index_id", "slice", "block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_tile(k), HIT_SCHEMA)
+    tile = _tile(k)
+    return left.drop("dims", "slices", "blocks").groupBy(*key).cogroup(right.drop("dims", "slices", "blocks").groupBy(*key)).applyInPandas(tile, HIT_SCHEMA)
+
+
+def tiled_top_k(v: DataFrame, q: DataFrame, k: int, vector_count: int, query_count: int) -> DataFrame:
+    """The tiles of `exact_top_k` with counts given by the caller."""
+    counts = [F.lit(max(1, -(-vector_count // TILE_VECTORS))).alias("slices"), F.lit(max(1, -(-query_count // TILE_QUERIES))).alias("blocks")]
+    return _tiled(v.select("*", *counts), q.select("*", *counts), k)
 
 
 def self_neighbours(vectors: DataFrame, tolerance: float = 1e-5) -> DataFrame:

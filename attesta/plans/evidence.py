@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attesta.functions.stage import stage
@@ -335,6 +336,28 @@ SELECT o_orderpriority AS document_id, o_orderkey AS picture_ref,
 FROM orders LEFT JOIN cap ON cap.l_orderkey = o_orderkey""",
 )(_pictures)
 
+def captioned(t):
+    """Every third text is a picture without words of its own whose captions are the texts before and after it."""
+    items = text_items(t).withColumnRenamed("item_ref", "evidence_id").select("document_id", "evidence_id", "pos", "text")
+    at = F.row_number().over(Window.partitionBy("document_id").orderBy("pos", "evidence_id"))
+    around = Window.partitionBy("document_id").orderBy("pos", "evidence_id")
+    bare = F.col("n") % 3 == 0
+    return items.withColumn("n", at).select(
+        "document_id", "evidence_id", "pos", F.when(bare, F.when(F.col("n") % 2 == 0, "picture").otherwise("text")).otherwise("text").alias("kind"),
+        F.when(bare, F.when(F.col("n") % 2 == 0, "picture").otherwise("formula")).otherwise("text").alias("label"), F.when(bare, "").otherwise(F.col("text")).alias("text"),
+        F.when(bare & (F.col("n") % 2 == 0), F.array(F.lag("evidence_id").over(around), F.lead("evidence_id").over(around))).otherwise(F.array().cast("array<string>")).alias("captions"),
+    )
+
+
+query(
+    "search_captions",
+    "B23 B24",
+    f"""WITH i AS (SELECT document_id, item_ref AS evidence_id, pos, text, row_number() OVER w AS n, lag(text) OVER w AS l, lead(text) OVER w AS r, lag(item_ref) OVER w AS li, lead(item_ref) OVER w AS ri FROM ({D_TEXT}) WINDOW w AS (PARTITION BY document_id ORDER BY pos, item_ref)),
+u AS (SELECT *, CASE WHEN n % 3 <> 0 THEN text WHEN n % 2 = 0 THEN coalesce(nullif(concat_ws(' ', nullif(l, ''), nullif(r, '')), ''), 'Figure · source region') ELSE 'Equation · transcription unavailable' END AS title FROM i)
+SELECT document_id, evidence_id, md5(title) AS title, hit_no FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos, evidence_id)::INT AS hit_no FROM u WHERE contains(lower(title), 'a')) WHERE hit_no <= 200""",
+)(
+    lambda t: U.search_units(captioned(t), "a").select("document_id", "evidence_id", F.md5("title").alias("title"), "hit_no")
+)
 query(
     "search_units",
     "B23 B24",

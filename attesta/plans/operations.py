@@ -137,6 +137,11 @@ def ranks(t):
     return E.group_ranks(cases(t), eval_hits(t), evidence(t))
 
 
+def runs(t):
+    n = F.col("case_id").cast("int")
+    return ends(t).select("case_id", F.when(n % 3 == 0, "llm").when(n % 3 == 1, "rules").alias("planner"), F.when(n % 5 == 0, "unavailable").otherwise("applied").alias("reranking"))
+
+
 D_EVAL = f"""{D_QUERIES},
 en AS (SELECT index_id, min(vec_id) AS lo, max(vec_id) AS hi FROM v GROUP BY index_id),
 rk AS (SELECT en.index_id AS case_id, m.mode, CASE WHEN en.index_id::INT % 4 = 3 THEN 'unsupported' ELSE 'answerable' END AS kind, a.rank AS r0, b.rank AS r1
@@ -147,13 +152,14 @@ query(
     "retrieval_metrics",
     "J3",
     f"""WITH {D_EVAL} SELECT mode, count(*) AS answerable, {', '.join(f"round(avg(CASE WHEN {a}_rank <= {k} THEN 1.0 ELSE 0 END), 6)::DOUBLE AS {a}_hit_{k}" for a in ('all', 'any') for k in (1, 5, 10))},
-  round(avg(coalesce(1.0::DOUBLE / any_rank, 0)), 6) AS mrr_10 FROM ranks WHERE kind = 'answerable' GROUP BY mode""",
+  round(avg(CASE WHEN any_rank <= 10 THEN 1.0::DOUBLE / any_rank ELSE 0 END), 6) AS mrr_10 FROM ranks WHERE kind = 'answerable' GROUP BY mode""",
 )(lambda t: (lambda m: m.select(*[F.round(c, 6).alias(c) if c not in ("mode", "answerable") else c for c in m.columns]))(E.retrieval_metrics(ranks(t))))
 query(
     "mode_comparison",
     "J6",
-    f"WITH {D_EVAL} SELECT count(DISTINCT case_id) AS cases, count(*) FILTER (WHERE mode = 'query_0' AND any_rank IS NOT NULL) AS query_0, count(*) FILTER (WHERE mode = 'query_1' AND any_rank IS NOT NULL) AS query_1 FROM ranks",
-)(lambda t: E.mode_comparison(ranks(t), ["query_0", "query_1"]))
+    f"""WITH {D_EVAL} SELECT count(DISTINCT case_id) AS cases, count(*) FILTER (WHERE mode = 'query_0' AND any_rank IS NOT NULL) AS query_0, count(*) FILTER (WHERE mode = 'query_1' AND any_rank IS NOT NULL) AS query_1,
+  count(DISTINCT case_id) FILTER (WHERE case_id::INT % 3 <> 0) AS planner_fallbacks, count(DISTINCT case_id) FILTER (WHERE case_id::INT % 5 = 0) AS reranker_unavailable FROM ranks""",
+)(lambda t: E.mode_comparison(ranks(t), ["query_0", "query_1"], runs(t)))
 query(
     "misplaced_terms",
     "J4",

@@ -199,7 +199,7 @@ query(
 
 # Islands: short documents under alternating headings.
 ISLAND = """SELECT source AS document_id, CAST(doc_id DIV 20 AS BIGINT) AS n, concat('r', CAST(doc_id AS STRING)) AS record_id, (doc_id DIV 20) % 13 <> 0 AS prose, CAST((doc_id DIV 20) DIV 9 AS STRING) AS heading,
-  substring(text, 1, 300) AS body FROM {documents}"""
+  text AS body FROM {documents}"""
 
 
 def island_records(t):

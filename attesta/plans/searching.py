@@ -58,6 +58,30 @@ query(
     f"WITH {D_QUERIES} SELECT index_id, channel, vec_id::VARCHAR AS chunk_id, round(distance, 6) AS distance, rank FROM hits",
 )(lambda t: hits(t).select("index_id", "channel", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank")))
 
+def damaged(t):
+    """Every eleventh vector is zero, the next one missing, the next one too short."""
+    m = F.col("ordinal") % 11
+    return vectors(t).withColumn("embedding", F.when(m == 0, F.transform("embedding", lambda x: x * 0)).when(m == 2, F.slice("embedding", 1, DIMS - 1)).when(m > 2, F.col("embedding")))
+
+
+query(
+    "exact_top_k_of_damaged_vectors",
+    "E4",
+    f"""WITH {D_QUERIES}, kept AS (SELECT *, row_number() OVER (PARTITION BY index_id, channel ORDER BY distance, vec_id) AS rank FROM d WHERE vec_id % 11 > 2)
+SELECT index_id, channel, vec_id::VARCHAR AS chunk_id, round(distance, 6) AS distance, rank FROM kept WHERE rank <= 10""",
+)(
+    lambda t: V.exact_top_k(damaged(t), two_channels(t), 10).select("index_id", "channel", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+)
+
+query(
+    "search_faults",
+    "E2 E4",
+    """SELECT label::VARCHAR AS index_id, 'vector' AS kind, vec_id::VARCHAR AS id, CASE vec_id % 11 WHEN 0 THEN 'no_direction' WHEN 1 THEN 'missing_vector' ELSE 'wrong_dimensions' END AS fault FROM embeddings WHERE vec_id % 11 < 3
+UNION ALL SELECT DISTINCT label::VARCHAR, 'query', label::VARCHAR, 'no_direction' FROM embeddings""",
+)(
+    lambda t: V.search_faults(damaged(t), two_channels(t).where("channel = 'query_1'").withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(0.0))))
+)
+
 query(
     "exact_top_k_tiled",
     "E4",

@@ -18,7 +18,7 @@ def _vectors(spark, n, dims=8, seed=1):
     return rows, spark.createDataFrame(rows, "index_id string, chunk_id string, ordinal long, embedding array<float>")
 
 
-def test_inline_and_tiled_search_agree_with_brute_force(spark):
+def test_tiled_search_agrees_with_brute_force(spark):
     rows, vectors = _vectors(spark, 120)
     queries = vectors.where("ordinal < 6").select("index_id", F.col("chunk_id").alias("query_id"), F.lit("q").alias("channel"), "embedding")
     inline = V.exact_top_k(vectors.repartition(5), queries, 7)
@@ -46,6 +46,15 @@ def test_synthetic_distances(spark):
     assert [round(r.distance, 6) for r in V.exact_top_k(v, q, 3).orderBy("rank").collect()] == [0.0, 1.0, 2.0]
 
 
+def test_vectors_without_direction_are_left_out(spark):
+    nan = float("nan")
+    v = spark.createDataFrame([("i", "zero", 0, [0.0, 0.0]), ("i", "none", 1, None), ("i", "short", 2, [1.0]), ("i", "nan", 3, [nan, 1.0]), ("i", "near", 4, [1.0, 0.1]), ("i", "same", 5, [1.0, 0.0])], "index_id string, chunk_id string, ordinal long, embedding array<float>")
+    q = spark.createDataFrame([("i", "q", "c", [2.0, 0.0]), ("i", "bad", "c", [0.0, 0.0]), ("j", "other", "c", [1.0, 0.0])], "index_id string, query_id string, channel string, embedding array<float>")
+    assert [(r.query_id, r.chunk_id) for r in V.exact_top_k(v, q, 2).orderBy("rank").collect()] == [("q", "same"), ("q", "near")]
+    faults = {(r.id, r.fault) for r in V.search_faults(v, q).collect()}
+    assert faults == {("zero", "no_direction"), ("none", "missing_vector"), ("short", "wrong_dimensions"), ("nan", "no_direction"), ("bad", "no_direction")}
+
+
 def test_fusion_values_and_zero_similarity(spark):
     hits = spark.createDataFrame([("q", "a", 1, "x", 0.0), ("q", "a", 2, "y", None), ("q", "a", 3, "x", 0.0), ("q", "b", 1, "y", None)], "question_id string, channel string, rank int, chunk_id string, similarity double")
     rows = {r.chunk_id: r for r in R.fuse(hits, ["question_id"]).collect()}
