@@ -22,7 +22,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 KINDS = ("assign", "access", "hex", "model")
 #: Strings that the models judge, and the words that stand for ordinary identifiers.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ORDINARY = re.compile(r"[A-Za-z0-9_-]{4,}")
+ORDINARY = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z_-]{3,}(?![A-Za-z0-9])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Bound of the rows that are learned from, smoothing of each model, and the least log-likelihood ratio per character.
 FIT_ROWS, SMOOTH_RANDOM, SMOOTH_ORDINARY, LEAST_RATIO = 20_000, 1.0, 0.05, 0.5
