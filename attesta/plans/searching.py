@@ -446,31 +446,31 @@ SELECT s.conv_id AS question_id, s.turn AS position, CASE WHEN ok THEN logit END
 )
 
 
-def assembled(t, k):
+def assembled(t, k, budget=R.BUDGET):
     texts = section_chunks(t).select("document_id", "chunk_id", F.col("contextualized_text").alias("text"), "pages")
     ranked = candidates(t).join(texts, ["document_id", "chunk_id"]).select("question_id", F.col("candidate_no").alias("rank"), "chunk_id", "text", "pages")
     structural = R.structural_candidates(kinds(t), t.sql(PLANS)).select("question_id", "place", "chunk_id", "section_kind")
-    return R.assemble_sources(ranked, structural, t.sql(PLANS), k)
+    return R.assemble_sources(ranked, structural, t.sql(PLANS), k, budget)
 
 
-query("source_assembly", "F12")(lambda t: assembled(t, 5))
-query(
-    "source_assembly_unbudgeted",
-    "F12",
-    f"""WITH {D_CAND}, prot AS (SELECT question_id, chunk_id, min(place) AS p FROM (SELECT struct.*, intent, row_number() OVER (PARTITION BY struct.question_id, section_kind ORDER BY place) AS kn
+def d_assembled(k, budget):
+    """The greedy choice source by source, as a recursion over each question's ordered sources."""
+    return f"""WITH RECURSIVE {D_CAND}, prot AS (SELECT question_id, chunk_id, min(place) AS p FROM (SELECT struct.*, intent, row_number() OVER (PARTITION BY struct.question_id, section_kind ORDER BY place) AS kn
    FROM struct JOIN pl ON pl.question_id = struct.question_id WHERE intent IN ('overview', 'problem', 'contributions', 'metadata')) WHERE intent = 'metadata' OR kn = 1 GROUP BY ALL),
-o AS (SELECT cand.question_id, cand.chunk_id, row_number() OVER (PARTITION BY cand.question_id ORDER BY p IS NULL, coalesce(p, 0), candidate_no, cand.chunk_id) AS n
-  FROM cand LEFT JOIN prot ON prot.question_id = cand.question_id AND prot.chunk_id = cand.chunk_id)
-SELECT question_id, (n - 1)::INT AS place, chunk_id, CASE WHEN n <= 2 THEN concat('S', n::VARCHAR) END AS source_id FROM o""",
-)(lambda t: assembled_short(t))
-
-
-def assembled_short(t):
-    """The same assembly over abridged passages, so that only coverage and k decide."""
-    texts = section_chunks(t).select("document_id", "chunk_id", F.col("headings")[0].alias("text"), "pages")
-    ranked = candidates(t).join(texts, ["document_id", "chunk_id"]).select("question_id", F.col("candidate_no").alias("rank"), "chunk_id", "text", "pages")
-    structural = R.structural_candidates(kinds(t), t.sql(PLANS)).select("question_id", "place", "chunk_id", "section_kind")
-    return R.assemble_sources(ranked, structural, t.sql(PLANS), 2)
+o AS MATERIALIZED (SELECT cand.question_id, cand.chunk_id, row_number() OVER (PARTITION BY cand.question_id ORDER BY p IS NULL, coalesce(p, 0), candidate_no, cand.chunk_id) AS n,
+   length(to_json(concat(heading, chr(10), body))::VARCHAR) + length(concat('{{"source_id": "S", "pages": [', page_no, '], "text": }}')) AS size,
+   length(to_json(question)::VARCHAR) + length('{{"question": , "sources": []}}') AS frame
+  FROM cand JOIN kind ON kind.document_id = cand.document_id AND kind.chunk_id = cand.chunk_id JOIN pl ON pl.question_id = cand.question_id
+  LEFT JOIN prot ON prot.question_id = cand.question_id AND prot.chunk_id = cand.chunk_id),
+g AS (SELECT question_id, 0::BIGINT AS n, frame AS used, 0 AS taken, NULL::VARCHAR AS chunk_id, false AS fits FROM o WHERE n = 1
+  UNION ALL SELECT o.question_id, o.n, CASE WHEN f.fits THEN f.total ELSE g.used END, CASE WHEN f.fits THEN g.taken + 1 ELSE g.taken END, o.chunk_id, f.fits
+  FROM g JOIN o ON o.question_id = g.question_id AND o.n = g.n + 1,
+  LATERAL (SELECT g.used + o.size + length((g.taken + 1)::VARCHAR) + CASE WHEN g.taken > 0 THEN 2 ELSE 0 END AS total, g.taken < {k} AND g.used + o.size + length((g.taken + 1)::VARCHAR) + CASE WHEN g.taken > 0 THEN 2 ELSE 0 END <= {budget} AS fits) f)
+SELECT question_id, (n - 1)::INT AS place, chunk_id, CASE WHEN fits THEN concat('S', taken::VARCHAR) END AS source_id FROM g WHERE n > 0"""
+
+
+query("source_assembly", "F12", d_assembled(5, R.BUDGET))(lambda t: assembled(t, 5))
+query("source_assembly_tight", "F12", d_assembled(8, 9_000))(lambda t: assembled(t, 8, 9_000))
 
 
 query(
