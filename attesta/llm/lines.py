@@ -177,9 +177,12 @@ def line_links(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFr
     hashed = F.xxhash64("id")
     live = rows.groupBy("key").agg(F.min(hashed).alias("lo"), F.max(hashed).alias("hi"), F.min("probe").alias("p"), F.count("*").alias("n")).where("lo <> hi and p = 0").select("key", "n")
     live = cut(rows.join(broadcast_if_small(cut(live)), "key"))
-    wanted = cut(live.select("id").distinct())
+    wanted = cut(live.select("id").distinct().join(lines.select("id", "first"), "id"))
+    holders = broadcast_if_small(wanted.select("first.doc_id", "first.h").distinct())
+    held = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    held = held.join(holders, held["doc_id"].eqNullSafe(holders["doc_id"]) & (held["h"] == holders["h"]), "left_semi")
     # Repeats of a line are equal, whichever comes first.
-    texts = cut(_occurrences(docs, key, text).select(_id(), "line").join(broadcast_if_small(wanted), "id").dropDuplicates(["id"]))
+    texts = cut(_occurrences(held, "doc_id", "text").select(_id(), "line").join(broadcast_if_small(wanted.select("id")), "id").dropDuplicates(["id"]))
 
     n = F.length("line")
     own = texts.select("id", _blocks(F.col("line"), n, 0).alias("own"), _blocks(F.col("line"), n - 1, 0).alias("left"), _blocks(F.col("line"), n - 1, 1).alias("right"))
@@ -208,10 +211,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs are compared by the hashes of eight blocks and then verified; where many meet, every line is linked to one hub
     under keys with one character deleted. Texts are read only of lines that meet others.
     """
-    found = _occurrences(docs, key, text)
+    found = cut(
+        _occurrences(docs, key, text).select("doc_id", "h", "line_no", _id(), *[c.alias(n) for n, c in segment_keys(F.col("line")).items()])
+    )
     lines = cut(
-        found.select("doc_id", "h", "line_no", _id(), *[c.alias(n) for n, c in segment_keys(F.col("line")).items()])
-        .groupBy("id").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("own0", "own1", "probe0", "probe1")])
+        found.groupBy("id").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("own0", "own1", "probe0", "probe1")])
     )
     roots = cut(components(line_links(docs, lines, key, text)))
     linked = roots.join(lines.select("id", "first"), "id")
@@ -219,7 +223,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = linked.join(stays, "root").select("id", "keep").unionByName(
         lines.where("n > 1").join(roots, "id", "left_anti").select("id", F.col("first").alias("keep"))
     )
-    again = found.select("doc_id", "h", "line_no", _id()).join(broadcast_if_small(cut(classes)), "id")
+    again = found.select("doc_id", "h", "line_no", "id").join(broadcast_if_small(cut(classes)), "id")
     return again.where(~F.struct("doc_id", "h", "line_no").eqNullSafe(F.col("keep"))).select(
         "doc_id", "h", "line_no", F.col("keep.doc_id").alias("first_doc"), F.col("keep.line_no").alias("first_line")
     )
