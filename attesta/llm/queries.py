@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontamination, language, lines, pieces, quality, rules, secret_scan, sharding, simhash, surrogates
+from attesta.llm import decontamination, language, lines, oracles, pieces, quality, rules, secret_scan, sharding, simhash, surrogates
 from attesta.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "nbest", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5")
     )
+
+
+ORACLES["op5_decontamination"] = oracles.decontamination_sql()
+ORACLES["op8_quality_rules"] = oracles.rules_sql()
+ORACLES["op9_byte_shards"] = oracles.shards_sql(SHARDS)
