@@ -435,7 +435,7 @@ query(
 )(lambda t: measured(t)[1])
 
 # Graph nodes named by the first words of each document.
-NODE_LABEL = "CASE doc_id % 4 WHEN 0 THEN 'Method' WHEN 1 THEN 'Dataset' WHEN 2 THEN 'Concept' ELSE 'Metric' END"
+NODE_LABEL = "CASE CAST(floor(doc_id / 20) AS BIGINT) % 4 WHEN 0 THEN 'Method' WHEN 1 THEN 'Dataset' WHEN 2 THEN 'Concept' ELSE 'Metric' END"
 
 
 def study_nodes(t):
@@ -469,17 +469,49 @@ query("assess_nodes", "H18", f"WITH {D_NODES} SELECT document_id, doc_id::VARCHA
 query("node_status_histogram", "H20", f"WITH {D_NODES} SELECT document_id, support_status, count(*) AS n FROM ns GROUP BY ALL")(lambda t: S.status_histogram(assessed(t)))
 
 
+EDGE_LABEL = "CASE CAST(floor(doc_id / 20) AS BIGINT) % 4 WHEN 0 THEN CASE step WHEN 1 THEN 'TRAINED_ON' ELSE 'USES_CONCEPT' END WHEN 2 THEN 'USES_CONCEPT' ELSE 'RELATED_TO' END"
+
+
 def study_edges(t):
-    """An edge from every document to the next one of its source."""
-    label = F.when(F.col("doc_id") % 4 == 0, "TRAINED_ON").when(F.col("doc_id") % 4 == 1, "RELATED_TO").otherwise("USES_CONCEPT")
-    own = t.documents.select(F.col("source").alias("document_id"), "doc_id")
-    following = own.select("document_id", (F.col("doc_id") - 20).alias("doc_id"))
-    return own.join(following, ["document_id", "doc_id"]).select(
-        "document_id", F.col("doc_id").alias("edge_id"), F.col("doc_id").cast("string").alias("source"), (F.col("doc_id") + 20).cast("string").alias("target"), label.alias("label"))
+    """Edges from every document to the next one of its source and the one after."""
+    own = t.documents.select(F.col("source").alias("document_id"), "doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
+    following = t.documents.select(F.col("source").alias("document_id"), F.col("doc_id").alias("other"))
+    joined = own.withColumn("other", F.col("doc_id") + 20 * F.col("step")).join(following, ["document_id", "other"])
+    return joined.select(
+        "document_id", (F.col("doc_id") * 2 + F.col("step")).alias("edge_id"), F.col("doc_id").cast("string").alias("source"), F.col("other").cast("string").alias("target"), F.expr(EDGE_LABEL).alias("label"))
+
+
+CUED = " is trained with attention to "
+
+
+def cued_units(t):
+    """Passages of which three in five end with a cue and the name of the next document or the one after."""
+    w = words(t).select(F.col("source").alias("document_id"), (F.col("doc_id") - 20 * (1 + F.pmod(F.floor(F.col("doc_id") / 20), F.lit(2)))).alias("doc_id"), F.concat_ws(" ", "w1", "w2").alias("next"))
+    d = t.documents.select(F.col("source").alias("document_id"), "doc_id", "text").join(w.groupBy("document_id", "doc_id").agg(F.min("next").alias("next")), ["document_id", "doc_id"], "left")
+    return d.select("document_id", F.concat(F.lit("#/texts/"), "doc_id").alias("evidence_id"), F.when((F.col("doc_id") % 5 < 3) & F.col("next").isNotNull(), F.concat("text", F.lit(CUED), "next")).otherwise(F.col("text")).alias("text"))
 
 
-query("assess_edges", "H19")(lambda t: S.assess_edges(study_edges(t), assessed(t), study_anchors(t), doc_units(t)))
-query("usable_graph", "H20")(lambda t: S.usable_graph(assessed(t), S.assess_edges(study_edges(t), assessed(t), study_anchors(t), doc_units(t)))[0].select("document_id", "id", "support_status"))
+D_EDGES = f"""{D_NODES}, nx AS (SELECT document_id, doc_id - 20 * (1 + CAST(floor(doc_id / 20) AS BIGINT) % 2) AS doc_id, min(name) AS next FROM nd GROUP BY ALL),
+cu AS (SELECT w.source AS document_id, w.doc_id, {NORM.format(f"CASE WHEN w.doc_id % 5 < 3 AND next IS NOT NULL THEN concat(w.text, '{CUED}', next) ELSE w.text END")} AS body FROM w LEFT JOIN nx ON nx.document_id = w.source AND nx.doc_id = w.doc_id),
+rf AS (SELECT document_id, doc_id, doc_id AS ref FROM an WHERE linkage = 'quote_match' UNION SELECT nm.document_id, nm.doc_id, nm.ref FROM nm JOIN an ON an.document_id = nm.document_id AND an.doc_id = nm.doc_id WHERE linkage = 'name_match_only'),
+eg AS (SELECT nd.document_id, nd.doc_id * 2 + step AS edge_id, nd.doc_id AS s, nd.doc_id + 20 * step AS t, {EDGE_LABEL.replace('doc_id', 'nd.doc_id')} AS label FROM nd, (VALUES (1), (2)) v(step)),
+ge AS (SELECT eg.document_id, edge_id, s, t, eg.label, CASE WHEN a.support_status = 'rejected' OR b.support_status = 'rejected' OR (eg.label = 'TRAINED_ON' AND (a.label <> 'Method' OR b.label <> 'Dataset')) OR (eg.label = 'USES_CONCEPT' AND (a.label <> 'Method' OR b.label <> 'Concept')) THEN 'invalid_entity_type_or_relationship_pattern'
+  WHEN a.label = 'Method' THEN CASE WHEN EXISTS (SELECT 1 FROM rf JOIN cu ON cu.document_id = rf.document_id AND cu.doc_id = rf.ref JOIN nd n ON n.document_id = rf.document_id WHERE rf.document_id = eg.document_id AND rf.doc_id = eg.s AND n.doc_id = eg.t AND n.k <> '' AND contains(cu.body, n.k)
+      AND regexp_matches(cu.body, CASE eg.label WHEN 'TRAINED_ON' THEN 'train' WHEN 'USES_CONCEPT' THEN 'condition|attention|generat|context|represent|inject' END)) THEN 'target_and_relationship_cue_in_source_passage' ELSE 'source_support_not_resolved' END
+  WHEN EXISTS (SELECT 1 FROM rf x JOIN rf y ON y.document_id = x.document_id AND y.ref = x.ref WHERE x.document_id = eg.document_id AND x.doc_id = eg.s AND y.doc_id = eg.t) THEN 'shared_source_passage' ELSE 'source_support_not_resolved' END AS support_reason
+  FROM eg JOIN ns a ON a.document_id = eg.document_id AND a.doc_id = eg.s JOIN ns b ON b.document_id = eg.document_id AND b.doc_id = eg.t),
+gs AS (SELECT *, CASE support_reason WHEN 'invalid_entity_type_or_relationship_pattern' THEN 'rejected' WHEN 'source_support_not_resolved' THEN 'needs_review' ELSE 'source_linked' END AS support_status FROM ge)"""
+
+
+def assessed_edges(t):
+    return S.assess_edges(study_edges(t), assessed(t), study_anchors(t), cued_units(t))
+
+
+query("assess_edges", "H19", f"WITH {D_EDGES} SELECT document_id, edge_id, s::VARCHAR AS source, t::VARCHAR AS target, label, support_status, support_reason FROM gs")(assessed_edges)
+query(
+    "usable_graph", "H20",
+    f"WITH {D_EDGES} SELECT document_id, doc_id::VARCHAR AS id, support_status FROM ns WHERE support_status <> 'rejected' AND EXISTS (SELECT 1 FROM gs WHERE gs.document_id = ns.document_id AND gs.support_status = 'source_linked' AND doc_id IN (s, t))",
+)(lambda t: S.usable_graph(assessed(t), assessed_edges(t))[0].select("document_id", "id", "support_status"))
 query(
     "combine_faults",
     "H22",
