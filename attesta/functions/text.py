@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,3 +156,18 @@ def codes(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(
         F.array(*[F.when(cond, code if isinstance(code, Column) else F.lit(code)) for cond, code in pairs])
     )
+
+
+def grouped_runs(df: DataFrame, items: str, key: str, value: str, keep: list[str]) -> DataFrame:
+    """One row for each different `key` in an array of structs, with its values in array order, without a shuffle.
+
+    `items` is a sorted array column; equal keys stand side by side, so each is a slice of it.
+    """
+    n = F.size(items)
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(every, lambda i: (i == 0) | (F.get(items, i)[key] != F.get(items, i - 1)[key]))
+    cut = df.select(*keep, items, first.alias("__first"))
+    size = F.size("__first")
+    end = F.when(size > 0, F.concat(F.slice("__first", 2, F.greatest(size - 1, F.lit(0))), F.array(F.size(items)))).otherwise(F.array().cast("array<int>"))
+    one = F.zip_with("__first", end, lambda a, b: F.struct(F.get(items, a)[key].alias(key), F.transform(F.slice(items, a + 1, b - a), lambda x: x[value]).alias(value)))
+    return cut.select(*keep, F.inline(one))

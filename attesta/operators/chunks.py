@@ -25,7 +25,8 @@ CELL_LINE, FLAG_LINE = "Extracted cell: ", "Source flags: "
 EMPTY_TABLE_LINE = "Table structure unavailable; inspect the source layout."
 PAGE_FURNITURE = ("page_header", "page_footer")
 
-SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("content", T.StringType())]))
+
 
 def _long_spans(limit: int):
     @F.pandas_udf(SPAN)
@@ -39,7 +40,7 @@ def _long_spans(limit: int):
                 if end < len(value):
                     space = value.rfind(" ", start + limit // 2, end)
                     end = space + 1 if space >= 0 else end
-                found.append({"start": start, "end": end})
+                found.append({"start": start, "end": end, "content": value[start:end]})
                 start = end
             return found
 
@@ -49,15 +50,15 @@ def _long_spans(limit: int):
 
 
 def text_spans(body: Column, limit: int) -> Column:
-    """Greedy spans covering a text: cut after the last space of the second half, else hard.
+    """Greedy spans covering a text, with their contents: cut after the last space of the second half, else hard.
 
     Texts of one span are settled in the JVM.  Only longer ones cross to Python, in Arrow
     batches: each cut depends on the one before, and a linear scan there measured four
     times faster than a higher-order fold, which re-reads the text for every span.
     """
     size = F.length(body)
-    whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end"), body.alias("content")))
+    empty = F.array().cast("array<struct<start:int,end:int,content:string>>")
     single = F.when(size == 0, empty).when(size <= limit, whole)
     return F.coalesce(single, _long_spans(limit)(F.when(size > limit, body)))
 
@@ -74,11 +75,11 @@ def prose_chunks(units: DataFrame, max_text_chars: int = 2000) -> DataFrame:
     prose = units.where(
         (F.col("kind") == "text") & ~F.col("label").isin(*PAGE_FURNITURE) & has_text("text")
     )
+    # Contents are cut inside the row; the text itself is not repeated with every span.
     spans = prose.withColumn("__spans", text_spans(F.col("text"), max_text_chars)).select(
-        *[c for c in prose.columns], F.inline("__spans")
+        *[c for c in prose.columns if c != "text"], F.inline("__spans")
     )
-    content = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return spans.withColumn("content", content).drop("text").withColumn(
+    return spans.withColumn(
         "chunk_id", chunk_id(F.col("document_id"), F.col("evidence_id"), F.col("start"), F.col("end"), F.col("content"))
     )
 
@@ -199,11 +200,7 @@ def fixed_slices(contents: DataFrame, size: int = 6000) -> DataFrame:
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(size))).otherwise(
         F.array().cast("array<int>")
     )
-    sliced = contents.withColumn("start", F.explode(starts))
+    others = [c for c in contents.columns if c != "text"]
+    sliced = contents.select(*others, F.inline(F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring("text", s + 1, F.lit(size)).alias("text")))))
     identity = F.concat_ws(":", "document_id", F.array_join("refs", ","), F.col("start").cast("string"))
-    return sliced.select(
-        *[c for c in contents.columns if c != "text"],
-        F.substring(F.sha2(identity, 256), 1, 24).alias("slice_id"),
-        "start",
-        F.substring("text", F.col("start") + 1, F.lit(size)).alias("text"),
-    )
+    return sliced.select(*others, F.substring(F.sha2(identity, 256), 1, 24).alias("slice_id"), "start", "text")

@@ -319,15 +319,12 @@ def token_windows(records: DataFrame, tokens: Callable[[Column], Column] = piece
     step = F.greatest(F.lit(1), room - overlap)
     count = F.size("__t")
     starts = F.when(count > 0, F.filter(F.sequence(F.lit(0), count - 1, F.col("__step")), lambda s: (s == 0) | (s - F.col("__step") + F.col("__room") < count)))
+    # Each window is cut inside the row; the tokens are not repeated with it.
+    cut = lambda s: F.array_join(F.slice("__t", s + 1, F.col("__room")), "")
     return (
         records.withColumn("__t", body).withColumn("__room", room).withColumn("__step", step)
-        .select(
-            *DOC, "record_id", "prefix", "__t", "__room", F.posexplode(F.coalesce(starts, F.array().cast("array<int>"))).alias("part", "start"),
-        )
-        .select(
-            *DOC, F.concat("record_id", F.lit(":part:"), F.col("part").cast("string")).alias("record_id"), "part",
-            F.concat("prefix", F.array_join(F.slice("__t", F.col("start") + 1, F.col("__room")), "")).alias("record_text"),
-        )
+        .select(*DOC, "record_id", "prefix", F.posexplode(F.coalesce(F.transform(starts, cut), F.array().cast("array<string>"))).alias("part", "window"))
+        .select(*DOC, F.concat("record_id", F.lit(":part:"), F.col("part").cast("string")).alias("record_id"), "part", F.concat("prefix", "window").alias("record_text"))
     )
 
 
