@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,11 @@ NEWLINE_FREE = re.compile(r" *[^ \n]+| +|\n")
 #: Penalty of a character without a piece, below the least score of an ordinary piece; it becomes its bytes.
 UNKNOWN = 10.0
 #: Segmentations remembered by a Python worker, which bounds its memory and changes no result, and their longest unit.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
-_MEMORY: dict[str, dict[str, tuple[array, float, float]]] = {}
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Longer units, and such with unknown characters, are segmented one by one.
+BATCH_CHARS = 40
+#: Multiplier of the rolling hash by which substrings are looked up in columns.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -34,6 +38,15 @@ class Vocabulary:
     byte_ids: list[int]
     table: dict[str, tuple[int, float] | None] = field(default_factory=dict)
     unknown: float = 0.0
+    #: Sorted hashes of pieces and of what begins pieces, with ids (-1 for a mere beginning) and scores.
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    gains: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    longest: int = 0
+    single: set[str] = field(default_factory=set)
+    memory: dict[str, tuple[bytes, float]] = field(default_factory=dict)
+    scored: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    leads: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
 
     def __post_init__(self) -> None:
         special = set(self.byte_ids) | {0, 1, 2}
@@ -46,6 +59,21 @@ class Vocabulary:
         self.unknown = min((self.scores[i] for p, i in ordinary if p.strip(SPACE)), default=0.0) - UNKNOWN
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p, _ in ordinary):
             raise ValueError("pieces must not span words or lines")
+        self.longest = max(map(len, self.table), default=0)
+        self.single = {p for p, hit in self.table.items() if len(p) == 1 and hit}
+        rows = sorted((_hash(p), *(hit or (-1, 0.0))) for p, hit in self.table.items())
+        self.hashes, self.ids, self.gains = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int32, float)))
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have one hash")
+        self.lattice = lru_cache(10_000)(lambda unit: _backward_edges(unit, self))
+        self.joint = lru_cache(20_000)(lambda parts, n: _paths(list(parts), self, n))
+
+
+def _hash(s: str) -> int:
+    h = 0
+    for c in s:
+        h = (h * int(BASE) + ord(c) + 1) % (1 << 64)
+    return h
 
 
 def read_vocabulary(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -116,8 +144,8 @@ def _lattice(unit: str) -> str:
     return unit.replace(SPACE, MARK).replace(" ", SPACE)
 
 
-def segment(unit: str, v: Vocabulary) -> tuple[array, float, float]:
-    """Ids of the best segmentation of a unit, its score, and how much the second best falls short (inf if none)."""
+def segment(unit: str, v: Vocabulary) -> tuple[bytes, float]:
+    """Ids of the best segmentation of a unit as int32, and how much the second best falls short (inf if none)."""
     u = _lattice(unit)
     literal = SPACE in unit
     best, second, back = forward(u, v)
@@ -127,7 +155,61 @@ def segment(unit: str, v: Vocabulary) -> tuple[array, float, float]:
         start, piece = back[at]
         out[:0] = _bytes_or_piece(unit, u, start, piece, v, literal)
         at = start
-    return array("i", out), best[-1], best[-1] - second[-1]
+    return np.array(out, "<i4").tobytes(), best[-1] - second[-1]
+
+
+def segment_columns(units: list[str], v: Vocabulary) -> list[tuple[bytes, float]]:
+    """`segment` of many units of one length without unknown characters: the same forward pass, a column at a time."""
+    n, size = len(units), len(units[0])
+    codes = np.frombuffer("".join(u.replace(" ", SPACE) for u in units).encode("utf-32-le"), "<u4").reshape(n, size).astype(np.uint64) + np.uint64(1)
+    best, second = np.full((size + 1, n), -inf), np.full((size + 1, n), -inf)
+    start, piece = np.zeros((size + 1, n), np.int16), np.zeros((size + 1, n), np.int32)
+    best[0] = 0.0
+    for s in range(size):
+        rows, h = np.arange(n), np.zeros(n, np.uint64)
+        for e in range(s + 1, min(s + v.longest, size) + 1):
+            h = h * BASE + codes[rows, e - 1]
+            at = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
+            known = v.hashes[at] == h
+            if not known.all():
+                rows, h, at = rows[known], h[known], at[known]
+                if not len(rows):
+                    break
+            whole = v.ids[at] >= 0
+            r, gain = (rows, v.gains[at]) if whole.all() else (rows[whole], v.gains[at[whole]])
+            score, other, old = best[s, r] + gain, second[s, r] + gain, best[e, r]
+            more = score > old
+            second[e, r] = np.where(more, np.maximum(old, other), np.maximum(second[e, r], score))
+            won = r[more]
+            best[e, won], start[e, won], piece[e, won] = score[more], s, v.ids[at[whole]][more]
+    path, at, every = np.full((n, size), -1, np.int32), np.full(n, size), np.arange(n)
+    for column in range(size - 1, -1, -1):
+        live = at > 0
+        if not live.any():
+            break
+        path[live, column] = piece[at[live], every[live]]
+        at = np.where(live, start[at, every], 0)
+    counts = (path >= 0).sum(axis=1)
+    flat, ends = path[path >= 0].astype("<i4").tobytes(), 4 * np.cumsum(counts)
+    return list(zip([flat[b - 4 * c : b] for b, c in zip(ends.tolist(), counts.tolist())], (best[-1] - second[-1]).tolist()))
+
+
+def remember(wanted: set[str], v: Vocabulary) -> None:
+    """Segments the units that aren't in memory; a full memory is emptied first."""
+    new = wanted.difference(v.memory)
+    if len(v.memory) + len(new) > REMEMBERED:
+        v.memory.clear()
+        new = wanted
+    by_length: dict[int, list[str]] = {}
+    for u in new:
+        if len(u) <= BATCH_CHARS and v.single.issuperset(u.replace(" ", SPACE)) and SPACE not in u:
+            by_length.setdefault(len(u), []).append(u)
+        else:
+            v.memory[u] = segment(u, v)
+    for same in by_length.values():
+        for at in range(0, len(same), 20_000):
+            part = same[at : at + 20_000]
+            v.memory.update(zip(part, segment_columns(part, v)))
 
 
 def _bytes_or_piece(unit: str, u: str, start: int, piece: int, v: Vocabulary, literal: bool) -> list[int]:
@@ -136,24 +218,26 @@ def _bytes_or_piece(unit: str, u: str, start: int, piece: int, v: Vocabulary, li
     return [v.byte_ids[b] for b in (unit if literal else u)[start].encode("utf-8", "surrogatepass")]
 
 
+def _backward_edges(unit: str, v: Vocabulary) -> tuple[str, list[float], list[list[tuple[int, int, float]]]]:
+    """A unit as pieces spell it, its forward scores, and for every position the edges that end there."""
+    u = _lattice(unit)
+    into: list[list[tuple[int, int, float]]] = [[] for _ in range(len(u) + 1)]
+    for start in range(len(u)):
+        for end, piece, score in _edges(u, start, v):
+            into[end].append((start, piece, score))
+    return u, forward(u, v)[0], into
+
+
 def _paths(parts: list[str], v: Vocabulary, n: int) -> list[tuple[float, list[list[int]]]]:
     """The n best joint segmentations of some units, best first.
 
     A-star search from the end of the last unit to the beginning of the first. The forward Viterbi score of a position
     is exactly what is left to gain from there, so complete paths leave the agenda in the order of their scores.
     """
-    lattices = [_lattice(p) for p in parts]
-    scores = [forward(u, v)[0] for u in lattices]
+    lattices, scores, into = zip(*map(v.lattice, parts))
     upto = [0.0]
     for s in scores:
         upto.append(upto[-1] + s[-1])
-    into: list[list[list[tuple[int, int, float]]]] = []
-    for u in lattices:
-        edges: list[list[tuple[int, int, float]]] = [[] for _ in range(len(u) + 1)]
-        for start in range(len(u)):
-            for end, piece, score in _edges(u, start, v):
-                edges[end].append((start, piece, score))
-        into.append(edges)
     k = len(parts) - 1
     agenda = [(-upto[-1], 0, k, len(lattices[k]), 0.0, None)]
     made, found = 0, []
@@ -176,43 +260,60 @@ def _paths(parts: list[str], v: Vocabulary, n: int) -> list[tuple[float, list[li
     return found
 
 
-def encode(text: str, v: Vocabulary, n: int, memory: dict[str, tuple[array, float, float]]) -> tuple[array, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
+def encode(text: str, v: Vocabulary, n: int) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, list[int]]]]]]:
     """Ids and score of the best segmentation, and the n best as (score, edits of the best: first piece, pieces, ids).
 
     Only the n-1 units whose second best segmentation costs least can differ from the best in any of the n best: each
     of them alone gives a better alternative than any other unit does. The joint search runs over these.
     """
-    whole, found = units(text), []
-    for u in whole:
-        hit = memory.get(u)
-        if hit is None:
-            hit = segment(u, v)
-            if len(u) <= REMEMBERED_CHARS:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                memory[u] = hit
-        found.append(hit)
-    ids = array("i")
-    for hit in found:
-        ids.extend(hit[0])
-    score = sum(hit[1] for hit in found)
-    gaps = [hit[2] for hit in found]
-    loose = sorted(i for i in heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__) if gaps[i] < inf)
+    whole = units(text)
+    return encode_units(whole, v, n)
+
+
+def encode_units(whole: list[str], v: Vocabulary, n: int):
+    """`encode` of a text that is cut into units already."""
+    try:
+        found = list(map(v.memory.__getitem__, whole))
+    except KeyError:
+        remember(set(whole), v)
+        found = list(map(v.memory.__getitem__, whole))
+    ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
+    if not whole:
+        return ids, 0.0, []
+    gaps = np.array([f[1] for f in found])
+    loose = sorted(i for i in np.argsort(gaps, kind="stable")[: n - 1].tolist() if gaps[i] < inf)
+    parts = [whole[i] for i in loose]
+    outcomes = v.joint(tuple(parts), n) if loose else [(0.0, [])]
+    # Unknown characters score as such, not as the bytes they become: the plain sum only holds for pieces.
+    score = float(_gains(v)[ids].sum()) + _unknown_gain(ids, v)
     if not loose:
-        return ids, score, [(score, [])] if whole else []
-    chosen, offset, at = set(loose), {}, 0
-    for i in range(loose[-1] + 1):
-        if i in chosen:
-            offset[i] = at
-        at += len(found[i][0])
-    fixed = score - sum(found[i][1] for i in loose)
+        return ids, score, [(score, [])]
+    lengths = np.array([len(f[0]) for f in found]) // 4
+    offset = (np.cumsum(lengths) - lengths)[loose].tolist()
+    first = outcomes[0][0]
     best = []
-    for gained, parts in _paths([whole[i] for i in loose], v, n):
-        edits = [(offset[i], len(found[i][0]), p) for i, p in zip(loose, parts) if p != found[i][0].tolist()]
-        best.append((fixed + gained, edits))
+    for gained, new in outcomes:
+        edits = [(o, len(found[i][0]) // 4, p) for i, o, p in zip(loose, offset, new) if np.array(p, "<i4").tobytes() != found[i][0]]
+        best.append((score + (gained - first), edits))
     return ids, score, best
 
 
+def _gains(v: Vocabulary) -> np.ndarray:
+    """Score of each id; byte pieces score nothing here."""
+    if len(v.scored) == 0:
+        v.scored = np.array(v.scores)
+        v.scored[v.byte_ids] = 0.0
+    return v.scored
+
+
+def _unknown_gain(ids: np.ndarray, v: Vocabulary) -> float:
+    """Score of the unknown characters: one for every first byte of a character among the byte pieces."""
+    if len(v.leads) == 0:
+        v.leads = np.zeros(len(v.pieces), bool)
+        v.leads[[i for b, i in enumerate(v.byte_ids) if b & 0xC0 != 0x80]] = True
+    return v.unknown * int(v.leads[ids].sum())
+
+
 def decode(ids, v: Vocabulary) -> str:
     """The text of a sequence of ids: blanks for block signs, runs of bytes as UTF-8, without the leading blank."""
     byte = {i: b for b, i in enumerate(v.byte_ids)}
@@ -243,14 +344,13 @@ def _shared(spark: SparkSession, path: str):
 _BUILT: dict[str, Vocabulary] = {}
 
 
-def _built(shared) -> tuple[Vocabulary, dict]:
-    """One vocabulary and one memory for each Python worker."""
+def _built(shared) -> Vocabulary:
+    """One vocabulary, with its memory, for each Python worker."""
     path, content = shared
     if path not in _BUILT:
         _BUILT.clear()
-        _MEMORY.clear()
         _BUILT[path] = Vocabulary(*content.value)
-    return _BUILT[path], _MEMORY.setdefault(path, {})
+    return _BUILT[path]
 
 
 def encoded(docs: DataFrame, n: int = 4, path: str = MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,22 +366,23 @@ def encoded(docs: DataFrame, n: int = 4, path: str = MODEL, key: str = "doc_id",
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, memory = _built(shared)
+        v = _built(shared)
         for batch in batches:
-            flat, offsets, scores, nbest = array("i"), [0], [], []
-            for t in batch.column(1).to_pylist():
-                if t is None:
-                    offsets[-1:] = [None, len(flat)]
-                    scores.append(None)
-                    nbest.append(None)
-                    continue
-                ids, score, best = encode(t, v, n, memory)
-                flat.extend(ids)
-                offsets.append(len(flat))
-                scores.append(score)
-                nbest.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": p} for a, d, p in edits]} for s, edits in best])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(flat), pa.int32()) if len(flat) else pa.array([], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(scores, pa.float64()), pa.array(nbest, NBEST)], names=["doc_id", "ids", "score", "nbest"])
+            split = [None if t is None else units(t) for t in batch.column(1).to_pylist()]
+            remember({u for whole in split for u in whole or ()}, v)
+            done = [None if whole is None else encode_units(whole, v, n) for whole in split]
+            sizes = [0 if d is None else len(d[0]) for d in done]
+            flat = np.concatenate([d[0] for d in done if d is not None] or [np.zeros(0, np.int32)])
+            ids = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([d is None for d in done])
+            )
+            nbest = [None if d is None else [{"score": s, "edits": [{"at": a, "drop": k, "ids": p} for a, k, p in edits]} for s, edits in d[2]] for d in done]
+            scores = pa.array([None if d is None else d[1] for d in done], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, scores, pa.array(nbest, NBEST)], names=["doc_id", "ids", "score", "nbest"])
+            for whole in split:  # what is too long to stay
+                for u in whole or ():
+                    if len(u) > REMEMBERED_CHARS:
+                        v.memory.pop(u, None)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -295,7 +396,7 @@ def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str
 
     @F.arrow_udf("string")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v, _ = _built(shared)
+        v = _built(shared)
         byte = set(v.byte_ids)
         plain = [None if i in byte else p.replace(SPACE, " ") for i, p in enumerate(v.pieces)]
         for batch in batches:

@@ -301,7 +301,7 @@ def test_best_segmentations(vocabulary):
                 walk(end, score + gain)
 
         walk(0, 0.0)
-        ids, score, best = pieces.encode(text, vocabulary, 4, {})
+        ids, score, best = pieces.encode(text, vocabulary, 4)
         assert [x for x, _ in best] == sorted(found, reverse=True)[:4] and score == best[0][0]
         whole = set()
         for _, edits in best:
@@ -313,7 +313,13 @@ def test_best_segmentations(vocabulary):
         assert len(whole) == len(best)
 
 
+def test_columns_equal_the_single_pass(vocabulary):
+    rng = random.Random(13)
+    units = [" " + "".join(rng.choice("theandoingsß") for _ in range(7)) for _ in range(300)]
+    assert pieces.segment_columns(units, vocabulary) == [pieces.segment(u, vocabulary) for u in units]
+
+
 def test_round_trips(vocabulary):
     for text in ("a▁b ▁", "  x  ", "\n\n a\n", "日本語 \U0001f600 ok", "\x00"):
-        assert pieces.decode(pieces.encode(text, vocabulary, 3, {})[0], vocabulary) == text
-    assert math.isinf(pieces.segment("\n", vocabulary)[2])
+        assert pieces.decode(pieces.encode(text, vocabulary, 3)[0].tolist(), vocabulary) == text
+    assert math.isinf(pieces.segment("\n", vocabulary)[1])
