@@ -400,10 +400,11 @@ def parent_coverage(islands: DataFrame, records: DataFrame) -> DataFrame:
 
 def select_by_heading(chunks: DataFrame, headings: list[str]) -> DataFrame:
     """Chunks under a requested heading, bibliography always left out."""
-    wanted = F.array(*[F.lit(h.casefold()) for h in headings]) if headings else None
+    fold = lambda h: F.replace(F.lower(h), F.lit("ß"), F.lit("ss"))
+    wanted = F.array(*[fold(F.lit(h)) for h in headings]) if headings else None
     biblio = F.exists("headings", lambda h: F.trim(h).rlike(r"^(?i)(?:(?:\d+[. ]*)?references|bibliography)$"))
     rows = chunks.where(~biblio)
-    return rows.where(F.arrays_overlap(F.transform("headings", F.lower), wanted)) if headings else rows
+    return rows.where(F.arrays_overlap(F.transform("headings", fold), wanted)) if headings else rows
 
 
 def missing_headings(chunks: DataFrame, requested: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from attesta.functions.lineage import shared_folder
 from attesta.functions.stage import stage
 from attesta.operators import fulltext as T
 from attesta.operators import questions as Q
@@ -13,6 +16,7 @@ from attesta.operators import vector_index as V
 from attesta.plans import duck, fixtures as fx, query
 from attesta.plans.chunking import asked
 from attesta.plans.evidence import D_TEXT, text_items
+from attesta.sources import sinks
 
 DIMS = 64
 
@@ -167,6 +171,20 @@ SELECT index_id, channel, vec_id::VARCHAR AS chunk_id, position FROM r WHERE vec
 STORED = "ordinal % 3 <> 0"
 
 
+def stored_twice(t):
+    """Two thirds of the vectors are stored, then all of them, in a folder of this run; the second report."""
+    path = f"{shared_folder(t.spark)}/vectors-{uuid.uuid4()}"
+    sinks.store_vectors(t.spark, vectors(t).where(STORED), path)
+    return sinks.store_vectors(t.spark, vectors(t), path)
+
+
+query(
+    "store_vectors",
+    "A21",
+    """SELECT label::VARCHAR AS index_id, count(*) AS stored_chunks, count(*) FILTER (WHERE vec_id % 3 = 0) AS new_rows, count(*) FILTER (WHERE vec_id % 3 <> 0) AS existing_rows_reused FROM embeddings GROUP BY label""",
+)(stored_twice)
+
+
 def chunk_rows(t):
     return vectors(t).withColumn("text", F.concat(F.lit("t"), "chunk_id")).withColumn("token_count", F.length("chunk_id"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions.lineage import cut
 from attesta.operators import vector_index as V
 
 
@@ -76,17 +77,20 @@ def export(kind: str, paper: str, parts: dict[str, DataFrame]) -> DataFrame:
 def store_vectors(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
     """Append missing vectors, read everything back, and report per index.
 
-    Fails when a stored row differs from its input; rerunning an identical load adds nothing.
+    Fails when a stored row differs from its input or a key occurs twice in it; rerunning an identical load adds
+    nothing, and an empty one gives an empty report.
     """
+    if not incoming.groupBy(*V.KEY).count().where("count > 1").isEmpty():
+        raise ValueError("repeated keys among the incoming vectors")
     existing = spark.read.schema(incoming.schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], incoming.schema)
     # The report describes the state before the append, so it is kept apart from the table.
-    report = [r.asDict() for r in V.storage_report(existing, incoming).collect()]
+    report = cut(V.storage_report(existing, incoming))
     V.new_vectors(existing, incoming).write.mode("append").partitionBy("index_id").parquet(path)
     stored = spark.read.schema(incoming.schema).parquet(path)
     touched = stored.join(incoming.select("index_id").distinct(), "index_id", "left_semi")
     if V.read_back_differences(incoming, touched).limit(1).count():
         raise RuntimeError("stored vectors differ from their input")
-    return spark.createDataFrame(report)
+    return report
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
