@@ -163,11 +163,17 @@ def grouped_runs(df: DataFrame, items: str, key: str, value: str, keep: list[str
 
     `items` is a sorted array column; equal keys stand side by side, so each is a slice of it.
     """
-    n = F.size(items)
-    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    first = F.filter(every, lambda i: (i == 0) | (F.get(items, i)[key] != F.get(items, i - 1)[key]))
-    cut = df.select(*keep, items, first.alias("__first"))
-    size = F.size("__first")
-    end = F.when(size > 0, F.concat(F.slice("__first", 2, F.greatest(size - 1, F.lit(0))), F.array(F.size(items)))).otherwise(F.array().cast("array<int>"))
-    one = F.zip_with("__first", end, lambda a, b: F.struct(F.get(items, a)[key].alias(key), F.transform(F.slice(items, a + 1, b - a), lambda x: x[value]).alias(value)))
-    return cut.select(*keep, F.inline(one))
+    # Bound first, so that the sorting is not repeated for every element wherever the optimizer moves this.
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+    none = F.array().cast("array<int>")
+
+    def starts(v: Column) -> Column:
+        every = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(none)
+        return F.filter(every, lambda i: (i == 0) | (F.get(v, i)[key] != F.get(v, i - 1)[key]))
+
+    def slices(v: Column, first: Column) -> Column:
+        n = F.size(first)
+        ends = F.when(n > 0, F.concat(F.slice(first, 2, F.greatest(n - 1, F.lit(0))), F.array(F.size(v)))).otherwise(none)
+        return F.zip_with(first, ends, lambda a, b: F.struct(F.get(v, a)[key].alias(key), F.transform(F.sequence(a, b - 1), lambda i: F.get(v, i)[value]).alias(value)))
+
+    return df.select(*keep, F.inline(let(F.col(items), lambda v: let(starts(v), lambda first: slices(v, first)))))
