@@ -232,10 +232,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "removed") -> DataFrame:
     """`docs` with copied lines taken out of the text, and the struct array `into` of (line_no, first_doc, first_line).
 
-    Other columns and rows stay as they are; lines that remain keep their order and form. A text whose lines are all
+    A column that is called `into` already is replaced. Other columns and rows stay as they are; lines that remain keep their order and form. A text whose lines are all
     copies becomes empty, a null text stays null, an empty one empty. Rows that repeat both key and text get the same
     result as one another. An empty table gives an empty one.
     """
+    docs = docs.drop(into)
     k, h, split, at = unused(docs, "key_of_line", "hash_of_text", "lines_of_text", "places_that_stay")
     gone = repeated_lines(docs, key, text).distinct().groupBy(F.col("doc_id").alias(k), F.col("h").alias(h)).agg(
         F.sort_array(F.collect_list(F.struct("line_no", "first_doc", "first_line"))).alias(into)

@@ -273,9 +273,9 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    values = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(60)] + [("given_m", f"name{i}") for i in range(3000)], "type string, value string")
+    values = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(60)] + [("given_m", f"name{i}") for i in range(3000)], "type string, value string")
     table = surrogates.surrogate_table(values, "k").collect()
-    for kind, n in (("ssn", 40), ("given_m", 3000)):
+    for kind, n in (("ssn", 60), ("given_m", 3000)):
         mine = [r for r in table if r["type"] == kind]
         assert len({r["surrogate"] for r in mine}) == len(mine)
         assert not {r["surrogate"] for r in mine} & {r["value"] for r in mine}

@@ -67,11 +67,11 @@ def test_pipeline(spark, corpus):
             docs = out
         kept[name] = {r["doc_id"]: r.asDict() for r in out.collect()}
     assert set(kept["language_id"]) == set(texts) - {63, 64}
-    assert set(kept["line_dedup"]) == set(kept["language_id"])
+    assert set(kept["line_dedup"]) == set(kept["language_id"]) - {60, 61}  # copies of the first document as a whole
     assert sum(shared in r["text"] for r in kept["line_dedup"].values()) == 1
-    assert all(kept["line_dedup"][i]["text"] == texts[i] for i in range(5, 60)) and kept["line_dedup"][60]["text"] == ""
+    assert all(kept["line_dedup"][i]["text"] == texts[i] for i in range(5, 60))
     assert all(r["n_chars"] == len(r["text"]) for r in kept["line_dedup"].values())
-    assert set(kept["near_duplicates"]) == set(kept["line_dedup"]) - {61}
+    assert set(kept["near_duplicates"]) == set(kept["line_dedup"])
     assert set(kept["decontaminate"]) == set(kept["near_duplicates"]) - {62}
     assert set(kept["encode"]) == set(kept["decontaminate"])
     assert corpus_pipeline.run(spark, folder).count() == len(kept["encode"])
