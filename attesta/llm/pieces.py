@@ -397,8 +397,10 @@ def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str
     @F.arrow_udf("string")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = _built(shared)
-        byte = set(v.byte_ids)
-        plain = [None if i in byte else p.replace(SPACE, " ") for i, p in enumerate(v.pieces)]
+        # A byte below 128 is a character of its own; longer characters are put together by `decode`.
+        plain: list[str | None] = [p.replace(SPACE, " ") for p in v.pieces]
+        for b, i in enumerate(v.byte_ids):
+            plain[i] = chr(b) if b < 128 else None
         for batch in batches:
             out = []
             for x in batch.to_pylist():
