@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import broadcast_if_small, lower_ascii, texts, words
+from attesta.functions.lineage import cut
+from attesta.llm.common import broadcast_if_small, let, lower_ascii, texts, words
 
 WIDTH, CONTAINED = 5, 0.8
 #: Chance to miss a document that holds the least part of the shortest item that counts as contained.
@@ -15,18 +17,22 @@ MISS = 1e-4
 CLASSES = 40
 
 
+def _windows(w: Column, width: int, kind: str, one: Callable[[list[Column]], Column]) -> Column:
+    """`one` of every window of `width` words of the array `w`, which is bound first: the optimizer may move this."""
+    return let(
+        w,
+        lambda v: F.when(F.size(v) >= width, F.transform(F.sequence(F.lit(0), F.size(v) - width), lambda i: one([F.get(v, i + k) for k in range(width)])))
+        .otherwise(F.array().cast(f"array<{kind}>")),
+    )
+
+
 def shingle_texts(w: Column, width: int) -> Column:
     """Space-joined windows of `width` words of the array column `w`; none if it has fewer."""
-    return F.when(
-        F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.concat_ws(" ", F.slice(w, i + 1, width)))
-    ).otherwise(F.array().cast("array<string>"))
+    return _windows(w, width, "string", lambda x: F.concat_ws(" ", *x))
 
 
 def shingle_hashes(w: Column, width: int) -> Column:
-    return F.when(
-        F.size(w) >= width,
-        F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    return _windows(w, width, "bigint", lambda x: F.xxhash64(*x))
 
 
 def bin_load(least_shared: int, miss: float = MISS) -> float:
@@ -45,11 +51,14 @@ def signature(hashes: Column, size_class: Column, load: float) -> Column:
         return hashes
     # A bin is the integer part of hash * bins / 2^64; bins is the class's upper size over the load.
     scale = F.pow(F.lit(2.0), size_class + 1) / F.lit(load) / F.lit(2.0**64)
-    binned = lambda h: F.floor(h.cast("double") * scale)
-    return F.transform(
-        F.filter(F.arrays_zip(hashes.alias("h"), F.concat(F.array(F.lit(None).cast("bigint")), hashes).alias("before")), lambda x: x["h"].isNotNull() & (x["before"].isNull() | (binned(x["h"]) != binned(x["before"])))),
-        lambda x: x["h"],
-    )
+
+    def first_of_bins(x: Column) -> Column:
+        bin_of = lambda h: F.floor(h.cast("double") * x["scale"])
+        pairs = F.arrays_zip(x["h"].alias("h"), F.concat(F.array(F.lit(None).cast("bigint")), x["h"]).alias("before"))
+        kept = F.filter(pairs, lambda p: p["h"].isNotNull() & (p["before"].isNull() | (bin_of(p["h"]) != bin_of(p["before"]))))
+        return F.transform(kept, lambda p: p["h"])
+
+    return let(F.struct(hashes.alias("h"), scale.alias("scale")), first_of_bins)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", contained: float = CONTAINED) -> DataFrame:
@@ -92,9 +101,9 @@ def _of_width(split: DataFrame, probes: DataFrame, sizes: DataFrame, width: int,
     index = classed.select("doc_id", F.explode(signature(F.col("hashes"), F.col("size_class"), load)).alias("h"))
     # The same hash as that of a document's window: its words, not its text.
     probe = probes.select("item_id", F.split("shingle", " ").alias("w")).select("item_id", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(width)]).alias("h"))
-    candidates = index.join(broadcast_if_small(probe), "h").select("doc_id", "item_id").distinct()
+    candidates = cut(index.join(broadcast_if_small(probe), "h").select("doc_id", "item_id").distinct())
     shingles = (
-        split.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+        split.join(broadcast_if_small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
         .select("doc_id", F.explode(F.array_distinct(shingle_texts(F.col("w"), width))).alias("shingle"))
     )
     shared = (
