@@ -16,7 +16,7 @@ GIVEN_FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Anna
 
 WORD = r"\p{Lu}[\p{L}'’-]*\p{L}"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w-])\d{4}(?:[ -]?\d{4}){3}(?![\w]|-\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
@@ -24,7 +24,15 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,6}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "person": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES_MALE + TITLES_FEMALE)})\.? {WORD}(?: {WORD})?|(?:{'|'.join(GIVEN_MALE + GIVEN_FEMALE)}) {WORD})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All of them, each behind a glance at what it can begin with, as one pass over every text has to be cheap.
+BEGINS = {"email": "(?<![A-Za-z0-9._%+-])", "ip": r"(?=\d)", "card": r"(?=\d)", "ssn": r"(?=\d)", "phone": r"(?=[+(\d])", "iban": r"(?=[A-Z]{2}\d)", "person": r"(?=\p{Lu})"}
+ANY = "|".join(f"{BEGINS[k]}(?:{p})" for k, p in PATTERNS.items())
+
+#: A round leaves the share of values whose surrogates collide, so this is only met where a format has no room left.
+ATTEMPTS = 50
+
+#: About a hundred bytes each.
+BROADCAST_ENTITIES = 500_000
 
 #: Syllables of made-up names, and the endings that tell gender.
 LATIN = ("ba da fe go ka le mi no pa ra se ti vo wen lor mar nel sten bri dal", {"m": "n r s o", "f": "a ina ia elle", "s": "er son ler by"})
@@ -144,7 +152,7 @@ def surrogate_table(values: DataFrame, key: str) -> DataFrame:
 
     Each round makes the surrogates of the values that have none yet. One that equals a real value of its type or an
     earlier surrogate is refused; of equal new ones the least value keeps it. The others try again with the next
-    attempt in their seed, until none is left. Given names of both genders count as one type here.
+    attempt in their seed, until none is left; a format without room for all its values is an error. Given names of both genders count as one type here.
     """
     space = lambda c: F.regexp_replace(c, "^given_.$", "given")
     real = cut(values.select("type", "value").distinct())
@@ -164,6 +172,8 @@ def surrogate_table(values: DataFrame, key: str) -> DataFrame:
             return settled.select("type", "value", "surrogate")
         taken = taken.unionByName(won.select("space", "surrogate"))
         attempt += 1
+        if attempt == ATTEMPTS:
+            raise ValueError("a format has fewer free surrogates than values")
 
 
 def laid(found: Column, kind: Column, parts: Column) -> Column:
@@ -181,16 +191,19 @@ def laid(found: Column, kind: Column, parts: Column) -> Column:
 def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text", into: str = "private") -> DataFrame:
     """`docs` with surrogates in the text, and the struct array `into` of (kind, surrogate) in the order of the text.
 
+    A column that is called `into` already is replaced.
+
     The surrogate of a value depends on `secret`, its type and the value, and on nothing else unless two collide; it is
     the same in every document. Texts without entities, empty texts, nulls and all other columns stay as they are;
-    rows that repeat both key and text get equal results; an empty table gives an empty one. Only documents with
-    entities are shuffled; a value found in very many documents is one row of the surrogate table.
+    rows that repeat both key and text get equal results; an empty table gives an empty one. Texts are searched once;
+    what was found is narrow, and a value found in very many documents is one row of the surrogate table. The lists of
+    surrogates are broadcast to the texts if they hold BROADCAST_ENTITIES at most, else both are shuffled.
     """
+    docs = docs.drop(into)
     k, h, k2, h2 = unused(docs, "key_of_text", "hash_of_text", "key_of_entities", "hash_of_entities")
     typed = docs.withColumn(h, F.xxhash64(F.col(text).cast("string")))
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
-    entity = typed.where(has).select(F.col(key).alias(k), F.col(h), F.posexplode(detected(F.col(text))).alias("pos", "found")).distinct()
-    entity = cut(entity.select(k, h, "pos", "found", _kind(F.col("found")).alias("kind")))
+    entity = cut(typed.select(F.col(key).alias(k), F.col(h), F.posexplode(detected(F.col(text))).alias("pos", "found")))
+    entity = entity.distinct().select(k, h, "pos", "found", _kind(F.col("found")).alias("kind"))
     parts = entity.select(k, h, "pos", "found", "kind", F.posexplode(units(F.col("found"), F.col("kind"))).alias("no", "unit")).select(k, h, "pos", "found", "kind", "no", "unit.type", "unit.value")
     named = surrogate_table(parts.select("type", "value"), secret)
     whole = parts.join(broadcast_if_small(named), ["type", "value"]).groupBy(k, h, "pos", "found", "kind").agg(
@@ -199,9 +212,12 @@ def replace_private(docs: DataFrame, secret: str, key: str = "doc_id", text: str
     listed = whole.select(k, h, "pos", "kind", laid(F.col("found"), F.col("kind"), F.col("parts")).alias("surrogate")).groupBy(k, h).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "kind", "surrogate"))), lambda x: F.struct(x["kind"].alias("kind"), x["surrogate"].alias("surrogate"))).alias(into)
     )
-    listed = listed.select(F.col(k).alias(k2), F.col(h).alias(h2), into)
-    joined = typed.where(has).join(listed, F.col(key).eqNullSafe(F.col(k2)) & (F.col(h) == F.col(h2))).drop(h, k2, h2)
+    listed = cut(listed.select(F.col(k).alias(k2), F.col(h).alias(h2), into))
+    small = listed.agg(F.coalesce(F.sum(F.size(into)), F.lit(0))).first()[0] <= BROADCAST_ENTITIES
+    joined = typed.join(F.broadcast(listed) if small else listed, F.col(key).eqNullSafe(F.col(k2)) & (F.col(h) == F.col(h2)), "left").drop(h, k2, h2)
     between = F.split(F.col(text), ANY, -1)
     woven = F.array_join(F.zip_with(between, F.col(f"{into}.surrogate"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    clean = typed.where(~has).drop(h).withColumn(into, F.array().cast(joined.schema[into].dataType))
-    return joined.withColumn(text, woven).select(*docs.columns, into).unionByName(clean.select(*docs.columns, into))
+    return joined.select(
+        *[F.when(F.col(into).isNull(), F.col(c)).otherwise(woven).alias(c) if c == text else F.col(c) for c in docs.columns],
+        F.coalesce(F.col(into), F.array().cast(listed.schema[into].dataType)).alias(into),
+    )
