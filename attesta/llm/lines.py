@@ -202,7 +202,7 @@ def line_links(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFr
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h, line_no, first_doc, first_line): every line that is a copy of an earlier one, with the one that stays.
+    """(doc_id, h, line_no, first_doc, first_h, first_line): every line that is a copy of an earlier one, with the one that stays.
 
     Copies are lines of MIN_CHARS normalized characters or more that are equal or linked by steps of at most EDITS
     edits; of each class the line first in (key, hash of the text, line number) stays. h is xxhash64 of the row's text.
@@ -225,20 +225,52 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     again = found.select("doc_id", "h", "line_no", "id").join(broadcast_if_small(cut(classes)), "id")
     return again.where(~F.struct("doc_id", "h", "line_no").eqNullSafe(F.col("keep"))).select(
-        "doc_id", "h", "line_no", F.col("keep.doc_id").alias("first_doc"), F.col("keep.line_no").alias("first_line")
+        "doc_id", "h", "line_no", F.col("keep.doc_id").alias("first_doc"), F.col("keep.h").alias("first_h"), F.col("keep.line_no").alias("first_line")
     )
 
 
-def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "removed") -> DataFrame:
+def whole_copies(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, h) of the rows that lose lines and hold nothing else: every other line is blank, or is short and a copy too.
+
+    `gone` is what `repeated_lines` found. A short line is a copy if a text that keeps a line removed here has it,
+    normalized; such a text keeps a long line, so it stays itself.
+    """
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    lost = gone.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("nos"), F.collect_set(F.struct("first_doc", "first_h")).alias("keepers"))
+    all_lines = F.transform(F.split("text", "\n", -1), normalized)
+    left = F.filter(F.transform("all", lambda x, i: F.when(~F.array_contains("nos", i), x)), lambda x: F.length(x) > 0)
+    digests = lambda x: F.array_distinct(F.transform(x, lambda y: F.unhex(F.md5(y.cast("binary")))))
+    short = rows.join(lost.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g"), rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g")))
+    short = short.select("doc_id", "h", "keepers", "nos", all_lines.alias("all")).select("doc_id", "h", "keepers", left.alias("left"))
+    short = short.where(~F.exists("left", lambda x: F.length(x) >= MIN_CHARS))
+    short = cut(short.select("doc_id", "h", "keepers", digests(F.col("left")).alias("need")).dropDuplicates(["doc_id", "h"]))
+
+    asked = cut(short.where(F.size("need") > 0).select(F.explode("keepers").alias("k")).select(F.col("k.first_doc").alias("doc_id"), F.col("k.first_h").alias("h")).distinct())
+    asked = broadcast_if_small(asked)
+    has = rows.join(asked, same(rows, asked), "left_semi").select("doc_id", "h", all_lines.alias("all"))
+    has = has.select("doc_id", "h", F.explode(digests(F.filter("all", lambda x: (F.length(x) > 0) & (F.length(x) < MIN_CHARS)))).alias("s")).distinct()
+    has = has.select(F.xxhash64("doc_id", "h", "s").alias("at"), F.col("doc_id").alias("first_doc"), F.col("h").alias("first_h"), F.col("s").alias("t"))
+    need = short.select("doc_id", "h", F.explode("keepers").alias("k"), "need").select("doc_id", "h", "k", F.explode("need").alias("s"))
+    need = need.withColumn("at", F.xxhash64("k.first_doc", "k.first_h", "s"))
+    met = need.join(has, "at").where(F.col("k.first_doc").eqNullSafe(F.col("first_doc")) & (F.col("k.first_h") == F.col("first_h")) & (F.col("s") == F.col("t")))
+    met = met.select("doc_id", "h", "s").distinct().groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.count("*").alias("n"))
+    found = short.join(met, short["doc_id"].eqNullSafe(met["d"]) & (short["h"] == met["g"]), "left")
+    return found.where(F.size("need") == F.coalesce("n", F.lit(0))).select("doc_id", "h")
+
+
+def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", into: str = "removed", found: DataFrame | None = None) -> DataFrame:
     """`docs` with copied lines taken out of the text, and the struct array `into` of (line_no, first_doc, first_line).
 
     A column that is called `into` already is replaced. Other columns and rows stay as they are; lines that remain keep their order and form. A text whose lines are all
     copies becomes empty, a null text stays null, an empty one empty. Rows that repeat both key and text get the same
-    result as one another. An empty table gives an empty one.
+    result as one another. An empty table gives an empty one. `found` is what `repeated_lines` gave for `docs`, if a
+    caller has it already.
     """
     docs = docs.drop(into)
     k, h, split, at = unused(docs, "key_of_line", "hash_of_text", "lines_of_text", "places_that_stay")
-    gone = repeated_lines(docs, key, text).distinct().groupBy(F.col("doc_id").alias(k), F.col("h").alias(h)).agg(
+    found = repeated_lines(docs, key, text) if found is None else found
+    gone = found.select("doc_id", "h", "line_no", "first_doc", "first_line").distinct().groupBy(F.col("doc_id").alias(k), F.col("h").alias(h)).agg(
         F.sort_array(F.collect_list(F.struct("line_no", "first_doc", "first_line"))).alias(into)
     )
     typed = docs.withColumn(h, F.xxhash64(F.col(text).cast("string")))
