@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import decontamination, rules
+from attesta.llm import decontamination, ranked, rules
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GAP = r"[\x20\x09-\x0D]+"
@@ -58,3 +58,17 @@ def shards_sql(shards: int) -> str:
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS begins, sum(size) OVER () AS whole FROM d),
 s AS (SELECT *, (begins * {shards} // whole)::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM s"""
+
+
+def ranked_sql(k: int) -> str:
+    """Every document scored by a join of its terms with those of the items."""
+    terms = lambda table: f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^{ranked.BREAK[1:-2]}]+') AS w FROM {table}"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms('documents')}),
+c AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS whole FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(w) AS t FROM (SELECT item_id, {terms('benchmark WHERE item_id IS NOT NULL')})),
+tf AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // whole))))::BIGINT AS score
+  FROM tf JOIN df USING (t) JOIN q USING (t), c WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id),
+o AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= {k}"""

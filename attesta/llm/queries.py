@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontamination, language, lines, oracles, pieces, quality, rules, secret_scan, sharding, simhash, surrogates
+from attesta.llm import decontamination, language, lines, oracles, pieces, quality, ranked, rules, secret_scan, sharding, simhash, surrogates
 from attesta.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 ORACLES["op5_decontamination"] = oracles.decontamination_sql()
 ORACLES["op8_quality_rules"] = oracles.rules_sql()
 ORACLES["op9_byte_shards"] = oracles.shards_sql(SHARDS)
+ORACLES["op13_ranked_search"] = oracles.ranked_sql(50)
