@@ -72,3 +72,24 @@ s AS (SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df +
   FROM tf JOIN df USING (t) JOIN q USING (t), c WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id),
 o AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT * FROM o WHERE rank <= {k}"""
+
+
+def trie_sql() -> str:
+    """Prefixes as strings; the subtree of a node is all nodes whose least member passes through it that far down."""
+    table = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    octets = "list_transform(regexp_extract_all(hex(c::VARCHAR), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"""WITH t AS MATERIALIZED (SELECT {table} AS crc),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, n, xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT % 9 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY c), t),
+l AS (SELECT v.c, v.h, v.n, least(v.h, coalesce(b.n, 0)) AS taken FROM v LEFT JOIN v AS b ON b.c = v.c - v.c % 5),
+r AS (SELECT l.c, i AS d, role, text FROM l JOIN o ON o.c = l.c - l.c % 5 WHERE i <= h UNION ALL SELECT l.c, i - h + taken, role, text FROM l JOIN o ON o.c = l.c WHERE i > h),
+s AS (SELECT c, d, text, string_agg(length(role) || ':' || length(text) || ':' || role || text, ',') OVER (PARTITION BY c ORDER BY d) AS p FROM r),
+k AS (SELECT c, d, text, p FROM s UNION ALL SELECT c, 0, '', '' FROM v),
+z AS (SELECT c, max(d) AS n FROM k GROUP BY c),
+n AS (SELECT d, p, min(c) AS m, count(*) AS n_convs, (count(*) - 1) * octet_length(encode(any_value(text))) AS own, string_agg(CASE WHEN z.n = d THEN c::VARCHAR END, ',' ORDER BY c) AS ids FROM k JOIN z USING (c) GROUP BY d, p),
+w AS (SELECT k.c, k.d, n.m FROM k JOIN n USING (d, p)),
+g AS (SELECT n.*, a.m AS up FROM n LEFT JOIN w AS a ON a.c = n.m AND a.d = n.d - 1),
+f AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM g WHERE d > 0 GROUP BY up, d),
+e AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN f ON f.up = g.m AND f.d = g.d),
+u AS (SELECT w.m, w.d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM e JOIN w ON w.c = e.m AND w.d <= e.d GROUP BY w.m, w.d)
+SELECT e.m AS conv_id, e.d::BIGINT AS depth, up AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM e JOIN u ON u.m = e.m AND u.d = e.d"""

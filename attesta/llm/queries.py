@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import decontamination, language, lines, oracles, pieces, quality, ranked, rules, secret_scan, sharding, simhash, surrogates
+from attesta.llm import decontamination, language, lines, oracles, pieces, prefix_trie, quality, ranked, rules, secret_scan, sharding, shingle_join, simhash, surrogates
 from attesta.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,20 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the conversations, each with its first turns taken from the first conversation of its five."""
+    c = F.col("conv_id")
+    head = F.crc32(c.cast("string").cast("binary")) % 9
+    return prefix_trie.trie(*prefix_trie.grafted(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), head, c - c % 5))
+
+
+@_query
+def op12_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at a five-word similarity of 0.8 or more."""
+    return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of each benchmark item."""
@@ -108,3 +122,4 @@ ORACLES["op5_decontamination"] = oracles.decontamination_sql()
 ORACLES["op8_quality_rules"] = oracles.rules_sql()
 ORACLES["op9_byte_shards"] = oracles.shards_sql(SHARDS)
 ORACLES["op13_ranked_search"] = oracles.ranked_sql(50)
+ORACLES["op11_prefix_trie"] = oracles.trie_sql()
