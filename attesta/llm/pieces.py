@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 from math import inf
 
 import numpy as np
@@ -149,13 +150,13 @@ def segment(unit: str, v: Vocabulary) -> tuple[bytes, float]:
     u = _lattice(unit)
     literal = SPACE in unit
     best, second, back = forward(u, v)
-    out: list[int] = []
+    steps: list[list[int]] = []
     at = len(u)
     while at:
         start, piece = back[at]
-        out[:0] = _bytes_or_piece(unit, u, start, piece, v, literal)
+        steps.append(_bytes_or_piece(unit, u, start, piece, v, literal))
         at = start
-    return np.array(out, "<i4").tobytes(), best[-1] - second[-1]
+    return np.fromiter(chain.from_iterable(reversed(steps)), "<i4").tobytes(), best[-1] - second[-1]
 
 
 def segment_columns(units: list[str], v: Vocabulary) -> list[tuple[bytes, float]]:
@@ -232,17 +233,23 @@ def _paths(parts: list[str], v: Vocabulary, n: int) -> list[tuple[float, list[li
     """The n best joint segmentations of some units, best first.
 
     A-star search from the end of the last unit to the beginning of the first. The forward Viterbi score of a position
-    is exactly what is left to gain from there, so complete paths leave the agenda in the order of their scores.
+    is exactly what is left to gain from there, so complete paths leave the agenda in the order of their scores. No
+    more than n of the paths to a position can be part of the n best, so a position is left n times at most; of equal ranks the
+    latest goes first, which takes one of many ties to its end instead of all of them a step.
     """
-    lattices, scores, into = zip(*map(v.lattice, parts))
+    lattices, scores, into = zip(*[v.lattice(p) if len(p) <= REMEMBERED_CHARS else _backward_edges(p, v) for p in parts])
     upto = [0.0]
     for s in scores:
         upto.append(upto[-1] + s[-1])
     k = len(parts) - 1
     agenda = [(-upto[-1], 0, k, len(lattices[k]), 0.0, None)]
     made, found = 0, []
+    left = [[0] * (len(u) + 1) for u in lattices]
     while agenda and len(found) < n:
         rank, _, k, at, gained, path = heapq.heappop(agenda)
+        if left[k][at] == n:
+            continue
+        left[k][at] += 1
         if at == 0 and k == 0:
             ids: list[list[int]] = [[] for _ in parts]
             while path:
@@ -254,7 +261,9 @@ def _paths(parts: list[str], v: Vocabulary, n: int) -> list[tuple[float, list[li
             k -= 1
             at = len(lattices[k])
         for start, piece, score in into[k][at]:
-            made += 1
+            if left[k][start] == n:
+                continue
+            made -= 1
             total = gained + score
             heapq.heappush(agenda, (-(total + scores[k][start] + upto[k]), made, k, start, total, ((k, start, piece), path)))
     return found
@@ -283,7 +292,8 @@ def encode_units(whole: list[str], v: Vocabulary, n: int):
     gaps = np.array([f[1] for f in found])
     loose = sorted(i for i in np.argsort(gaps, kind="stable")[: n - 1].tolist() if gaps[i] < inf)
     parts = [whole[i] for i in loose]
-    outcomes = v.joint(tuple(parts), n) if loose else [(0.0, [])]
+    short = sum(map(len, parts)) <= REMEMBERED_CHARS * n
+    outcomes = (v.joint(tuple(parts), n) if short else _paths(parts, v, n)) if loose else [(0.0, [])]
     # Unknown characters score as such, not as the bytes they become: the plain sum only holds for pieces.
     score = float(_gains(v)[ids].sum()) + _unknown_gain(ids, v)
     if not loose:

@@ -44,6 +44,12 @@ def _blob(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, dtype=np.int64)
+    return first, np.append(first[1:], len(x)) if len(x) else first
+
+
 def _sent(ranges: int):
     """Mapper: sets in chunks; every range gets the tokens that it owns, the chunk's own row says what is left to know.
 
@@ -57,8 +63,8 @@ def _sent(ranges: int):
         token = (token & _LOW) | ((lane.astype(np.uint64) & np.uint64(0x7FFF)) << np.uint64(48))
         order = np.argsort(token, kind="stable")
         token, doc, lane = token[order], doc[order], lane[order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.append(first, len(token)))
+        first, last = _runs(token)
+        count = last - first
         several = count > 1
         owner = np.where(several, _MANY, doc[first])
         held = np.repeat(several, count)
@@ -66,8 +72,7 @@ def _sent(ranges: int):
         token, lane = token[first], lane[first]
         order = np.lexsort((owner, lane))
         token, lane, owner, count = token[order], lane[order], owner[order], count[order]
-        starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
-        for a, b in zip(starts, np.append(starts[1:], len(lane)), strict=True):
+        for a, b in zip(*_runs(lane), strict=True):
             low = token[a:b] & _LOW
             yield int(lane[a]), number, _blob(low & np.uint64(0xFFFFFFFF), "<u4"), _blob(low >> np.uint64(32), "<u2"), _blob(owner[a:b], "<u2"), _blob(count[a:b][owner[a:b] == _MANY], "<i4")
 
@@ -116,16 +121,14 @@ def _repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sight[owner == _MANY] = np.concatenate([np.frombuffer(x[4], "<i4") for x in got])
         order = np.argsort(low, kind="stable")
         low, owner, place, sight = low[order], owner[order], place[order], sight[order]
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        span = np.diff(np.append(first, len(low)))
-        seen = np.repeat(np.add.reduceat(sight, first), span)
+        first, last = _runs(low)
+        seen = np.repeat(np.add.reduceat(sight, first), last - first)
         keep = np.flatnonzero(seen > 1)
         keep = keep[np.argsort(place[keep], kind="stable")]
         low, owner, place, seen = low[keep] | (np.uint64(lane & 0x7FFF) << np.uint64(48)), owner[keep], place[keep], seen[keep]
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, np.int64)
         back = [
             (got[place[a]][0], _blob(low[a:b], "<u8"), _blob(np.minimum(seen[a:b], 0x7FFFFFFF), "<i4"), _blob(owner[a:b], "<u2"))
-            for a, b in zip(starts, np.append(starts[1:], len(place)), strict=True)
+            for a, b in zip(*_runs(place), strict=True)
         ]
         if back:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*back, strict=True), kinds, strict=True)], names)
@@ -182,8 +185,7 @@ def _kept(least: int):
         token, seen, doc = token[keep], seen[keep], doc[keep]
         order = np.lexsort((token, seen, doc))
         token, seen, doc = token[order], seen[order], doc[order]
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
-        for a, b in zip(starts, np.append(starts[1:], len(doc)), strict=True):
+        for a, b in zip(*_runs(doc), strict=True):
             i = int(doc[a])
             matches, length = prefix_length(seen[a:b], int(sizes[i]), int(need[i]))
             yield ids[16 * i : 16 * i + 16], int(sizes[i]), matches, length, token[a:b].view(np.int64)
@@ -243,9 +245,8 @@ def _linked(n: np.ndarray, matches: np.ndarray, prefixes: list[np.ndarray], toke
     token, row = np.concatenate(prefixes), np.repeat(np.arange(k), [len(p) for p in prefixes])
     order = np.argsort(token, kind="stable")
     token, row = token[order], row[order]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
     shared = np.zeros((k, k), dtype=np.int32)
-    for a, b in zip(first, np.append(first[1:], len(token)), strict=True):
+    for a, b in zip(*_runs(token), strict=True):
         if b - a > 1:
             shared[np.ix_(row[a:b], row[a:b])] += 1
     good = shared >= np.minimum.outer(matches, matches)

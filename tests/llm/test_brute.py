@@ -323,3 +323,37 @@ def test_round_trips(vocabulary):
     for text in ("a▁b ▁", "  x  ", "\n\n a\n", "日本語 \U0001f600 ok", "\x00"):
         assert pieces.decode(pieces.encode(text, vocabulary, 3)[0].tolist(), vocabulary) == text
     assert math.isinf(pieces.segment("\n", vocabulary)[1])
+
+
+def test_tied_and_very_long_units_end(vocabulary):
+    import time
+
+    for sign in "-=x_a9.é漢":
+        for size in [*range(1, 1101, 1 if sign == "-" else 37), 5003]:
+            ids, score, best = pieces.encode(sign * size, vocabulary, 4)
+            assert pieces.decode(ids.tolist(), vocabulary) == sign * size
+            assert [b[0] for b in best] == sorted((b[0] for b in best), reverse=True)
+            assert math.isclose(best[0][0], score, abs_tol=1e-6)
+    rng = random.Random(9)
+    for word in ["q" * 200_000, "".join(rng.choice("abcdefghij") for _ in range(200_000))]:
+        began = time.process_time()
+        assert pieces.decode(pieces.encode(word, vocabulary, 4)[0].tolist(), vocabulary) == word
+        assert time.process_time() - began < 30
+
+
+def test_ties_match_all_segmentations(vocabulary):
+    for unit in ["----", "======", "aaaaaaa", "xxxxxxxxx"]:
+        u = pieces._lattice(" " + unit)
+        every = []
+
+        def walk(at, gain):
+            if at == len(u):
+                every.append(gain)
+                return
+            for end, _, more in pieces._edges(u, at, vocabulary):
+                walk(end, gain + more)
+
+        walk(0, 0.0)
+        want = sorted(every, reverse=True)[:4]
+        got = [b[0] for b in pieces.encode(unit, vocabulary, 4)[2]]
+        assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in zip(got, want, strict=True))
