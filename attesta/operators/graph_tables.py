@@ -186,6 +186,10 @@ def explore(nodes: DataFrame, edges: DataFrame, *, kind: str | None = None, comm
     return shown.orderBy(F.desc("degree"), F.asc("label"), F.asc("id")), visible
 
 
+#: Rules that one pass over the claims looks for.
+GATES = 100
+
+
 # ---- audits --------------------------------------------------------------------------
 def dangling_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     names = entities.select(casefold("title").alias("k")).distinct()
@@ -279,9 +283,16 @@ def rebuild_gates(relations: DataFrame, assertions: DataFrame, names: DataFrame,
     ends = assertions.select(pair_key(F.col("source"), F.col("target")).alias("pair")).distinct()
     bare = relations.select("id", pair_key(F.col("source"), F.col("target")).alias("pair")).join(ends, "pair", "left_anti")
     gate = lambda df, name: df.agg((F.count("*") == 0).alias("passed")).select(F.lit(name).alias("gate"), "passed")
-    claims = assertions.groupBy("kind", normalized("source").alias("s"), normalized("target").alias("t")).agg(F.count("*").alias("n"))
-    found = rules.join(claims, (rules["kind"] == claims["kind"]) & F.contains("s", F.coalesce("source_like", F.lit(""))) & F.contains("t", F.coalesce("target_like", F.lit(""))), "left_semi").select("gate").withColumn("seen", F.lit(True))
-    targeted = rules.join(found, "gate", "left").select("gate", (F.coalesce("seen", F.lit(False)) == F.col("expected")).alias("passed"))
+    # Rules are named in a configuration: they are read once and looked for together, GATES of them in a pass over the claims.
+    claims = assertions.select("kind", normalized("source").alias("s"), normalized("target").alias("t")).distinct()
+    known = rules.select("gate", "kind", F.coalesce("source_like", F.lit("")).alias("s"), F.coalesce("target_like", F.lit("")).alias("t"), "expected").collect()
+    shape = rules.select("gate", F.lit(True).alias("passed")).schema
+    targeted = rules.sparkSession.createDataFrame([], shape)
+    for at in range(0, len(known), GATES):
+        part = known[at : at + GATES]
+        met = [F.coalesce(F.bool_or((F.col("kind") == r["kind"]) & F.contains("s", F.lit(r["s"])) & F.contains("t", F.lit(r["t"]))), F.lit(False)) == F.lit(r["expected"]) for r in part]
+        row = claims.agg(*[m.alias(f"m{i}") for i, m in enumerate(met)])
+        targeted = targeted.unionByName(row.select(F.inline(F.array(*[F.struct(F.lit(r["gate"]).alias("gate"), F.col(f"m{i}").alias("passed")) for i, r in enumerate(part)]))))
     stacked = base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("passed")) for c in base.columns])))
     return (
         stacked.unionByName(gate(bare, "all_native_edges_have_assertion_provenance"))
@@ -289,7 +300,7 @@ def rebuild_gates(relations: DataFrame, assertions: DataFrame, names: DataFrame,
     )
 
 
-# ---- components, communities, local context ------------------------------------------
+# ---- components, local context ------------------------------------------
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): smallest id of each weakly connected component.
 
@@ -325,33 +336,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5, *, checkpoint_every: int = 2) -> DataFrame:
-    """(id, community) by weighted label propagation with deterministic ties.
-
-    Each node takes the label with the largest summed edge weight, its own label counting
-    once; ties go to the smallest label.  Isolated nodes form their own community.
-    """
-    both = edges.select("source", "target", "weight").unionByName(
-        edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight")
-    )
-    labels = nodes.select("id", F.col("id").alias("label"))
-    for step in range(rounds):
-        votes = (
-            both.join(labels.withColumnRenamed("id", "target"), "target")
-            .groupBy(F.col("source").alias("id"), "label").agg(F.sum("weight").alias("w"))
-            .unionByName(labels.select("id", "label", F.lit(1).cast("long").alias("w")))
-            .groupBy("id", "label").agg(F.sum("w").alias("w"))
-        )
-        labels = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label"))
-        if checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < rounds:
-            labels = cut(labels)
-    return labels.select("id", F.col("label").alias("community"))
-
-
-def community_sizes(membership: DataFrame, level: int = 0) -> DataFrame:
-    return membership.groupBy("community").agg(F.count("*").alias("size")).select("community", F.lit(level).alias("level"), "size")
-
-
 def local_context(entity_hits: DataFrame, relations: DataFrame, entity_units: DataFrame, k_entities: int = 8, k_relations: int = 12, k_units: int = 20) -> DataFrame:
     """Graph context of a question: nearest entities, their strongest relations, their text units.
 

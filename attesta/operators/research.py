@@ -430,9 +430,9 @@ def section_coverage(chunks: DataFrame, selected: DataFrame, nodes_refs: DataFra
 
     chunks(document_id, chunk_id, refs); selected(document_id, ref); nodes_refs(document_id, id, ref)
     """
-    refs = chunks.select(*DOC, "chunk_id", F.explode("refs").alias("ref"))
+    refs = chunks.select(*DOC, "chunk_id", F.explode(F.array_distinct("refs")).alias("ref")).distinct()
     inside = refs.join(selected.distinct(), [*DOC, "ref"], "left_semi").select(*DOC, "chunk_id").distinct().withColumn("__in", F.lit(True))
-    linked = refs.join(nodes_refs, [*DOC, "ref"]).groupBy(*DOC, "chunk_id").agg(F.count_distinct("id").alias("n"))
+    linked = refs.join(nodes_refs.select(*DOC, "id", "ref").distinct(), [*DOC, "ref"]).groupBy(*DOC, "chunk_id").agg(F.count_distinct("id").alias("n"))
     return chunks.select(*DOC, "chunk_id").join(inside, [*DOC, "chunk_id"], "left").join(linked, [*DOC, "chunk_id"], "left").select(
         *DOC, "chunk_id", F.when(F.col("__in"), "extracted_in_selected_scope").otherwise("not_attempted").alias("extraction_status"),
         F.coalesce("n", F.lit(0)).alias("source_linked_nodes"),

@@ -7,22 +7,24 @@ queries(index_id, query_id, channel, embedding)
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attesta.functions import skew
+from attesta.functions.lineage import cut
 from attesta.functions.text import has_text, strip
 
 KEY = ["index_id", "chunk_id"]
 MAX_K = 50
-# Rows of a task's slice of vectors and block of queries.
-TILE_VECTORS, TILE_QUERIES = 50_000, 2_048
+# Queries that are sent to the vectors at once.
+ROUND_QUERIES = 4_096
 # Shorter vectors have no direction.
 LEAST_NORM = 1e-8
 DISTANCE_DIGITS = 9
@@ -136,28 +138,26 @@ def vector_stats(vectors: DataFrame) -> DataFrame:
 
 # ---- exact search --------------------------------------------------------------------
 class _Best:
-    """Running k best (distance, ordinal) rows per query within one task."""
-
-    def __init__(self, k: int):
-        self.k, self.heaps = k, {}
-
-    def add(self, query: int, distances: np.ndarray, ordinals: np.ndarray, ids: list) -> None:
-        heap = self.heaps.setdefault(query, [])
-        if len(distances) > self.k:
-            order = np.lexsort((ordinals, distances))[: self.k]
-        else:
-            order = range(len(distances))
-        for i in order:
-            item = (-distances[i], -int(ordinals[i]), ids[i])
-            if len(heap) < self.k:
-                heapq.heappush(heap, item)
-            elif item[:2] > heap[0][:2]:
-                heapq.heapreplace(heap, item)
-
-    def rows(self):
-        for query, heap in self.heaps.items():
-            for d, o, chunk in heap:
-                yield query, chunk, -o, -d
+    """Running k best (distance, ordinal) rows of each query within one task."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.worst = k, np.full(queries, np.inf)
+        self.rows: list[tuple] = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=object))] * queries
+
+    def add(self, at: np.ndarray, distances: np.ndarray, ordinals: np.ndarray, ids: np.ndarray) -> None:
+        """Distances of the queries `at` (rows) to some vectors (columns)."""
+        for row, query in zip(distances, at.tolist(), strict=True):
+            near = np.flatnonzero(row <= self.worst[query])
+            if len(near) > self.k:
+                near = near[row[near] <= np.partition(row[near], self.k - 1)[self.k - 1]]
+            if not len(near):
+                continue
+            d, o, c = self.rows[query]
+            d, o, c = np.append(d, row[near]), np.append(o, ordinals[near]), np.append(c, ids[near])
+            best = np.lexsort((o, d))[: self.k]
+            self.rows[query] = d[best], o[best], c[best]
+            if len(best) == self.k:
+                self.worst[query] = d[best[-1]]
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -175,26 +175,6 @@ def _prepare(df: DataFrame, *names: str) -> DataFrame:
                      F.col("embedding").cast("array<float>"))
 
 
-def _tile(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [part.split()[0] for part in HIT_SCHEMA.split(", ")]
-        text = {n: object for n in names[:4]}
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names}).astype(text)
-        found = _distances(_unit(np.stack(right["embedding"].to_list())), _unit(np.stack(left["embedding"].to_list())))
-        best = _Best(k)
-        ordinals, ids = left["ordinal"].to_numpy(), left["chunk_id"].tolist()
-        for q in range(len(right)):
-            best.add(q, found[q], ordinals, ids)
-        rows = [
-            (right["index_id"].iat[q], right["query_id"].iat[q], right["channel"].iat[q], c, o, float(d))
-            for q, c, o, d in best.rows()
-        ]
-        return pd.DataFrame(rows, columns=names).astype(text)
-
-    return run
-
-
 def searchable(vectors: DataFrame) -> Column:
     """Whether a vector has a direction: not null, no null, infinite or NaN element, and not all zero."""
     v = F.col("embedding")
@@ -225,47 +205,96 @@ def _index_sizes(vectors: DataFrame) -> DataFrame:
     return counted.groupBy("index_id").agg(F.max_by("dims", F.struct("n", "dims")).alias("dims"), F.sum("n").alias("vectors"))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+class _Round:
+    """Questions of one round, by index: unit vectors, and what each question is compared with."""
+
+    def __init__(self, rows: list, key: list[str]):
+        self.rows = [tuple(r[c] for c in key) for r in rows]
+        self.at: dict[str, np.ndarray] = {}
+        self.unit: dict[str, np.ndarray] = {}
+        for i, r in enumerate(rows):
+            self.at.setdefault(r["index_id"], []).append(i)
+        for index, at in self.at.items():
+            self.at[index] = np.array(at)
+            self.unit[index] = _unit(np.array([rows[i]["embedding"] for i in at], dtype=np.float32))
+        if "target" in rows[0]:
+            # Distance and ordinal of the wanted chunk of each question.
+            self.place = np.array([r["at"] for r in rows], dtype=np.int64)
+            self.limit = np.zeros(len(rows))
+            for index, at in self.at.items():
+                wanted = _unit(np.array([rows[i]["target"] for i in at], dtype=np.float32))
+                self.limit[at] = np.round(1.0 - (self.unit[index] * wanted).sum(axis=1), DISTANCE_DIGITS)
+
+
+def _met(batch: pa.RecordBatch, asked: _Round) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(index, rows of the batch, distances): vectors that have a direction and the size of the questions of their index."""
+    lists = batch.column("embedding")
+    flat = lists.flatten()
+    elements, gaps = flat.to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    sizes = np.diff(ends, prepend=0)
+    index = batch.column("index_id").to_pandas()
+    for name, rows in index.groupby(index, sort=False).indices.items():
+        if name not in asked.unit:
+            continue
+        dims = asked.unit[name].shape[1]
+        rows = rows[sizes[rows] == dims]
+        places = (ends[rows] - dims)[:, None] + np.arange(dims)
+        vectors = elements[places].astype(np.float64) if len(rows) else np.empty((0, dims))
+        length = np.linalg.norm(vectors, axis=1)
+        good = np.isfinite(vectors).all(axis=1) & ~gaps[places].any(axis=1) & (length >= LEAST_NORM) if len(rows) else np.empty(0, dtype=bool)
+        if good.any():
+            yield name, rows[good], _distances(asked.unit[name], vectors[good] / length[good, None])
+
+
+def _rounds(asked: DataFrame, key: list[str], round_rows: int) -> Iterator[Broadcast]:
+    """The questions in rounds of about `round_rows`, by a hash, each broadcast to the vectors where they are."""
+    spark = asked.sparkSession
+    rounds = max(1, -(-asked.count() // round_rows))
+    for i in range(rounds):
+        rows = asked.where(F.pmod(F.xxhash64(*key), F.lit(rounds)) == i).collect()
+        if rows:
+            yield spark.sparkContext.broadcast(_Round(rows, key))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, round_rows: int = ROUND_QUERIES) -> DataFrame:
     """Exact cosine neighbours of each query in its own index: distance, then ordinal.
 
-    One plan for every size: each index is cut into slices of about TILE_VECTORS vectors and its queries into blocks of
-    about TILE_QUERIES, counted per index, and every (slice, block) is one bounded task that returns at most k rows per
-    query. Vectors and queries without a direction or of another size than their index are left out and listed by
-    `search_faults`.
+    Vectors stay where they are read. Queries come to them in rounds of bounded size; a task takes one matrix product
+    for each batch of vectors and index, keeps the k best rows of every query, and only these are shuffled: the shuffle
+    grows with tasks and queries, not with vectors or rounds. Vectors and queries without a direction or of another size
+    than their index are left out and listed by `search_faults`.
     """
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     v = _prepare(vectors, "index_id", "chunk_id", "ordinal", "embedding")
     q = _prepare(queries, "index_id", "query_id", "channel", "embedding")
-    v, q = v.where(searchable(v)), q.where(searchable(q))
-    sizes = _index_sizes(vectors).join(q.groupBy("index_id").agg(F.count("*").alias("asked")), "index_id").select(
-        "index_id", "dims", F.ceil(F.col("vectors") / TILE_VECTORS).cast("int").alias("slices"), F.ceil(F.col("asked") / TILE_QUERIES).cast("int").alias("blocks")
-    )
-    return _merged(_tiled(v.join(sizes, "index_id").where("size(embedding) = dims"), q.join(sizes, "index_id").where("size(embedding) = dims"), k), k)
-
-
-def _merged(partial: DataFrame, k: int) -> DataFrame:
-    return skew.top_k(partial, ["index_id", "query_id", "channel"], [F.asc("distance"), F.asc("ordinal")], k)
-
-
-def _tiled(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    """Tiles of rows that carry the numbers of `slices` and `blocks` of their index.
-
-    The slice of a vector meets every block of the queries of its index and the other way round; blocks are few as
-    queries are, so vectors are copied once for each TILE_QUERIES queries.
-    """
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = v.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).withColumn("block", every("blocks"))
-    right = q.withColumn("block", F.pmod(F.xxhash64("query_id", "channel"), F.col("blocks")).cast("int")).withColumn("slice", every("slices"))
-    key = ["index_id", "slice", "block"]
-    tile = _tile(k)
-    return left.drop("dims", "slices", "blocks").groupBy(*key).cogroup(right.drop("dims", "slices", "blocks").groupBy(*key)).applyInPandas(tile, HIT_SCHEMA)
-
+    asked = cut(q.where(searchable(q)).join(_index_sizes(vectors), "index_id").where("size(embedding) = dims").drop("dims", "vectors"))
+    out = None
+    for shared in _rounds(asked, ["index_id", "query_id", "channel"], round_rows):
+        found = v.mapInArrow(_nearest(shared, k), HIT_SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = v.sparkSession.createDataFrame([], HIT_SCHEMA)
+    return skew.top_k(out, ["index_id", "query_id", "channel"], [F.asc("distance"), F.asc("ordinal")], k)
+
+
+def _nearest(shared: Broadcast, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        best = _Best(len(asked.rows), k)
+        for batch in batches:
+            ordinals, ids = batch.column("ordinal").to_numpy(zero_copy_only=False), batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for name, rows, found in _met(batch, asked):
+                best.add(asked.at[name], found, ordinals[rows], ids[rows])
+        names = [part.split()[0] for part in HIT_SCHEMA.split(", ")]
+        kept = [(q, *r) for q, r in zip(asked.rows, best.rows, strict=True) if len(r[0])]
+        columns = [[x for q, d, *_ in kept for x in [q[i]] * len(d)] for i in range(3)]
+        d, o, c = ([x for r in kept for x in r[i]] for i in (1, 2, 3))
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*columns, c, o, d], kinds, strict=True)], names)
 
-def tiled_top_k(v: DataFrame, q: DataFrame, k: int, vector_count: int, query_count: int) -> DataFrame:
-    """The tiles of `exact_top_k` with counts given by the caller."""
-    counts = [F.lit(max(1, -(-vector_count // TILE_VECTORS))).alias("slices"), F.lit(max(1, -(-query_count // TILE_QUERIES))).alias("blocks")]
-    return _tiled(v.select("*", *counts), q.select("*", *counts), k)
+    return run
 
 
 def self_neighbours(vectors: DataFrame, tolerance: float = 1e-5) -> DataFrame:
@@ -290,25 +319,42 @@ def distance_cross_check(hits: DataFrame, vectors: DataFrame, queries: DataFrame
     )
 
 
-def rank_of(vectors: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+def rank_of(vectors: DataFrame, queries: DataFrame, wanted: DataFrame, round_rows: int = ROUND_QUERIES) -> DataFrame:
     """Full-ranking position of wanted chunks, without ranking the whole index.
 
-    wanted(index_id, query_id, channel, chunk_id).  A position is one plus the number of
-    chunks that come earlier, so only counts leave the scan, never an ordering.
+    wanted(index_id, query_id, channel, chunk_id). A position is one plus the number of chunks that come earlier: the
+    same pass as the search, of which only one count for each task and wanted chunk is shuffled.
     """
-    v = vectors.select(F.col("index_id").cast("string"), F.col("chunk_id").cast("string"), F.col("ordinal").cast("long"), "embedding")
-    q = queries.select(*[F.col(c).cast("string") for c in ("index_id", "query_id", "channel")], F.col("embedding").alias("q"))
+    v = _prepare(vectors, "index_id", "chunk_id", "ordinal", "embedding")
+    q = _prepare(queries, "index_id", "query_id", "channel", "embedding")
     key = ["index_id", "query_id", "channel"]
     targets = (
-        wanted.select(*[F.col(c).cast("string") for c in (*key, "chunk_id")])
-        .join(q, key)
-        .join(v, KEY)
-        .select(*key, "chunk_id", "q", F.col("ordinal").alias("at"), F.round(cosine_distance(F.col("q"), F.col("embedding")), DISTANCE_DIGITS).alias("d"))
+        wanted.select(*[F.col(c).cast("string") for c in (*key, "chunk_id")]).join(q, key)
+        .join(v.select(*KEY, F.col("ordinal").alias("at"), F.col("embedding").alias("target")), KEY).where("size(embedding) = size(target)")
     )
-    compared = skew.salted_join(v.drop("chunk_id"), targets, ["index_id"], spread=["ordinal"])
-    d = F.round(cosine_distance(F.col("q"), F.col("embedding")), DISTANCE_DIGITS)
-    earlier = (d < F.col("d")) | ((d == F.col("d")) & (F.col("ordinal") < F.col("at")))
-    return compared.groupBy(*key, "chunk_id").agg((F.count_if(earlier) + 1).alias("position"))
+    out = None
+    for shared in _rounds(cut(targets), [*key, "chunk_id"], round_rows):
+        found = v.drop("chunk_id").mapInArrow(_earlier(shared), "index_id string, query_id string, channel string, chunk_id string, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return wanted.select(*key, "chunk_id", F.lit(1).cast("long").alias("position")).limit(0)
+    return out.groupBy(*key, "chunk_id").agg((F.sum("n") + 1).alias("position"))
+
+
+def _earlier(shared: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        count = np.zeros(len(asked.rows), dtype=np.int64)
+        for batch in batches:
+            ordinals = batch.column("ordinal").to_numpy(zero_copy_only=False)
+            for name, rows, found in _met(batch, asked):
+                at, place = asked.at[name], ordinals[rows]
+                limit, own = asked.limit[at][:, None], asked.place[at][:, None]
+                count[at] += (((found < limit) | ((found == limit) & (place < own))) & (place != own)).sum(axis=1)
+        columns = [[r[i] for r in asked.rows] for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.string()) for x in columns], pa.array(count)], ["index_id", "query_id", "channel", "chunk_id", "n"])
+
+    return run
 
 
 def registry_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:

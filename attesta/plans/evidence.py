@@ -68,11 +68,13 @@ CID = "concat(c.item_ref, '::cell:', c.idx::VARCHAR)"
 OID = "concat(o.item_ref, '::cell:', o.idx::VARCHAR)"
 
 
-def _edge_sql(role: str, condition: str) -> str:
+def _edge_sql(role: str, axis: str, which: str, condition: str) -> str:
+    """Pairs of cells that share a column or row of their table; every span is spread over its coordinates."""
     return f"""
-WITH cells AS ({D_CELLS})
-SELECT c.document_id, {CID} AS evidence_id, '{role}' AS role, {OID} AS ref, o.idx::BIGINT AS pos
-FROM cells c JOIN cells o ON c.document_id = o.document_id AND c.item_ref = o.item_ref AND {condition}
+WITH cells AS MATERIALIZED ({D_CELLS}), spread AS MATERIALIZED (SELECT *, unnest(range({axis}_start::BIGINT, {axis}_end::BIGINT)) AS place FROM cells),
+heads AS MATERIALIZED (SELECT * FROM spread WHERE {which})
+SELECT DISTINCT c.document_id, {CID} AS evidence_id, '{role}' AS role, {OID} AS ref, o.idx::BIGINT AS pos
+FROM spread c JOIN heads o ON c.document_id = o.document_id AND c.item_ref = o.item_ref AND c.place = o.place WHERE {condition}
 """
 
 
@@ -141,32 +143,29 @@ WHERE c.row_end > t.num_rows OR c.col_end > t.num_cols""",
 query(
     "column_headers",
     "B10",
-    _edge_sql("column_headers", "o.column_header AND o.row_end <= c.row_start AND o.col_start < c.col_end AND o.col_end > c.col_start"),
+    _edge_sql("column_headers", "col", "column_header", "o.row_end <= c.row_start"),
 )(lambda t: U.column_headers(cells(t)))
 
 query(
     "row_headers",
     "B11",
-    _edge_sql("row_headers", "o.row_header AND o.row_start < c.row_end AND o.row_end > c.row_start AND o.idx <> c.idx"),
+    _edge_sql("row_headers", "row", "row_header", "o.idx <> c.idx"),
 )(lambda t: U.row_headers(cells(t)))
 
 query(
     "row_labels",
     "B12",
-    _edge_sql(
-        "row_labels",
-        "o.col_start = 0 AND NOT o.column_header AND NOT o.row_section AND o.row_start < c.row_end AND o.row_end > c.row_start AND o.idx <> c.idx",
-    ),
+    _edge_sql("row_labels", "row", "col_start = 0 AND NOT column_header AND NOT row_section", "o.idx <> c.idx"),
 )(lambda t: U.row_labels(cells(t)))
 
 query(
     "row_sections",
     "B13",
-    f"""WITH cells AS ({D_CELLS}),
-near AS (SELECT c.document_id, c.item_ref, c.idx, max(s.row_start) AS m FROM cells c JOIN cells s
-  ON c.document_id = s.document_id AND c.item_ref = s.item_ref AND s.row_section AND s.row_end <= c.row_start GROUP BY ALL)
+    f"""WITH cells AS MATERIALIZED ({D_CELLS}), ends AS (SELECT document_id, item_ref, row_end, max(row_start) AS m FROM cells WHERE row_section GROUP BY ALL),
+tops AS MATERIALIZED (SELECT document_id, item_ref, row_end, max(m) OVER (PARTITION BY document_id, item_ref ORDER BY row_end) AS m FROM ends),
+near AS MATERIALIZED (SELECT c.document_id, c.item_ref, c.idx, s.m FROM cells c ASOF JOIN tops s ON c.document_id = s.document_id AND c.item_ref = s.item_ref AND c.row_start >= s.row_end)
 SELECT c.document_id, {CID} AS evidence_id, 'row_sections' AS role, {OID} AS ref, o.idx::BIGINT AS pos
-FROM near c JOIN cells o ON c.document_id = o.document_id AND c.item_ref = o.item_ref AND o.row_section AND o.row_start = c.m""",
+FROM near c JOIN (SELECT * FROM cells WHERE row_section) o ON c.document_id = o.document_id AND c.item_ref = o.item_ref AND o.row_start = c.m""",
 )(lambda t: U.row_sections(cells(t)))
 
 query(

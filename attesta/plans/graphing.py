@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions.stage import stage
+from attesta.operators import communities as C
 from attesta.operators import graph_tables as G
 from attesta.plans import duck, fixtures as fx, query
 from attesta.plans.searching import D_QUERIES, hits
@@ -290,28 +291,47 @@ UNION ALL SELECT concat('s', s_suppkey), least(concat('s', s_suppkey - s_suppkey
 )(lambda t: G.connected_components(t.sql(NODES), t.sql(LINKS)))
 
 
-def graph_nodes(t):
-    return t.sql("SELECT concat('n', CAST(n_nationkey AS STRING)) AS id FROM {nation} UNION ALL SELECT concat('m', c_mktsegment) FROM (SELECT DISTINCT c_mktsegment FROM {customer})")
+# Communities: customers hang on their nations, nations on their regions.
+COMMUNITY_EDGES = """SELECT concat('c', CAST(c_custkey AS STRING)) AS source, concat('n', CAST(c_nationkey AS STRING)) AS target, 10 AS weight FROM {customer}
+UNION ALL SELECT concat('n', CAST(c_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), CAST(8 * count(*) AS INT) FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey GROUP BY ALL"""
+COMMUNITY_NODES = """SELECT concat('c', CAST(c_custkey AS STRING)) AS id FROM {customer} UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)) FROM {nation}
+UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)) FROM {region}"""
 
 
-def graph_edges(t):
-    return t.customer.groupBy(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source"), F.concat(F.lit("m"), "c_mktsegment").alias("target")).agg(F.count("*").alias("weight"))
+def membership_levels(t):
+    return stage(C.hierarchy(t.sql(COMMUNITY_NODES), t.sql(COMMUNITY_EDGES)))
 
 
-def _rounds(n: int) -> str:
-    cte = """nd AS (SELECT concat('n', n_nationkey) AS id FROM nation UNION ALL SELECT DISTINCT concat('m', c_mktsegment) FROM customer),
-e0 AS (SELECT concat('n', c_nationkey) AS s, concat('m', c_mktsegment) AS t, count(*) AS w FROM customer GROUP BY ALL), e AS (SELECT * FROM e0 UNION ALL SELECT t, s, w FROM e0),
-l0 AS (SELECT id, id AS label FROM nd)"""
-    for i in range(1, n + 1):
-        cte += f""",
-v{i} AS (SELECT id, label, sum(w) AS w FROM (SELECT e.s AS id, label, e.w FROM e JOIN l{i-1} l ON l.id = e.t UNION ALL SELECT id, label, 1 FROM l{i-1}) GROUP BY ALL),
-l{i} AS (SELECT id, label FROM v{i} QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1)"""
-    return cte
+# A region is the best part of the whole, a nation that of its region; the node of a region sides with its largest nation.
+D_LEVELS = """cu AS (SELECT concat('c', c_custkey) AS id, concat('n', c_nationkey) AS nat, concat('r', n_regionkey) AS reg FROM customer JOIN nation ON n_nationkey = c_nationkey),
+side AS (SELECT reg, nat FROM cu GROUP BY reg, nat QUALIFY row_number() OVER (PARTITION BY reg ORDER BY count(*) DESC, nat) = 1),
+flat AS (SELECT id, nat, reg FROM cu UNION ALL SELECT DISTINCT nat, nat, reg FROM cu UNION ALL SELECT reg, nat, reg FROM side),
+alone AS (SELECT id FROM (SELECT concat('n', n_nationkey) AS id FROM nation UNION ALL SELECT concat('r', r_regionkey) FROM region) WHERE id NOT IN (SELECT id FROM flat)),
+l0 AS (SELECT id, reg, nat, concat('0-', min(id) OVER (PARTITION BY reg)) AS community, count(*) OVER (PARTITION BY reg) AS n, count(DISTINCT nat) OVER (PARTITION BY reg) AS parts FROM flat),
+lv AS (SELECT id, 0 AS level, community, NULL AS parent FROM l0 UNION ALL SELECT id, 0, concat('0-', id), NULL FROM alone
+  UNION ALL SELECT id, 1, concat('1-', min(id) OVER (PARTITION BY reg, nat)), community FROM l0 WHERE n > 10 AND parts > 1)"""
+query("communities", "H39", f"WITH {D_LEVELS} SELECT id, level, community, parent FROM lv")(membership_levels)
+query("community_sizes", "H39", f"WITH {D_LEVELS} SELECT community, level, parent, count(*) AS size FROM lv GROUP BY ALL")(lambda t: C.sizes(membership_levels(t)))
 
 
-query("communities", "H39", f"WITH {_rounds(3)} SELECT id, label AS community FROM l3")(lambda t: G.communities(graph_nodes(t), graph_edges(t), 3))
-query("community_sizes", "H39", f"WITH {_rounds(2)} SELECT label AS community, 0 AS level, count(*) AS size FROM l2 GROUP BY label")(
-    lambda t: G.community_sizes(G.communities(graph_nodes(t), graph_edges(t), 2)))
+def graph_entities(t):
+    return t.sql(COMMUNITY_NODES).select("id", F.col("id").alias("title"), F.substring("id", 1, 1).alias("type"))
+
+
+def graph_links(t):
+    return t.sql(COMMUNITY_EDGES).select(F.concat_ws(">", "source", "target").alias("id"), "source", "target")
+
+
+query(
+    "node_communities",
+    "H26 H39",
+    f"""WITH {D_LEVELS}, dg AS (SELECT title, count(*) AS degree FROM (SELECT id AS title FROM cu UNION ALL SELECT nat FROM cu UNION ALL SELECT DISTINCT nat FROM cu UNION ALL SELECT reg FROM (SELECT DISTINCT nat, reg FROM cu)) GROUP BY title)
+SELECT id, substr(id, 1, 1) AS type, coalesce(degree, 0) AS degree, community FROM lv LEFT JOIN dg ON title = id WHERE level = 0""",
+)(
+    lambda t: G.node_payload(
+        graph_entities(t), graph_links(t), membership_levels(t).withColumnRenamed("id", "entity_id"), ledger(t).where("false"), refs(t).select("source_id", "page_no"),
+        t.region.select(F.col("r_name").alias("title"), F.lit("x").alias("review")).where("false")).select("id", "type", "degree", "community")
+)
 
 
 def entity_hits(t):

@@ -531,13 +531,14 @@ SELECT DISTINCT b.o_orderkey AS batch_id, CASE WHEN c.ok THEN 'recovered_by_smal
 query(
     "section_coverage",
     "H35",
-    """WITH r AS (SELECT l_orderkey, list(l_partkey % 50) AS refs FROM lineitem GROUP BY l_orderkey), f AS (SELECT DISTINCT l_orderkey, l_partkey % 50 AS ref FROM lineitem),
-n AS (SELECT l_orderkey, count(DISTINCT p_partkey) AS k FROM f JOIN part ON p_partkey % 50 = ref AND p_size < 10 GROUP BY l_orderkey)
-SELECT l_orderkey AS chunk_id, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.l_orderkey = r.l_orderkey AND ref < 5) THEN 'extracted_in_selected_scope' ELSE 'not_attempted' END AS extraction_status, coalesce(n.k, 0) AS source_linked_nodes FROM r LEFT JOIN n USING (l_orderkey)""",
+    """WITH r AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey FROM lineitem), n AS (SELECT DISTINCT l_suppkey, l_partkey, p_brand FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 10)
+SELECT r.l_suppkey AS document_id, l_orderkey AS chunk_id, CASE WHEN bool_or(l_partkey % 10 = 0) THEN 'extracted_in_selected_scope' ELSE 'not_attempted' END AS extraction_status, count(DISTINCT p_brand) AS source_linked_nodes
+FROM r LEFT JOIN n USING (l_suppkey, l_partkey) GROUP BY r.l_suppkey, l_orderkey""",
 )(
     lambda t: S.section_coverage(
-        t.lineitem.groupBy(F.lit("d").alias("document_id"), F.col("l_orderkey").alias("chunk_id")).agg(F.collect_list(F.col("l_partkey") % 50).alias("refs")),
-        t.part.select(F.lit("d").alias("document_id"), (F.col("p_partkey") % 5).alias("ref")), t.part.where("p_size < 10").select(F.lit("d").alias("document_id"), F.col("p_partkey").alias("id"), (F.col("p_partkey") % 50).alias("ref"))).select("chunk_id", "extraction_status", "source_linked_nodes")
+        t.lineitem.groupBy(F.col("l_suppkey").alias("document_id"), F.col("l_orderkey").alias("chunk_id")).agg(F.collect_list("l_partkey").alias("refs")),
+        t.lineitem.where("l_partkey % 10 = 0").select(F.col("l_suppkey").alias("document_id"), F.col("l_partkey").alias("ref")),
+        t.lineitem.join(t.part.where("p_size < 10"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("document_id"), F.col("p_brand").alias("id"), F.col("l_partkey").alias("ref")))
 )
 query(
     "run_outcomes",

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from attesta.functions.lineage import shared_folder
 from attesta.operators import evaluation as E
 from attesta.operators import ledger as L
 from attesta.plans import duck, fixtures as fx, query
 from attesta.plans.searching import D_QUERIES, hits
+from attesta.streaming import jobs as J
 
 D_CALLS = duck(fx.CALLS).replace("STRING", "VARCHAR")
 
@@ -56,6 +60,39 @@ n AS (SELECT job_id, max(ts) AS updated_at, count(*) AS events FROM e GROUP BY j
 SELECT n.job_id, status, stage, done, updated_at, events FROM n LEFT JOIN s USING (job_id) LEFT JOIN g USING (job_id) LEFT JOIN d USING (job_id)""",
 )(lambda t: L.job_states(t.sql(JOB_EVENTS), ["status", "stage", "done"]))
 
+# The same events as a stream: a file for every three days, some events two files late; a job is a user's day.
+STREAM_EVENTS = """SELECT concat('j', CAST(user_id AS STRING), '-', CAST(day(ts) AS STRING)) AS job_id, event_id, ts, event_type AS status, event_type <> 'view' AS has_status,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat('stage ', CAST(event_id % 7 AS STRING)) END AS stage, event_id % 3 = 0 AS has_stage, value AS done, event_type = 'purchase' AS has_done,
+  least(CAST(floor((day(ts) - 1) / 3) AS INT) + CASE WHEN event_id % 37 = 0 THEN 2 ELSE 0 END, 9) AS file FROM {events}"""
+D_STREAM = f"""a AS ({duck(STREAM_EVENTS).replace('STRING', 'VARCHAR')}), m AS (SELECT file, max(max(ts)) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS bound FROM a GROUP BY file),
+late AS (SELECT a.* FROM a JOIN m USING (file) WHERE ts < bound), e AS (SELECT a.* FROM a JOIN m USING (file) WHERE bound IS NULL OR ts >= bound)"""
+
+
+def streamed_jobs(t):
+    """Both streaming queries run to their end over files that arrive one after another; the folder of their results."""
+    folder = f"{shared_folder(t.spark)}/jobs-{uuid.uuid4()}"
+    events = t.sql(STREAM_EVENTS)
+    for file in range(10):
+        events.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+    schema = events.drop("file").schema
+    J.admit(J.read_events(t.spark, f"{folder}/arrived", schema, 1), folder).awaitTermination()
+    J.keep_states(J.fold_jobs(J.read_events(t.spark, f"{folder}/admitted", schema, 1), finished="purchase"), folder).awaitTermination()
+    return folder
+
+
+query(
+    "streamed_job_states",
+    "I5",
+    f"""WITH {D_STREAM},
+s AS (SELECT job_id, status FROM e WHERE has_status QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
+g AS (SELECT job_id, stage FROM e WHERE has_stage QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
+d AS (SELECT job_id, done FROM e WHERE has_done QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
+n AS (SELECT job_id, max(ts) AS updated_at, count(*) AS events FROM e GROUP BY job_id)
+SELECT n.job_id, status, stage, round(done, 6) AS done, floor(epoch(updated_at))::BIGINT AS updated, events,
+  coalesce(status = 'purchase', false) AND updated_at + INTERVAL 2 HOUR < (SELECT max(ts) FROM e) - INTERVAL 1 HOUR AS closed FROM n LEFT JOIN s USING (job_id) LEFT JOIN g USING (job_id) LEFT JOIN d USING (job_id)""",
+)(lambda t: J.latest_states(t.spark, streamed_jobs(t)).select("job_id", "status", "stage", F.round(F.col("done").cast("double"), 6).alias("done"), F.floor("updated").alias("updated"), "events", "closed"))
+query("late_job_events", "I5", f"WITH {D_STREAM} SELECT event_id, job_id FROM late")(lambda t: t.spark.read.parquet(f"{streamed_jobs(t)}/late").select("event_id", "job_id"))
+
 ATTEMPTS = """SELECT user_id AS question_id, event_id, event_id AS attempt_no, CAST(event_id % 4 AS INT) AS request_attempt,
   CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 503 WHEN 'click' THEN 401 WHEN 'signup' THEN 500 END AS status_code, CASE WHEN event_id % 5 = 0 THEN floor(value) END AS retry_after FROM {events}"""
 query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.lineage import shared_folder
 from attesta.functions.stage import stage
+from attesta.functions.stems import stem_sql
 from attesta.operators import fulltext as T
 from attesta.operators import questions as Q
 from attesta.operators import retrieval as R
@@ -16,7 +17,7 @@ from attesta.operators import vector_index as V
 from attesta.plans import duck, fixtures as fx, query
 from attesta.plans.chunking import asked
 from attesta.plans.evidence import D_TEXT, text_items
-from attesta.sources import sinks
+from attesta.sources import index_store, sinks
 
 DIMS = 64
 
@@ -91,11 +92,7 @@ query(
     "E4",
     f"WITH {D_QUERIES} SELECT index_id, channel, vec_id::VARCHAR AS chunk_id, round(distance, 6) AS distance, rank FROM hits WHERE rank <= 10",
 )(
-    lambda t: V.skew.top_k(
-        V.tiled_top_k(V._prepare(vectors(t), "index_id", "chunk_id", "ordinal", "embedding"),
-                      V._prepare(two_channels(t), "index_id", "query_id", "channel", "embedding"), 10, 4 * V.TILE_VECTORS, 2 * V.TILE_QUERIES),
-        ["index_id", "query_id", "channel"], [F.asc("distance"), F.asc("ordinal")], 10,
-    ).select("index_id", "channel", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    lambda t: V.exact_top_k(vectors(t), two_channels(t), 10, 5).select("index_id", "channel", "chunk_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 )
 
 query(
@@ -280,44 +277,77 @@ def d_lex(expr: str) -> str:
     return f"""list_filter(list_transform(regexp_extract_all(replace(lower({expr}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'), lambda w, i: {{'w': w, 'pos': i - 1}}), lambda p: p.w NOT IN ({STOP}))"""
 
 
-STEM = "CASE WHEN length({0}) > 4 THEN regexp_replace({0}, '(?:ingly|edly|ing|ed|ly|es|s)$', '') ELSE {0} END"
-
-
 def text_chunks(t):
     return t.documents.select(F.col("source").alias("index_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ordinal"), F.col("text").alias("contextualized_text"))
 
 
-D_POST = f"""post AS (SELECT source AS index_id, doc_id AS chunk_id, {STEM.format('p.w')} AS term, p.pos AS pos FROM (SELECT source, doc_id, unnest({d_lex('text')}) AS p FROM documents))"""
+def d_post(more: str = "", chunks: str = "documents") -> str:
+    """Postings of chunks (source, doc_id, text) by a table of the stems of all different words; `more` adds words of other texts."""
+    return f"""lexw AS (SELECT source, doc_id, p.w AS w, p.pos AS pos FROM (SELECT source, doc_id, unnest({d_lex('text')}) AS p FROM {chunks})),
+voc AS (SELECT DISTINCT w FROM lexw{more}), {stem_sql('voc')},
+post AS (SELECT source AS index_id, doc_id AS chunk_id, stem AS term, pos FROM lexw JOIN stems USING (w))"""
+
 
 query(
     "fulltext_postings",
     "A22",
-    f"WITH {D_POST} SELECT index_id, term, chunk_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM post GROUP BY ALL",
+    f"WITH {d_post()} SELECT index_id, term, chunk_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM post GROUP BY ALL",
 )(lambda t: T.postings(text_chunks(t)).select("index_id", "term", "chunk_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")))
 
 PHRASES = """SELECT concat('src', CAST(item_id % 20 AS STRING)) AS index_id, item_id AS question_id, text FROM {benchmark}"""
 
 
 def phrase_questions(t):
+    """A word, a pair, a run of three, a pair whose middle word is a stop word, and a word that is part of a pair."""
     words = F.split("text", " ")
-    return t.sql(PHRASES).select("index_id", "question_id", F.array(F.element_at(words, 1), F.concat_ws(" ", F.slice(words, 2, 2)), F.concat_ws(" ", F.slice(words, 4, 3))).alias("keywords"))
+    at = lambda i: F.element_at(words, i)
+    return t.sql(PHRASES).select("index_id", "question_id", F.array(
+        at(1), F.concat_ws(" ", F.slice(words, 2, 2)), F.concat_ws(" ", F.slice(words, 4, 3)), F.concat_ws(" the ", at(7), at(9)), at(3)).alias("keywords"))
+
+
+D_PHRASES = """SELECT DISTINCT index_id, question_id, phrase FROM (SELECT index_id, question_id, unnest([w[1], array_to_string(w[2:3], ' '), array_to_string(w[4:6], ' '), concat_ws(' the ', w[7], w[9]), w[3]]) AS phrase
+  FROM (SELECT concat('src', (item_id % 20)::VARCHAR) AS index_id, item_id AS question_id, string_split(text, ' ') AS w FROM benchmark))"""
+
+
+def d_search(phrases: str = D_PHRASES, chunks: str = "documents", limit: int = 30) -> str:
+    """Covers by comparing all runs of a chunk with one another."""
+    return f"""ph AS ({phrases}),
+lx AS (SELECT index_id, question_id, phrase, unnest(l) AS p, len(l) AS n, l[1].pos AS base, l[-1].pos - l[1].pos AS reach FROM (SELECT *, {d_lex('phrase')} AS l FROM ph) WHERE len(l) > 0),
+{d_post(" UNION SELECT DISTINCT p.w FROM lx", chunks)},
+lt AS (SELECT index_id, question_id, phrase, n, reach, stem AS term, p.pos - base AS off FROM lx JOIN stems ON w = p.w),
+plc AS (SELECT lt.index_id, question_id, phrase, n, reach, chunk_id, pos, post.pos - off AS st FROM lt JOIN post ON post.index_id = lt.index_id AND post.term = lt.term),
+ru AS (SELECT DISTINCT index_id, question_id, chunk_id, st, st + reach AS en FROM (SELECT index_id, question_id, chunk_id, phrase, st, reach FROM plc GROUP BY index_id, question_id, phrase, n, reach, chunk_id, st HAVING count(*) = n)),
+cv AS (SELECT * FROM ru a WHERE NOT EXISTS (SELECT 1 FROM ru b WHERE b.question_id = a.question_id AND b.index_id = a.index_id AND b.chunk_id = a.chunk_id AND b.st >= a.st AND b.en <= a.en AND (b.st > a.st OR b.en < a.en))),
+ps AS (SELECT DISTINCT index_id, question_id, chunk_id, pos FROM plc),
+cn AS (SELECT index_id, question_id, chunk_id, st, en, count(*) AS held FROM cv JOIN ps USING (index_id, question_id, chunk_id) WHERE pos BETWEEN st AND en GROUP BY ALL),
+dn AS (SELECT index_id, question_id, chunk_id, round(sum({T.WEIGHT}::DOUBLE / (1 + en - st + 1 - held)), 9) AS score FROM cn GROUP BY ALL),
+found AS (SELECT *, row_number() OVER (PARTITION BY index_id, question_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= {limit})"""
+
+
+def _shown(found):
+    return found.select("index_id", "question_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+SEARCHED = f"WITH {d_search()} SELECT index_id, question_id, chunk_id, round(score, 6) AS score, rank FROM found"
+query("phrase_search", "F1", SEARCHED)(lambda t: _shown(T.phrase_search(T.postings(text_chunks(t)), phrase_questions(t))))
+
+
+def stored_index(t):
+    """Two loads of the documents, the first one repeated, under a folder of its own."""
+    path = f"{shared_folder(t.spark)}/index-{uuid.uuid4()}"
+    odd = F.col("ordinal") % 2 == 1
+    for load in (text_chunks(t).where(odd), text_chunks(t).where(odd), text_chunks(t).where(~odd)):
+        index_store.append(T.postings(load), path)
+    return path
+
+
+query("stored_index_search", "A22 F1", SEARCHED)(lambda t: _shown(index_store.search(t.spark, stored_index(t), phrase_questions(t))))
 query(
-    "phrase_search",
-    "F1",
-    f"""WITH {D_POST}, qs AS (SELECT concat('src', (item_id % 20)::VARCHAR) AS index_id, item_id AS question_id, string_split(text, ' ') AS w FROM benchmark),
-ph AS (SELECT DISTINCT index_id, question_id, phrase FROM (SELECT index_id, question_id, unnest([w[1], array_to_string(w[2:3], ' '), array_to_string(w[4:6], ' ')]) AS phrase FROM qs)),
-lx AS (SELECT index_id, question_id, phrase, unnest(l) AS p, len(l) AS n, l[1].pos AS base FROM (SELECT *, {d_lex('phrase')} AS l FROM ph) WHERE len(l) > 0),
-lt AS (SELECT index_id, question_id, phrase, n, {STEM.format('p.w')} AS term, p.pos - base AS off FROM lx),
-m AS (SELECT index_id, question_id, chunk_id, phrase FROM (SELECT lt.index_id, question_id, phrase, n, chunk_id, post.pos - off AS st FROM lt JOIN post ON post.index_id = lt.index_id AND post.term = lt.term)
-  GROUP BY index_id, question_id, phrase, n, chunk_id, st HAVING count(*) = n),
-s AS (SELECT index_id, question_id, chunk_id, count(*) AS score FROM m GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY index_id, question_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 30""",
-)(
-    lambda t: T.phrase_search(T.postings(text_chunks(t)), phrase_questions(t)).select(
-        "index_id", "question_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
-)
+    "stored_index_report",
+    "A22",
+    f"""WITH {d_post()}, p AS (SELECT chunk_id % 2 AS load, index_id, term, chunk_id FROM post GROUP BY ALL)
+SELECT load = 0 AS second, count(*) AS postings, count(DISTINCT chunk_id) AS chunks, count(DISTINCT (index_id, term)) AS terms FROM p GROUP BY load""",
+)(lambda t: index_store.manifest(t.spark, stored_index(t)).select((F.col("segment") > 0).alias("second"), "postings", "chunks", "terms"))
 
 # ---- fusion --------------------------------------------------------------------------
 def dense(t):
@@ -419,18 +449,36 @@ WHERE label = 'page_header' AND page_no % 8 = 4 AND length(trim(regexp_replace(t
 
 
 def fused_for_plans(t):
-    """Deterministic fused list per question: the paper's chunks scored by ordinal."""
-    top = R.skew.top_k(section_chunks(t), ["document_id"], [F.asc("ordinal")], 60)
-    return t.sql(PLANS).select("document_id", "question_id").join(top.select("document_id", "chunk_id", "rank"), "document_id").select(
-        "document_id", "question_id", "chunk_id", (1.0 / (60 + F.col("rank"))).alias("rrf_score"), F.create_map(F.lit("vector"), F.col("rank")).alias("channels"))
-
-
-D_CAND = f"""{D_STRUCT},
-fu AS (SELECT pl.document_id, question_id, intent, kind.chunk_id, section_kind, r FROM pl JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS r FROM kind QUALIFY r <= 60) kind USING (document_id)),
-top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY r, chunk_id) AS rank FROM fu
+    """Vector hits of two sub-queries and full-text hits of the words of every question, fused."""
+    asked_ = t.sql(PLANS).select("document_id", "question_id", "question")
+    chunk = t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select(
+        F.col("source").alias("index_id"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("doc_id").alias("ordinal"), "embedding")
+    known = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    conv, turn = F.floor(F.col("question_id") / 1000), F.col("question_id") % 1000
+    sub = lambda channel, vec: asked_.select(F.col("document_id").alias("index_id"), F.col("question_id").alias("query_id"), F.lit(channel).alias("channel"), vec.alias("vec_id")).join(known, "vec_id").drop("vec_id")
+    dense_ = V.exact_top_k(chunk, sub("query_0", conv).unionByName(sub("query_1", conv + turn + 1)), 30)
+    dense_ = dense_.select(F.col("index_id").alias("document_id"), F.col("query_id").alias("question_id"), "channel", "rank", "chunk_id", (1 - F.col("distance")).alias("similarity"))
+    texts = section_chunks(t).select(F.col("document_id").alias("index_id"), "chunk_id", "ordinal", "contextualized_text")
+    words = F.filter(F.split("question", " "), lambda w: F.length(w) > 3)
+    text = T.phrase_search(T.postings(texts), asked_.select(F.col("document_id").alias("index_id"), "question_id", words.alias("keywords")))
+    return R.nested_fusion(dense_, text.withColumnRenamed("index_id", "document_id"), ["document_id", "question_id"], None)
+
+
+D_QUESTION_WORDS = "SELECT DISTINCT document_id AS index_id, question_id, phrase FROM (SELECT document_id, question_id, unnest(string_split(question, ' ')) AS phrase FROM pl) WHERE length(phrase) > 3"
+D_FUSED = f"""dv AS (SELECT source AS document_id, concat('c', vec_id) AS chunk_id, vec_id, embedding::DOUBLE[] AS e FROM embeddings JOIN documents ON doc_id = vec_id),
+pq AS (SELECT document_id, question_id, 'query_0' AS channel, embedding::DOUBLE[] AS e FROM pl JOIN embeddings ON vec_id = question_id // 1000
+  UNION ALL SELECT document_id, question_id, 'query_1', embedding::DOUBLE[] FROM pl JOIN embeddings ON vec_id = question_id // 1000 + question_id % 1000 + 1),
+dh AS (SELECT pq.document_id, question_id, channel, chunk_id, row_number() OVER (PARTITION BY question_id, channel ORDER BY round(1 - list_cosine_similarity(pq.e, dv.e), 9), vec_id) AS rank FROM pq JOIN dv USING (document_id) QUALIFY rank <= 30),
+vr AS (SELECT document_id, question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, chunk_id) AS rank FROM dh GROUP BY document_id, question_id, chunk_id),
+{d_search(D_QUESTION_WORDS, "(SELECT document_id AS source, ordinal AS doc_id, concat(heading, chr(10), body) AS text FROM sc)")},
+fz AS (SELECT document_id, question_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT * FROM vr UNION ALL SELECT index_id, question_id, concat('c', chunk_id), rank FROM found) GROUP BY ALL)"""
+
+D_CAND = f"""{D_STRUCT}, {D_FUSED},
+fu AS (SELECT fz.document_id, fz.question_id, intent, fz.chunk_id, section_kind, rrf FROM fz JOIN pl ON pl.question_id = fz.question_id JOIN kind ON kind.document_id = fz.document_id AND kind.chunk_id = fz.chunk_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 12) DESC, chunk_id) AS rank FROM fu
   WHERE (intent = 'metadata' OR section_kind <> 'document_metadata') AND (intent = 'references' OR section_kind NOT IN ('references', 'backmatter')) QUALIFY rank <= 40),
 cand AS (SELECT coalesce(t.document_id, s.document_id) AS document_id, coalesce(t.question_id, s.question_id) AS question_id, coalesce(t.chunk_id, s.chunk_id) AS chunk_id,
-  coalesce(round(1.0::DOUBLE / (60 + t.r), 8), 0) AS rrf_score, s.chunk_id IS NOT NULL AS from_section, coalesce(t.rank, 40 + s.place)::INT AS candidate_no
+  coalesce(round(t.rrf, 8), 0) AS rrf_score, s.chunk_id IS NOT NULL AS from_section, coalesce(t.rank, 40 + s.place)::INT AS candidate_no
   FROM top t FULL JOIN struct s ON s.question_id = t.question_id AND s.chunk_id = t.chunk_id)"""
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attesta import schemas
+from attesta.functions.lineage import shared_folder
 from attesta.operators import units as U
 from attesta.plans import duck, query
 from attesta.plans.evidence import D_TEXT, text_items
 from attesta.sources import catalog as C
+from attesta.sources import publishing as P
 from attesta.sources import readers as R
 from attesta.sources import sinks as S
 
@@ -171,3 +175,201 @@ query(
 )(lambda t: S.export("csv", "Brand#7", {"results": t.part.select(F.col("p_brand").alias("document_id"), "p_partkey", "p_name", F.concat(F.lit("+"), "p_type").alias("p_type"))}).drop("document_id"))
 query("graph_table_counts", "A19", "SELECT 'supplier' AS \"table\", count(*) AS rows FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'lineitem', count(*) FROM lineitem")(
     lambda t: S.table_counts({"supplier": t.supplier, "part": t.part, "lineitem": t.lineitem}))
+
+
+# ---- publications: written, read back, published in one step, read again ---------------
+def folder(t, name):
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4()}"
+
+
+def chunk_rows(t):
+    return t.documents.select(F.col("source").alias("index_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text", F.array("lang", "source").alias("refs"))
+
+
+def published_chunks(t):
+    """Two loads, the second one repeated; a load between them ends before it is published."""
+    path, chunks = folder(t, "chunks"), chunk_rows(t)
+    versions = [S.write_chunks(chunks.where("length(text) % 2 = 0"), path)]
+    P.stage_load(t.spark, path, {"chunks": S.chunk_part(chunks.withColumn("text", F.lit("half")))})
+    versions += [S.write_chunks(chunks, path), S.write_chunks(chunks.repartition(3), path)]
+    found = P.read_part(t.spark, path, "chunks")
+    return found.select("chunk_id", F.md5("text").alias("text"), "refs_json", F.lit(",".join(map(str, versions))).alias("versions"))
+
+
+query(
+    "published_chunks",
+    "A15 A23",
+    """SELECT doc_id::VARCHAR AS chunk_id, md5(text) AS text, concat('["', lang, '","', source, '"]') AS refs_json, '0,1,None' AS versions FROM documents""",
+)(published_chunks)
+
+
+def result_rows(t):
+    """Texts with line ends, commas, quotes and formulas, and empty and missing ones."""
+    k = F.col("doc_id") % 5
+    said = F.when(k == 0, F.concat(F.lit('=1+"a", '), "text")).when(k == 1, "").when(k == 2, F.lit(None)).when(k == 3, F.concat(F.lit("  "), "text", F.lit(" "))).otherwise(F.col("text"))
+    return t.documents.select(F.col("doc_id").cast("string").alias("result_id"), F.col("source").alias("document_id"), said.alias("raw"), F.col("n_chars").cast("double").alias("numeric"))
+
+
+def published_results(t):
+    path = folder(t, "results")
+    P.publish(t.spark, path, {"results": S.result_part(result_rows(t))})
+    return P.read_part(t.spark, path, "results").select("result_id", F.md5("raw").alias("raw"), "numeric")
+
+
+query(
+    "published_results",
+    "A16 A17",
+    """WITH r AS (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN concat('=1+"a", ', text) WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN concat('  ', text, ' ') ELSE text END AS raw FROM documents)
+SELECT doc_id::VARCHAR AS result_id, md5(CASE WHEN regexp_matches(raw, '^\\s*[=+\\-@]') THEN concat('''', raw) ELSE raw END) AS raw, n_chars::DOUBLE AS "numeric" FROM r""",
+)(published_results)
+
+
+def published_tables(t):
+    path = folder(t, "graph")
+    S.export_tables({"suppliers": t.supplier, "parts": t.part, "orders": t.orders.withColumn("refs", F.array("o_custkey"))}, path)
+    return P.manifest(t.spark, path).select(F.split("part", "\\.")[0].alias("table"), "format", "rows")
+
+
+query(
+    "published_tables",
+    "A19",
+    """SELECT "table", format, rows FROM (SELECT 'suppliers' AS "table", count(*) AS rows FROM supplier UNION ALL SELECT 'parts', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders), (VALUES ('json'), ('csv')) f(format)""",
+)(published_tables)
+
+
+def paper_parts(t):
+    """One paper is a brand: its units, layout rows, chunks, results and checks."""
+    p, brand = t.part, F.col("p_brand").alias("document_id")
+    sold = t.lineitem.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return {
+        "evidence": p.select(brand, F.col("p_partkey").alias("evidence_id"), F.col("p_name").alias("text")),
+        "docling": p.select(brand, F.col("p_type").alias("label")).distinct(),
+        "rag": sold.select(brand, "l_orderkey", "l_linenumber", F.array("p_type", "p_name").alias("refs")),
+        "results": p.select(brand, "p_partkey", F.concat(F.lit("="), "p_name").alias("raw"), "p_retailprice"),
+        "checks": p.where("p_size > 25").select(brand, "p_partkey", F.lit("needs_review").alias("outcome")),
+    }
+
+
+def published_exports(t):
+    """All kinds of one paper, read again from the files."""
+    path = folder(t, "paper")
+    S.export_paper(t.spark, "Brand#7", paper_parts(t), path)
+    out = None
+    for kind in S.EXPORTS:
+        rows = P.read_part(t.spark, path, kind)
+        guarded = F.col("raw").startswith("'=") if kind == "csv" else F.lit(False)
+        found = rows.agg(F.count("*").alias("rows"), F.count_if(guarded).alias("guarded")).select(F.lit(kind).alias("kind"), "rows", "guarded")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+query(
+    "published_exports",
+    "A20",
+    """WITH p AS (SELECT * FROM part WHERE p_brand = 'Brand#7') SELECT 'evidence' AS kind, count(*) AS rows, 0::BIGINT AS guarded FROM p UNION ALL SELECT 'docling', count(DISTINCT p_type), 0 FROM p UNION ALL SELECT 'rag', count(*), 0 FROM lineitem JOIN p ON l_partkey = p_partkey
+UNION ALL SELECT 'results', count(*), 0 FROM p UNION ALL SELECT 'checks', count(*), 0 FROM p WHERE p_size > 25 UNION ALL SELECT 'csv', count(*), count(*) FROM p""",
+)(published_exports)
+
+
+# ---- records in files: declared schema, damaged lines apart -----------------------------
+UNIT_LINE = "document_id string, evidence_id string, text string, page_no int"
+CHUNK_LINE = "chunk_id string, contextualized_text string, source_refs array<string>, token_count int"
+
+
+def damaged(line, key):
+    """Every thirteenth line is cut short, of the others every eleventh has a list or a number in the wrong place."""
+    cut_short = F.substring(line, F.lit(1), F.length(line) - 2)
+    odd = F.concat(F.lit('{"document_id":["x"],"source_refs":7,"completion_calls":7,"k":'), key.cast("string"), F.lit("}"))
+    return F.when(key % 13 == 0, cut_short).when(key % 11 == 0, odd).otherwise(line)
+
+
+def unit_lines(t):
+    line = F.to_json(F.struct(F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("source")).alias("document_id"), F.concat(F.lit("u"), "doc_id").alias("evidence_id"), "text", (F.col("doc_id") % 9).cast("int").alias("page_no")))
+    return t.documents.select(damaged(line, F.col("doc_id")).alias("value"))
+
+
+def chunk_lines(t):
+    line = F.to_json(F.struct(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("text").alias("contextualized_text"), F.array("lang").alias("source_refs"), F.length("text").alias("token_count")))
+    return t.documents.select(damaged(line, F.col("doc_id")).alias("value"))
+
+
+def result_lines(t):
+    record = F.struct(F.concat(F.lit("r"), "p_partkey").alias("result_id"), F.col("p_brand").alias("document_id"), F.struct(F.col("p_name").alias("reported")).alias("method"),
+                      F.struct(F.col("p_retailprice").cast("string").alias("raw"), F.col("p_retailprice").cast("double").alias("numeric")).alias("value"))
+    line = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.col("p_brand").alias("document_id"), F.array(record).alias("records")))
+    return t.part.select(damaged(line, F.col("p_partkey")).alias("value"))
+
+
+def ledger_lines(t):
+    call = F.struct(F.when(F.col("value") > 50, "completed").otherwise("failed").alias("status"), F.col("event_type").alias("model"), F.concat(F.lit("h"), "event_id").alias("request_hash"), F.col("user_id").cast("long").alias("reserved_tokens"))
+    return t.events.select(damaged(F.to_json(F.struct(F.array(call).alias("completion_calls"))), F.col("event_id")).alias("value"))
+
+
+LINES = {
+    "index": (unit_lines, UNIT_LINE, R.INDEX_FIELDS), "chunks": (chunk_lines, CHUNK_LINE, R.CHUNK_FIELDS),
+    "results": (result_lines, schemas.COLLECTION, R.RESULT_FIELDS), "ledger": (ledger_lines, schemas.LEDGER, R.LEDGER_FIELDS),
+}
+
+
+def line_file(t, kind):
+    path = folder(t, kind)
+    LINES[kind][0](t).write.text(path)
+    return path
+
+
+D_SOUND = "{0} % 13 <> 0 AND {0} % 11 <> 0"
+query(
+    "read_index_lines",
+    "A4",
+    f"SELECT source AS document_id, concat('u', doc_id) AS evidence_id, md5(text) AS text, (doc_id % 9)::INT AS page_no FROM documents WHERE {D_SOUND.format('doc_id')} AND doc_id % 7 <> 0",
+)(lambda t: R.read_index(t.spark, line_file(t, "index"), UNIT_LINE).withColumn("text", F.md5("text")))
+query(
+    "read_chunk_lines",
+    "A6",
+    f"SELECT concat('c', doc_id) AS chunk_id, md5(text) AS text, lang, length(text)::INT AS token_count FROM documents WHERE {D_SOUND.format('doc_id')}",
+)(lambda t: R.read_chunks(t.spark, line_file(t, "chunks"), CHUNK_LINE).select("chunk_id", F.md5("contextualized_text").alias("text"), F.col("source_refs")[0].alias("lang"), "token_count"))
+query(
+    "read_result_lines",
+    "A5",
+    f"""SELECT p_brand AS document_id, concat('r', p_partkey) AS result_id, p_name AS "method", p_retailprice::DOUBLE AS "numeric" FROM part WHERE {D_SOUND.format('p_partkey')}""",
+)(lambda t: R.read_result_lines(t.spark, line_file(t, "results")).select(F.inline("records")).select("document_id", "result_id", F.col("method.reported").alias("method"), F.col("value.numeric").alias("numeric")))
+query(
+    "read_ledger_lines",
+    "A10",
+    f"SELECT concat('h', event_id) AS request_hash, CASE WHEN value > 50 THEN 'completed' ELSE 'failed' END AS status, event_type AS model, user_id::BIGINT AS reserved_tokens FROM events WHERE {D_SOUND.format('event_id')}",
+)(lambda t: R.read_ledger_lines(t.spark, line_file(t, "ledger")).select("request_hash", "status", "model", "reserved_tokens"))
+
+
+def quarantined(t):
+    """Lines that are no records, by the file they stand in."""
+    out = None
+    for kind, (_, schema, required) in LINES.items():
+        found = R.quarantine(t.spark, line_file(t, kind), schema, required).groupBy("reason").agg(F.count("*").alias("lines"), F.count_distinct("path", "offset").alias("places"))
+        found = found.select(F.lit(kind).alias("kind"), "reason", "lines", "places")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _d_damage(kind: str, table: str, key: str, odd: str) -> str:
+    return f"SELECT '{kind}' AS kind, CASE WHEN {key} % 13 = 0 THEN 'not_json' WHEN {key} % 11 = 0 THEN '{odd}' END AS reason, {key} AS k FROM {table}"
+
+
+query(
+    "quarantined_lines",
+    "A4 A5 A6 A10",
+    f"""SELECT kind, reason, count(*) AS lines, count(*) AS places FROM ({_d_damage('index', 'documents', 'doc_id', 'without_evidence_id')} UNION ALL {_d_damage('chunks', 'documents', 'doc_id', 'not_of_the_schema')} UNION ALL {_d_damage('results', 'part', 'p_partkey', 'without_schema_version')}
+UNION ALL {_d_damage('ledger', 'events', 'event_id', 'not_of_the_schema')} UNION ALL SELECT 'index', CASE WHEN {D_SOUND.format('doc_id')} THEN 'without_document_id' END, doc_id FROM documents WHERE doc_id % 7 = 0) WHERE reason IS NOT NULL GROUP BY ALL""",
+)(quarantined)
+
+
+def graph_files(t):
+    """A graph table of several files, one of which is no Parquet."""
+    path = folder(t, "entities")
+    t.part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("title")).write.parquet(path)
+    t.region.select(F.col("r_name").alias("value")).coalesce(1).write.mode("append").text(path)
+    return R.read_graph_table(t.spark, path, "id string, title string")
+
+
+query("read_graph_files", "A9", "SELECT concat('p', p_partkey) AS id, p_name AS title FROM part")(lambda t: graph_files(t)[0])
+query("unreadable_graph_files", "A9", "SELECT 'txt' AS kind, 'no_readable_rows' AS reason, sum(length(r_name) + 1)::BIGINT AS length FROM region")(
+    lambda t: graph_files(t)[1].select(F.substring_index("path", ".", -1).alias("kind"), "reason", "length"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attesta import schemas
 from attesta.functions.text import strip
@@ -107,30 +108,96 @@ def layout_cells(documents: DataFrame) -> DataFrame:
     )
 
 
+# ---- records in files ----------------------------------------------------------------
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, path, block, at): lines that aren't blank, where they come from, and an order inside a block of a file."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def _parsed(lines: DataFrame, schema: T.StructType | str, required: tuple[str, ...]) -> DataFrame:
+    """The lines with their record `r`, or the reason why there is none."""
+    typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*typed.fields, T.StructField("__corrupt", T.StringType())])
+    r = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    out = lines.withColumn("r", r)
+    reason = F.when(F.try_parse_json("value").isNull(), "not_json").when(F.col("r").isNull() | F.col("r.__corrupt").isNotNull(), "not_of_the_schema")
+    for name in required:
+        reason = reason.when(F.col(f"r.{name}").isNull(), f"without_{name}")
+    return out.withColumn("reason", F.when(F.trim("value") != "", reason))
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
+    """Records of JSON lines that have the declared schema and all required fields; the others are in `quarantine`."""
+    parsed = _parsed(_lines(spark, path), schema, required)
+    return parsed.where("reason IS NULL AND trim(value) <> ''").select("r.*").drop("__corrupt")
+
+
+def quarantine(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
+    """(path, offset, reason, value) of the lines that are no records, offset in bytes from the beginning of the file.
+
+    A block of a file holds the lines that begin in it, so its own length is that of its lines; offsets add up blocks
+    first and the lines of the one block then. Only positions and lengths are shuffled.
+    """
+    parsed = _parsed(_lines(spark, path), schema, required)
+    measured = parsed.select("path", "block", "at", (F.octet_length("value") + 1).cast("long").alias("size"), "reason", F.when(F.col("reason").isNotNull(), F.col("value")).alias("value"))
+    inside = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = measured.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    blocks = measured.groupBy("path", "block").agg(F.sum("size").alias("whole"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("path", "block", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("start"))
+    return placed.where("reason IS NOT NULL").join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("before")).alias("offset"), "reason", "value")
+
+
+RESULT_FIELDS = ("schema_version", "document_id", "records")
+INDEX_FIELDS = ("document_id", "evidence_id")
+CHUNK_FIELDS = ("chunk_id", "contextualized_text", "source_refs")
+LEDGER_FIELDS = ("completion_calls",)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Curated result collections; a wrong type fails the read."""
+    """Curated result collections, one document a file; a wrong type fails the read."""
     return spark.read.schema(schemas.COLLECTION).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Curated result collections, one a line."""
+    return read_records(spark, path, schemas.COLLECTION, RESULT_FIELDS)
+
+
 def read_index(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A normalized index written by another producer, with a strict schema."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Units of a normalized index written by another producer, with a strict schema."""
+    return read_records(spark, path, schema, INDEX_FIELDS)
 
 
 def read_chunks(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return read_records(spark, path, schema, CHUNK_FIELDS)
 
 
 def read_graph_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet") for n in names}
 
 
+def read_graph_table(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataFrame]:
+    """(rows, files without readable rows) of a table whose folder may hold damaged files; the schema is declared, not guessed."""
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    read = rows.select(plain(F.col("_metadata.file_path")).alias("path")).distinct()
+    files = spark.read.format("binaryFile").load(path).select(plain(F.col("path")).alias("path"), "length")
+    return rows, files.join(read, "path", "left_anti").withColumn("reason", F.lit("no_readable_rows"))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One row per provider call of saved ledgers."""
+    """One row per provider call of saved ledgers, one ledger a file."""
     ledgers = spark.read.schema(schemas.LEDGER).option("multiLine", "true").json(path).withColumn("ledger", F.input_file_name())
     return ledgers.select("ledger", F.posexplode("completion_calls").alias("call_no", "c")).select("ledger", "call_no", "c.*")
 
 
+def read_ledger_lines(spark: SparkSession, path: str, schema=schemas.LEDGER) -> DataFrame:
+    """One row per provider call of saved ledgers, one ledger a line."""
+    return read_records(spark, path, schema, LEDGER_FIELDS).select(F.posexplode("completion_calls").alias("call_no", "c")).select("call_no", "c.*")
+
+
 # ---- profiles ------------------------------------------------------------------------
 def source_profile(items: DataFrame) -> DataFrame:
     """Counts per document: kinds, labels, provenance."""

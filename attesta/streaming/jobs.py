@@ -1,17 +1,29 @@
 """Job states kept up to date from a stream of job events.
 
-The batch operator `ledger.job_states` and this job share their expressions: per field the
-last event that carried it wins.
+Two streaming queries, chained by a folder. The first one, `admit`, splits what arrives: an event older than the latest one of
+earlier batches by more than `DELAY` is late and is only listed; the others are admitted. The second one folds
+admitted events per job with keyed state and an event-time timer: a finished job that hears nothing for `RETENTION` is closed,
+and its state goes. Both can be stopped and started again: a batch writes a folder of its own number, and what
+has been admitted before decides what is late.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from attesta.operators.ledger import state_columns
+from attesta.sources.publishing import exists
 
 FIELDS = ("status", "stage", "done")
+DELAY = "1 hour"
+RETENTION = "2 hours"
 
 
 def read_events(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -19,11 +31,98 @@ def read_events(spark: SparkSession, path: str, schema, max_files: int = 100) ->
 
 
 def job_state_stream(events: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "job_id") -> DataFrame:
-    """Streaming fold keyed by job; state is one row per job, whatever the number of events."""
+    """Streaming fold keyed by job without expiry; state is one row per job, whatever the number of events."""
     return events.groupBy(key).agg(*state_columns(list(fields)))
 
 
-def write_states(states: DataFrame, upsert, checkpoint: str, trigger: dict | None = None) -> DataStreamWriter:
+def _batches(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if exists(spark, path) else None
+
+
+def admit(events: DataFrame, folder: str, time: str = "ts", delay: str = DELAY) -> StreamingQuery:
+    """Runs over all events there are: admitted ones go to `folder`/admitted, late ones to `folder`/late.
+
+    The bound of a batch is the latest time that earlier batches admitted, less `delay`: one value, read from the
+    statistics of their files. A batch that is run again overwrites its own folders with the same rows.
+    """
+    wait = F.expr(f"INTERVAL {delay}")
+
+    def split(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _batches(spark, f"{folder}/admitted")
+        latest = None if known is None else known.where(F.col("batch") < number).agg(F.max(time)).first()[0]
+        late = F.lit(False) if latest is None else F.col(time) < F.lit(latest) - wait
+        for name, rows in (("admitted", batch.where(F.coalesce(~late, F.lit(False)))), ("late", batch.where(F.coalesce(late, F.lit(True))))):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    return events.writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/checkpoints/admit").trigger(availableNow=True).start()
+
+
+def _fold(fields: tuple[str, ...], finished: str, keep: float):
+    """Per field the value of the last event that carried it; a timer of its own for every finished job."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            old = state.get
+            state.remove()
+            yield _row(key, fields, old, True)
+            return
+        last, events, newest, over = (*state.get,) if state.exists else ([None] * (3 * len(fields)), 0, 0.0, False)
+        last = list(last)
+        for batch in batches:
+            events += len(batch)
+            order = batch.sort_values(["at", "event_id"], kind="stable")
+            newest = max(newest, float(order["at"].iat[-1]))
+            for i, f in enumerate(fields):
+                carried = order[order[f"has_{f}"].eq(True)]
+                if len(carried):
+                    row = carried.iloc[-1]
+                    if last[3 * i] is None or (float(last[3 * i]), int(last[3 * i + 1])) < (row["at"], row["event_id"]):
+                        value = row[f]
+                        last[3 * i : 3 * i + 3] = [repr(float(row["at"])), str(row["event_id"]), None if pd.isna(value) else str(value)]
+        over = last[2] == finished
+        state.update((last, events, newest, over))
+        if over:
+            state.setTimeoutTimestamp(max(int((newest + keep) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield _row(key, fields, (last, events, newest, over), False)
+
+    return run
+
+
+def _row(key: tuple, fields: tuple[str, ...], state: tuple, closed: bool) -> pd.DataFrame:
+    last, events, newest, _ = state
+    return pd.DataFrame({"job_id": [key[0]], **{f: [last[3 * i + 2]] for i, f in enumerate(fields)}, "updated": [newest], "events": [events], "closed": [closed]})
+
+
+def fold_jobs(events: DataFrame, fields: tuple[str, ...] = FIELDS, finished: str = "done", retention: str = RETENTION, delay: str = DELAY) -> DataFrame:
+    """(job_id, *fields as text, updated, events, closed): changed jobs of each batch, and closed ones once.
+
+    events(job_id, event_id, ts, and for each field its value and has_<field>): the fold of `ledger.job_states`, in keyed state. A job whose
+    first field is `finished` is closed when the watermark passes its last event by `retention`; an event after that
+    opens it anew. State holds three values for each field and is bounded by the jobs that aren't closed.
+    """
+    keep = pd.Timedelta(retention) / timedelta(seconds=1)
+    timed = events.withWatermark("ts", delay).select("job_id", "event_id", "ts", F.col("ts").cast("double").alias("at"), *fields, *[F.col(f"has_{f}") for f in fields])
+    out = ", ".join(["job_id string", *[f"{f} string" for f in fields], "updated double", "events long", "closed boolean"])
+    return timed.groupBy("job_id").applyInPandasWithState(_fold(fields, finished, keep), out, "last array<string>, events long, newest double, finished boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_states(states: DataFrame, folder: str) -> StreamingQuery:
+    """Runs to the end of what is there; every batch's changes go to a folder of its own number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
+
+    return states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoints/fold").trigger(availableNow=True).start()
+
+
+def latest_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The last row of each life of a job: one for a job that was never closed."""
+    rows = spark.read.parquet(f"{folder}/states")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("job_id", "batch")]), F.struct("batch", F.col("closed").cast("int"))).alias("s")).select("job_id", "s.*")
+
+
+def write_states(states: DataFrame, upsert, checkpoint: str, trigger: dict | None = None):
     """Emit changed jobs per micro-batch to an idempotent `upsert(batch, epoch)`."""
     writer = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert)
     return writer.trigger(**(trigger or {"availableNow": True}))

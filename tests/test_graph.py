@@ -3,12 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.operators import communities as C
 from attesta.operators import evaluation as E
 from attesta.operators import extraction as X
 from attesta.operators import graph_tables as G
 from attesta.operators import ledger as L
 from attesta.operators import relations as R
 from attesta.operators import research as S
+from attesta.sources import publishing as P
 from attesta.sources import sinks
 from attesta.streaming import jobs
 
@@ -141,8 +143,9 @@ def test_sinks_never_overwrite_and_verify(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_new(df, str(tmp_path / "in" / "sub"), inputs=[str(tmp_path / "in")])
     chunks = spark.createDataFrame([("i", "c", ["a", "b"])], "index_id string, chunk_id string, refs array<string>")
-    sinks.write_chunks(chunks, str(tmp_path / "jsonl"))
-    assert spark.read.json(str(tmp_path / "jsonl")).first().refs_json == '["a","b"]'
+    assert sinks.write_chunks(chunks, str(tmp_path / "jsonl")) == 0
+    assert sinks.write_chunks(chunks, str(tmp_path / "jsonl")) is None
+    assert P.read_part(spark, str(tmp_path / "jsonl"), "chunks").first().refs_json == '["a","b"]'
     vectors = spark.createDataFrame([("i1", f"c{i}", i, [float(i), 1.0]) for i in range(5)], "index_id string, chunk_id string, ordinal long, embedding array<float>")
     path = str(tmp_path / "vec")
     first = sinks.store_vectors(spark, vectors.where("ordinal < 3"), path).first()
@@ -150,11 +153,120 @@ def test_sinks_never_overwrite_and_verify(spark, tmp_path):
     assert (first.new_rows, again.new_rows, again.existing_rows_reused) == (3, 2, 3)
     with pytest.raises(RuntimeError):
         sinks.store_vectors(spark, vectors.withColumn("embedding", F.array(F.lit(9.0).cast("float"), F.lit(9.0).cast("float"))), path)
+    assert sinks.stored_vectors(spark, path).count() == 5
     sinks.export_tables({"vectors": vectors}, str(tmp_path / "export"))
-    assert spark.read.json(str(tmp_path / "export" / "vectors.json")).count() == 5
+    assert sorted(P.read_part(spark, str(tmp_path / "export"), "vectors.json").collect()) == sorted(vectors.collect())
+    assert P.read_part(spark, str(tmp_path / "export"), "vectors.csv").count() == 5
+
+
+def test_publication_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    one = spark.createDataFrame([(1, 'a,"b\nc'), (2, None), (3, ""), (4, " x ")], "k int, v string")
+    parts = {"a": P.Part(one, "csv"), "b": P.Part(one.withColumn("m", F.array("k")), "json"), "c": P.Part(one, "parquet", ("k",))}
+    assert P.publish(spark, path, parts) == 0
+    assert P.publish(spark, path, {n: P.Part(p.rows.repartition(3), p.format, p.partition_by) for n, p in parts.items()}) is None
+    for part in ("a", "b", "c"):
+        assert sorted(map(str, map(tuple, P.read_part(spark, path, part).select("k", "v").collect()))) == sorted(map(str, map(tuple, one.collect())))
+    # A load that breaks between its files and the manifest is not seen, nor is one that reads back otherwise.
+    P.stage_load(spark, path, {"a": P.Part(one.where("k = 2"), "csv")})
+    monkeypatch.setattr(P, "_read", lambda spark, *rest: one.limit(2))
+    with pytest.raises(RuntimeError, match="differ"):
+        P.publish(spark, path, {"a": P.Part(one.where("k = 1"))})
+    monkeypatch.undo()
+    assert [r["version"] for r in P.versions(spark, path)] == [0, 0, 0]
+    assert P.publish(spark, path, {"a": P.Part(one.where("k = 1"))}) == 1
+    assert P.read_part(spark, path, "a").count() == 1
+    assert P.read_all(spark, path, "a").count() == 5
+    with pytest.raises(KeyError):
+        P.read_part(spark, path, "b")
+    with pytest.raises(ValueError, match="overlaps"):
+        P.publish(spark, path, parts, inputs=[str(tmp_path)])
 
 
 def test_absent_terms_short_words(spark):
     cases = spark.createDataFrame([("c1", "d", "zebra"), ("c2", "d", "red fox")], "case_id string, document_id string, term string")
     sources = spark.createDataFrame([("d", "u", "A Red  Fox ran")], "document_id string, evidence_id string, text string")
     assert [r.case_id for r in E.misplaced_terms(cases, sources).collect()] == ["c2"]
+
+
+def _modularity(edges, labels):
+    degree, whole = {}, 0
+    for a, b, w in edges:
+        degree[a], degree[b], whole = degree.get(a, 0) + w, degree.get(b, 0) + w, whole + 2 * w
+    total = {}
+    for x, k in degree.items():
+        total[labels[x]] = total.get(labels[x], 0) + k
+    return sum(2 * w for a, b, w in edges if labels[a] == labels[b]) / whole - sum((k / whole) ** 2 for k in total.values())
+
+
+def _levels(spark, edges, max_size, bound, alone=()):
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)} | set(alone))
+    found = C.hierarchy(spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(edges, "source string, target string, weight int"), max_size, bound)
+    out = {}
+    for r in found.collect():
+        assert r["id"] not in out.setdefault(r["level"], {})
+        out[r["level"]][r["id"]] = r["community"]
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_communities_of_joined_cliques(spark, bound):
+    clique = lambda c, n: [(f"{c}{i}", f"{c}{j}", 1) for i in range(n) for j in range(i)]
+    edges = clique("a", 6) + clique("b", 6) + [("a0", "b0", 1)] + clique("d", 4)
+    found = _levels(spark, edges, 10, bound, alone=["z"])
+    assert set(found) == {0}
+    assert {x: c for x, c in found[0].items()} == {**{f"{c}{i}": f"0-{c}0" for c in "ab" for i in range(6)}, **{f"d{i}": "0-d0" for i in range(4)}, "z": "0-z"}
+
+
+def test_communities_divide_at_the_next_level(spark):
+    clique = lambda c, n: [(f"{c}{i}", f"{c}{j}", 1) for i in range(n) for j in range(i)]
+    # In a large graph the four cliques of a ring are one part, in their own graph four.
+    far = [(f"f{i}", f"g{i}", 1) for i in range(900)]
+    ring = [e for c in "abde" for e in clique(c, 4)] + [(f"{x}0", f"{y}1", 1) for x, y in ("ab", "bd", "de", "ea")]
+    found = _levels(spark, ring + far, 10, 5000)
+    assert {found[0][f"{c}{i}"] for c in "abde" for i in range(4)} == {"0-a0"}
+    assert found[1] == {f"{c}{i}": f"1-{c}0" for c in "abde" for i in range(4)}
+
+
+@pytest.mark.parametrize("bound", [120, 5000])
+def test_communities_of_a_long_path(spark, bound):
+    edges = [(f"{i:03}", f"{i + 1:03}", 1) for i in range(499)]
+    found = _levels(spark, edges, 1000, bound)[0]
+    runs = [found[f"{i:03}"] for i in range(500)]
+    assert len(set(runs)) == 1 + sum(a != b for a, b in zip(runs, runs[1:], strict=False))
+    assert _modularity(edges, found) > 0.9
+
+
+def _job(job, event, minute, status=None, stage=None, done=None):
+    return (job, event, f"2024-01-01 {minute // 60:02}:{minute % 60:02}:00", status, status is not None, stage, stage is not None, done, done is not None)
+
+
+def test_finished_jobs_leave_the_state_and_late_events_are_listed(spark, tmp_path):
+    schema = "job_id string, event_id int, ts string, status string, has_status boolean, stage string, has_stage boolean, done double, has_done boolean"
+    files = [
+        [_job("a", 1, 10, "running", "s1"), _job("a", 2, 11, "done", done=1.5), _job("b", 3, 12, "running")],
+        [_job("b", 4, 200, stage="s2"), _job("c", 5, 201, "done")],
+        [_job("a", 6, 100, "running"), _job("b", 7, 390, "failed", "s3"), _job("c", 8, 170, done=2.0)],
+        [_job("a", 9, 400, "running", "s9")],
+    ]
+    seen, rows = [], []
+    folder = str(tmp_path / "stream")
+    for i, file in enumerate(files):
+        spark.createDataFrame(file, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
+        events = spark.read.parquet(f"{folder}/arrived").schema
+        # Both queries are stopped after each file and go on from their checkpoints.
+        jobs.admit(jobs.read_events(spark, f"{folder}/arrived", events, 1), folder).awaitTermination()
+        run = jobs.keep_states(jobs.fold_jobs(jobs.read_events(spark, f"{folder}/admitted", events, 1)), folder)
+        run.awaitTermination()
+        seen.append(run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+        rows.append({r.job_id: (r.status, r.stage, r.done, r.events, r.closed) for r in jobs.latest_states(spark, folder).collect()})
+    assert sorted(r.event_id for r in spark.read.parquet(f"{folder}/late").collect()) == [6]
+    admitted = spark.read.parquet(f"{folder}/admitted")
+    assert sorted(r.event_id for r in admitted.collect()) == [1, 2, 3, 4, 5, 7, 8, 9]
+    # a is closed when the second file has moved the watermark, c by the third; the last event opens a anew.
+    assert rows[1]["a"] == ("done", "s1", "1.5", 2, True)
+    assert rows[2] == {"a": ("done", "s1", "1.5", 2, True), "b": ("failed", "s3", None, 3, False), "c": ("done", None, "2.0", 2, True)}
+    assert rows[3]["a"] == ("running", "s9", None, 1, False)
+    assert seen == [2, 2, 1, 2]
+    batch = L.job_states(admitted.where("job_id <> 'a'"), list(jobs.FIELDS)).collect()
+    assert {r.job_id: (r.status, r.stage, None if r.done is None else str(r.done), r.events) for r in batch} == {k: v[:4] for k, v in rows[2].items() if k != "a"}

@@ -3,13 +3,17 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from attesta.functions import stems as ST
 from attesta.operators import answers as A
 from attesta.operators import contextual as CT
+from attesta.operators import fulltext as T
 from attesta.operators import questions as Q
 from attesta.operators import retrieval as R
 from attesta.operators import vector_index as V
+from attesta.sources import index_store as IX
 
 
 def _vectors(spark, n, dims=8, seed=1):
@@ -22,8 +26,7 @@ def test_tiled_search_agrees_with_brute_force(spark):
     rows, vectors = _vectors(spark, 120)
     queries = vectors.where("ordinal < 6").select("index_id", F.col("chunk_id").alias("query_id"), F.lit("q").alias("channel"), "embedding")
     inline = V.exact_top_k(vectors.repartition(5), queries, 7)
-    tiles = V.tiled_top_k(vectors, queries, 7, 5 * V.TILE_VECTORS, 3 * V.TILE_QUERIES)
-    tiles = V.skew.top_k(tiles, ["index_id", "query_id", "channel"], [F.asc("distance"), F.asc("ordinal")], 7)
+    tiles = V.exact_top_k(vectors, queries, 7, 2)
 
     def dist(a, b):
         dot = sum(x * y for x, y in zip(a, b))
@@ -127,3 +130,79 @@ def test_contextual_chunks_keep_all_text_within_budget(spark):
     assert all(r.tokens <= 32 for r in rows)
     assert "".join("".join(r.text for r in rows).split()) == "".join("".join(i[4] for i in items).split())
     assert [r.chunk_id for r in rows][:2] == ["d-00000", "d-00001"]
+
+
+# Published pairs of words and stems.
+STEMMED = (
+    "consign consign consigned consign consignment consign consistency consist consistently consist consolation consol consolatory consolatori consolidated consolid "
+    "consolingly consol consonant conson conspicuously conspicu conspiracy conspiraci conspirators conspir conspiring conspir constable constabl constancy constanc "
+    "knackeries knackeri knaves knave kneaded knead kneeling kneel knees knee knitted knit knocker knocker knotted knot happy happi hopping hop hoping hope flies fli "
+    "dies die dying die tied tie cried cri by by say say enjoy enjoy luxuriated luxuri generation generat generously generous communism communism relational relat "
+    "conditional condit digitizer digit operator oper hopefulness hope callousness callous sensitiviti sensit formative format formalize formal electriciti electr "
+    "goodness good revival reviv allowance allow adjustable adjust irritant irrit replacement replac adoption adopt activate activ homologous homolog effective effect "
+    "probate probat rate rate cease ceas controll control roll roll proceeding proceed exceeded exceed herring herring only onli skies sky news news is is youth youth"
+).split()
+
+
+def test_published_stems(spark):
+    words = STEMMED[::2]
+    got = spark.createDataFrame([(words,)], "w array<string>").select(ST.stems(F.col("w")).alias("s")).first().s
+    assert list(zip(words, got, strict=True)) == list(zip(words, STEMMED[1::2], strict=True))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v AS SELECT unnest(?) AS w", [words])
+    assert dict(con.execute(f"WITH {ST.stem_sql('v')} SELECT w, stem FROM stems").fetchall()) == dict(zip(words, STEMMED[1::2], strict=True))
+
+
+CHUNKS = "index_id string, chunk_id string, ordinal int, contextualized_text string"
+ASKED = "index_id string, question_id string, keywords array<string>"
+
+
+def _ranking(found):
+    return [(r.chunk_id, r.score) for r in found.orderBy("question_id", "rank").collect()]
+
+
+def test_cover_density_differs_from_counting(spark):
+    # Three phrases occur in `inner`, but its covers are the two runs that hold no shorter one.
+    rows = [("i", "inner", 1, "A trained network. Network training"), ("i", "gap", 2, "state of the art, state in an art"), ("i", "plain", 3, "networks networks networks"),
+            ("i", "none", 4, "nothing of that"), ("j", "other", 5, "network")]
+    questions = [("i", "q", ["training network", "network", "state of the art", "the of"])]
+    chunks, asked = spark.createDataFrame(rows, CHUNKS), spark.createDataFrame(questions, ASKED)
+    got = _ranking(T.phrase_search(T.postings(chunks), asked))
+    assert got == [("plain", 0.3), ("inner", 0.2), ("gap", round(0.2 / 3, 9))]
+    counted = {"inner": 3, "gap": 2, "plain": 3}
+    assert sorted(counted, key=lambda c: (-counted[c], [r[1] for r in rows].index(c))) != [c for c, _ in got]
+
+
+def test_cover_holds_terms_of_other_phrases(spark):
+    rows = [("i", "filled", 1, "state art the art"), ("i", "open", 2, "state the the art")]
+    questions = [("i", "q", ["state of the art", "art painting"])]
+    got = _ranking(T.phrase_search(T.postings(spark.createDataFrame(rows, CHUNKS)), spark.createDataFrame(questions, ASKED)))
+    assert got == [("filled", 0.05), ("open", round(0.1 / 3, 9))]
+
+
+def test_stored_index(spark, tmp_path):
+    words = "alpha beta gamma delta searching searched the of".split()
+    rng = random.Random(5)
+    rows = [("i%d" % (i % 2), f"c{i}", i, " ".join(rng.choices(words, k=30))) for i in range(60)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    asked = spark.createDataFrame([("i0", "a", ["beta gamma", "search"]), ("i1", "b", ["alpha of delta"]), ("i1", "c", ["the"])], ASKED)
+    path = f"{tmp_path}/index"
+    assert IX.manifest(spark, path).collect() == []
+    assert IX.append(T.postings(chunks.where("ordinal < 40")), path)
+    before = IX.search(spark, path, asked).collect()
+    assert not IX.append(T.postings(chunks.where("ordinal < 40").repartition(3)), path)
+    with pytest.raises(ValueError, match="already"):
+        IX.append(T.postings(chunks.where("ordinal BETWEEN 39 AND 45")), path)
+    # Data of loads that were refused, or never published, is not visible.
+    T.postings(chunks).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{path}/loads/broken/postings")
+    assert IX.search(spark, path, asked).collect() == before
+    assert IX.append(T.postings(chunks.where("ordinal >= 40")), path)
+    assert [tuple(r) for r in IX.manifest(spark, path).orderBy("segment").select("segment", "chunks").collect()] == [(0, 40), (1, 20)]
+    key = ["index_id", "question_id", "rank"]
+    assert IX.search(spark, path, asked).orderBy(*key).collect() == T.phrase_search(T.postings(chunks), asked).orderBy(*key).collect()
+    want = T.postings(chunks).groupBy("index_id", "term").agg(F.count("*").alias("df"))
+    assert sorted(IX.frequencies(spark, path).collect()) == sorted(want.collect())
+    plan = IX.matching(spark, path, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")

@@ -65,3 +65,22 @@ def test_arxiv_reasons(spark):
     rows = R.arxiv_identifiers(spark.createDataFrame([(v,) for v in values], "v string"), "v").collect()
     assert [(r.arxiv_id, r.reason) for r in rows] == [
         ("2401.00001v2", None), ("cs/0101001", None), (None, "not_an_https_arxiv_url"), (None, "not_an_abs_or_pdf_url"), ("2401.00001", None), (None, "invalid_identifier")]
+
+
+def test_damaged_lines_are_listed_with_their_place(spark, tmp_path):
+    good = [json.dumps({"chunk_id": f"c{i}", "contextualized_text": "é" * i, "source_refs": ["r"]}, ensure_ascii=False) for i in range(40)]
+    bad = ['{"chunk_id": "x"', '{"chunk_id": "x", "contextualized_text": "t"}', '{"chunk_id": "x", "contextualized_text": "t", "source_refs": 5}', "[1]"]
+    lines = [*good[:10], bad[0], "", *good[10:20], bad[1], bad[2], *good[20:], bad[3]]
+    for name, text in (("a.jsonl", "\n".join(lines) + "\n"), ("b.jsonl", "\n".join(reversed(lines)))):
+        (tmp_path / name).write_bytes(text.encode())
+    schema = "chunk_id string, contextualized_text string, source_refs array<string>"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        assert sorted(r.chunk_id for r in R.read_chunks(spark, str(tmp_path), schema).collect()) == sorted(f"c{i}" for i in [*range(40), *range(40)])
+        found = R.quarantine(spark, str(tmp_path), schema, R.CHUNK_FIELDS).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.reason for r in found) == sorted(["not_json", "without_source_refs", "not_of_the_schema", "not_of_the_schema"] * 2)
+    for r in found:
+        content = (tmp_path / r.path.rsplit("/", 1)[1]).read_bytes()
+        assert content[r.offset :].split(b"\n")[0].decode() == r.value
