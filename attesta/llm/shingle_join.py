@@ -25,19 +25,54 @@ MATCHES, COMPARE = 32, 0.125
 BLOCK_BITS = 8
 _MANY = 0xFFFF
 _LOW = np.uint64((1 << 48) - 1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(doc_id, id, s): a digest that texts of the same words share, and hashes of the different shingles.
-
-    Words of the A-Z-lowered text; fewer than `width` are one shingle, no words none.
-    """
+def word_hashes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, id, w): a digest that texts of the same words share, and a hash of every word of the A-Z-lowered text."""
     split = texts(docs, key, text).select("doc_id", words(lower_ascii(F.col("text"))).alias("w"))
-    n = F.size("w")
-    joined = F.concat_ws(" ", "w")
-    grams = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("w", i + k) for k in range(width)])))
-    s = F.when(n == 0, F.array().cast("array<bigint>")).when(n < width, F.array(F.xxhash64(joined))).otherwise(F.array_distinct(grams))
-    return split.select("doc_id", F.unhex(F.md5(joined.cast("binary"))).alias("id"), s.alias("s"))
+    return split.select("doc_id", F.unhex(F.md5(F.concat_ws(" ", "w").cast("binary"))).alias("id"), F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+
+
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    h = (h ^ w) * _MIX
+    return h ^ (h >> np.uint64(31))
+
+
+def _shingled(flat: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of some texts at once, and where each text's begin; fewer words than `width` are one, no words none."""
+    w, size = flat.view(np.uint64), np.diff(bounds)
+    h = np.zeros(max(0, len(w) - width + 1), dtype=np.uint64)
+    for j in range(width):
+        h = _mixed(h, w[j : j + len(h)])
+    doc = np.repeat(np.arange(len(size)), size)
+    whole = np.arange(len(h)) + width <= bounds[1:][doc[: len(h)]]
+    token, doc = h[whole], doc[: len(h)][whole]
+    short = np.flatnonzero((size > 0) & (size < width))
+    if len(short):
+        ends = np.full(len(short), np.uint64(width), dtype=np.uint64) * _MIX + size[short].astype(np.uint64)
+        for j in range(width - 1):
+            more = size[short] > j
+            ends[more] = _mixed(ends[more], w[bounds[short[more]] + j])
+        token, doc = np.concatenate([token, ends]), np.concatenate([doc, short])
+    order = np.lexsort((token, doc))
+    token, doc = token[order], doc[order]
+    if len(token):
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])
+        token, doc = token[new], doc[new]
+    return token, np.searchsorted(doc, np.arange(len(size) + 1))
+
+
+def set_sizes(hashed: DataFrame, width: int) -> DataFrame:
+    """(doc_id, id, n_shingles); id is null for an empty set."""
+
+    @F.pandas_udf("long")
+    def count(lists: pd.Series) -> pd.Series:
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        flat = np.concatenate([np.empty(0, dtype=np.int64), *lists])
+        return pd.Series(np.diff(_shingled(flat, bounds, width)[1]))
+
+    return hashed.select("doc_id", "id", count("w").alias("n_shingles")).withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")))
 
 
 def _blob(x: np.ndarray, kind: str) -> bytes:
@@ -50,7 +85,7 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(x)) if len(x) else first
 
 
-def _sent(ranges: int):
+def _sent(ranges: int, width: int):
     """Mapper: sets in chunks; every range gets the tokens that it owns, the chunk's own row says what is left to know.
 
     A token that several sets of a chunk hold is sent once, as one that repeats.
@@ -58,7 +93,7 @@ def _sent(ranges: int):
 
     def chunk(number: int, ids: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple]:
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        token, doc = np.concatenate(sets).view(np.uint64), np.repeat(np.arange(len(sets)), sizes)
+        token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         lane = ((token >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
         token = (token & _LOW) | ((lane.astype(np.uint64) & np.uint64(0x7FFF)) << np.uint64(48))
         order = np.argsort(token, kind="stable")
@@ -88,9 +123,9 @@ def _sent(ranges: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["lane", "chunk", "a", "b", "c", "d"])
 
         for batch in batches:
-            lists = batch.column("s")
-            flat, bounds = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            bounds = bounds - bounds[0]
+            lists = batch.column("w")
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            flat, bounds = _shingled(np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)), bounds - bounds[0], width)
             for i, name in enumerate(batch.column("id").to_pylist()):
                 if bounds[i] == bounds[i + 1] or name in known:
                     continue
@@ -153,13 +188,17 @@ def prefix_length(seen: np.ndarray, n: int, overlap: int) -> tuple[int, int]:
 
     `seen` are the sightings of the repeated tokens of a set of n, rarest first. Sets that share `overlap` tokens share
     at least m of the first n - overlap + m of each in any common order, tokens that nobody else holds come first. A
-    prefix costs a look at each of its postings, and the comparison of at most (sum of the other sightings) / m sets.
+    prefix costs a look at each of its postings, and a comparison for each set that has m of them: of as many others as
+    hold the most frequent token, each holds a token with the share of its sightings, all told by a normal estimate.
     """
     m = np.arange(1, min(MATCHES, overlap) + 1)
-    looks = np.cumsum(seen)[len(seen) - overlap + m - 1]
-    others = looks - (len(seen) - overlap + m)
-    best = int(np.argmin(looks + others / m * n * COMPARE))
-    return best + 1, len(seen) - overlap + best + 1
+    last = len(seen) - overlap + m - 1
+    group = max(float(seen[-1]) - 1, 1.0)
+    share = np.minimum((seen - 1) / group, 1.0)
+    mean, spread = np.cumsum(share)[last], np.sqrt(np.cumsum(share * (1 - share))[last] + 1e-9)
+    likely = 1 / (1 + np.exp(np.clip(-1.702 * (mean - m + 0.5) / spread, -50, 50)))
+    best = int(np.argmin(np.cumsum(seen)[last] + group * likely * n * COMPARE))
+    return best + 1, int(last[best]) + 1
 
 
 def _kept(least: int):
@@ -214,20 +253,20 @@ def _kept(least: int):
     return run
 
 
-def candidates(sets: DataFrame, size_in_bytes: int, least: int = LEAST) -> DataFrame:
+def candidates(hashed: DataFrame, size_in_bytes: int, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """(id, n, matches, length, tokens): different sets that can have a partner at all, with their adaptive prefixes.
 
-    sets: (id binary of 16, s array<bigint>); n is the size of a set, tokens are those of its tokens that other sets hold
+    hashed: a result of `word_hashes`; n is the size of a set, tokens are those of its tokens that other sets hold
     too, from the rarest to the most frequent (ties by token; copies count once in a chunk, and any common order is
     right), of which the first `length` are the prefix and `matches` of them must be shared. A set that shares fewer
     tokens with all others together than a link takes has no partner and is left out. Only tokens and two bytes for their
     owner are shuffled, a token that is frequent in a chunk once, so no token is hot.
     """
-    spark = sets.sparkSession
+    spark = hashed.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = int(min(1 << 16, max(4 * n, -(-size_in_bytes // (6 * RANGE)))))
     blobs = "chunk long, a binary, b binary, c binary"
-    sent = sets.select("id", "s").mapInArrow(_sent(ranges), f"lane long, {blobs}, d binary")
+    sent = hashed.select("id", "w").mapInArrow(_sent(ranges, width), f"lane long, {blobs}, d binary")
     back = sent.repartition(n, "lane").sortWithinPartitions("lane").mapInArrow(_repeated, blobs)
     of = F.when(F.col("chunk") < 0, -1 - F.col("chunk")).otherwise(F.col("chunk"))
     chunks = back.withColumn("of", of).repartition(n, "of").sortWithinPartitions("of")
@@ -397,10 +436,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sets = shingle_sets(docs, key, text, width)
-    own = cut(sets.select("doc_id", F.when(F.size("s") > 0, F.col("id")).alias("id"), F.size("s").cast("long").alias("n_shingles")))
+    hashed = word_hashes(docs, key, text)
+    own = cut(set_sizes(hashed, width))
     size = texts(docs, key, text).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = linked_sets(cut(candidates(sets, size, least)), least, block_bits)
+    found = linked_sets(cut(candidates(hashed, size, width, least)), least, block_bits)
     least_of = own.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
     least_of = cut(least_of.select("id", F.coalesce("root", "id").alias("root"), "least"))
     named = least_of.groupBy("root").agg(F.min("least").alias("component_id"))

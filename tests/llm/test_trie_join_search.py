@@ -146,11 +146,11 @@ def test_shingle_join_with_repeated_and_null_keys(spark):
 def test_prefix_is_lengthened_where_tokens_are_frequent():
     import numpy as np
 
-    rare, hot = np.full(80, 2), np.full(80, 5000)
-    assert shingle_join.prefix_length(rare, 100, 80) == (1, 1)
+    rare, hot = np.full(84, 2), np.repeat([3500, 5000], 42)
+    assert shingle_join.prefix_length(rare, 100, 80) == (1, 5)
     matches, length = shingle_join.prefix_length(hot, 100, 80)
-    assert matches > 1
-    assert length == matches
+    assert matches > 3
+    assert length == matches + 4
 
 
 def plain_ranks(docs, items, k):
