@@ -141,10 +141,10 @@ def quote_pattern(name: Column) -> Column:
 
 
 def contains_word(text: Column, name: Column, extra: str = "") -> Column:
-    """Whole-word containment; `extra` adds characters that also glue words."""
+    """Whole-word containment; `extra` adds characters that also glue words. A pattern is made only where the name occurs at all."""
     guard = rf"[\p{{L}}\p{{N}}_{extra}]"
     pattern = F.concat(F.lit(f"(?<!{guard})"), quote_pattern(name), F.lit(f"(?!{guard})"))
-    return F.regexp_like(text, pattern)
+    return F.contains(text, name) & F.regexp_like(text, pattern)
 
 
 def sorted_distinct(c: Column) -> Column:

@@ -29,6 +29,17 @@ def merge_relations(occurrences: DataFrame) -> DataFrame:
     )
 
 
+def merged_units(occurrences: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, unit_id): the text units of merged relations or entities, one row each, since a name may occur in any number of them."""
+    return occurrences.select(*keys, "unit_id").distinct()
+
+
+def merged_descriptions(occurrences: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, description, unit_id, times): the different descriptions of a merged row, each with its first unit and how often it occurs."""
+    said = occurrences.where(F.trim(F.coalesce("description", F.lit(""))) != "")
+    return said.groupBy(*keys, "description").agg(F.min("unit_id").alias("unit_id"), F.count("*").alias("times"))
+
+
 def merge_entities(occurrences: DataFrame) -> DataFrame:
     """Entity occurrences merged by title; the most frequent type wins, ties by name."""
     typed = occurrences.groupBy("title", "type").agg(F.count("*").alias("n"))
@@ -163,6 +174,16 @@ def edge_payload(relations: DataFrame, entities: DataFrame, assertions: DataFram
     )
 
 
+def edge_assertions(relations: DataFrame, assertions: DataFrame) -> DataFrame:
+    """Directed assertions under every edge of their pair: (id, source, target, kind, evidence, source_record_id, forward).
+
+    Rows, not a list in the edge: a pair may be asserted any number of times. `forward` tells whether the assertion has the edge's direction.
+    """
+    said = assertions.select("source", "target", "kind", "evidence", "source_record_id").distinct().withColumn("pair", pair_key(F.col("source"), F.col("target")))
+    ends = relations.select("id", F.col("source").alias("__s"), pair_key(F.col("source"), F.col("target")).alias("pair"))
+    return ends.join(said, "pair").select("id", "source", "target", "kind", "evidence", "source_record_id", (F.col("source") == F.col("__s")).alias("forward"))
+
+
 def slim_evidence(resolved: DataFrame) -> DataFrame:
     """Only the columns a viewer needs from resolved context rows."""
     return resolved.select("answer_id", "category", "citation_id", "native_id", "resolved", "refs", "pages")

@@ -495,6 +495,30 @@ def anchors(refs: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a gram, and how many of its rarest grams a unit must hold before it is compared with a quote.
+GRAM, GRAMS = 3, 4
+
+
+def _by_grams(needles: DataFrame, bodies: DataFrame, size: int) -> DataFrame:
+    """(document_id, quote_id, evidence_id) of needles inside bodies, through an index of the grams that needles have.
+
+    needles(document_id, quote_id, needle of `size` characters or more), bodies(document_id, evidence_id, body). Of every needle
+    the grams that fewest units of its document hold are counted; only units that hold all of these are compared.
+    """
+    runs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
+    grams = needles.select(*DOC, "quote_id", F.explode(F.array_distinct(runs(F.col("needle")))).alias("gram"))
+    wanted = grams.select(*DOC, "gram").distinct()
+    held = bodies.select(*DOC, "evidence_id", F.explode(F.array_distinct(runs(F.col("body")))).alias("gram")).join(wanted, [*DOC, "gram"], "left_semi")
+    frequency = held.groupBy(*DOC, "gram").agg(F.count("*").alias("df"))
+    # A gram that no unit holds comes first, and leaves nothing to count.
+    ranked = skew.top_k(grams.join(frequency, [*DOC, "gram"], "left"), [*DOC, "quote_id"], [F.coalesce("df", F.lit(0)), F.col("gram")], GRAMS, "place")
+    asked = ranked.groupBy(*DOC, "quote_id").agg(F.count("*").alias("asked"))
+    met = ranked.select(*DOC, "quote_id", "gram").join(held, [*DOC, "gram"]).groupBy(*DOC, "quote_id", "evidence_id").agg(F.count("*").alias("met"))
+    full = met.join(asked, [*DOC, "quote_id"]).where("met = asked").select(*DOC, "quote_id", "evidence_id")
+    compared = full.join(needles, [*DOC, "quote_id"]).join(bodies, [*DOC, "evidence_id"])
+    return compared.where(F.contains("body", "needle")).select(*DOC, "quote_id", "evidence_id")
+
+
 def locate_quotes(quotes: DataFrame, units: DataFrame, short: int = 12) -> DataFrame:
     """Units containing a quote after normalisation.
 
@@ -502,7 +526,7 @@ def locate_quotes(quotes: DataFrame, units: DataFrame, short: int = 12) -> DataF
     With a known reference only that unit is tested; a quote shorter than `short`
     must equal it.  Other quotes are looked up through their rarest inner word, so no
     document is scanned once per quote; quotes without an inner word (at most two
-    words) compare against the document's units directly.
+    words) are looked up through their rarest runs of three characters.
     """
     q = quotes.select(*DOC, "quote_id", "source_ref", text.normalized("quote").alias("needle"))
     u = units.select(*DOC, "evidence_id", text.normalized("text").alias("body"))
@@ -540,7 +564,5 @@ def locate_quotes(quotes: DataFrame, units: DataFrame, short: int = 12) -> DataF
         .where(F.contains("body", "needle"))
         .select(*DOC, "quote_id", "evidence_id")
     )
-    brief = skew.salted_join(
-        u, free.where(F.size("__words") < 3).select(*DOC, "quote_id", "needle"), DOC, spread=["evidence_id"]
-    ).where(F.contains("body", "needle")).select(*DOC, "quote_id", "evidence_id")
+    brief = _by_grams(free.where(F.size("__words") < 3).select(*DOC, "quote_id", "needle"), u, max(1, min(GRAM, short)))
     return exact.unionByName(via_word).unionByName(brief)

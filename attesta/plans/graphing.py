@@ -38,6 +38,21 @@ mrg AS (SELECT source, target, sum(weight)::BIGINT AS weight, count(DISTINCT uni
 rel AS (SELECT concat(m.source, '-', m.target) AS id, a.title AS source, b.title AS target, m.source AS sk, m.target AS tk, weight FROM mrg m JOIN ent a ON a.id = m.source JOIN ent b ON b.id = m.target)"""
 
 query("merge_relations", "H24", f"WITH {D_REL} SELECT * FROM mrg")(lambda t: G.merge_relations(occurrences(t)))
+query("relation_units", "H24", f"WITH {D_REL} SELECT DISTINCT source, target, unit_id FROM occ")(lambda t: G.merged_units(occurrences(t), ["source", "target"]))
+
+
+def described(t):
+    """A nation's suppliers as one entity, described by the priority and flag of the orders they were seen in."""
+    return t.sql("""SELECT concat('NATION', CAST(s_nationkey AS STRING)) AS title, concat(o_orderpriority, ' ', l_returnflag) AS description, concat('u', CAST(o_orderkey AS STRING)) AS unit_id
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {supplier} ON s_suppkey = l_suppkey""")
+
+
+query(
+    "entity_descriptions",
+    "H24",
+    """SELECT concat('NATION', s_nationkey) AS title, concat(o_orderpriority, ' ', l_returnflag) AS description, min(concat('u', o_orderkey)) AS unit_id, count(*) AS times
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL""",
+)(lambda t: G.merged_descriptions(described(t), ["title"]))
 query(
     "merge_entities",
     "H24",
@@ -202,6 +217,11 @@ query(
     f"""WITH {D_REL} SELECT id, sk AS source_id, tk AS target_id, source AS source_label, target AS target_label, weight, CASE WHEN weight > 1 THEN 2 ELSE 0 END::BIGINT AS assertions,
   CASE WHEN weight = 2 THEN 'seen' END AS review FROM rel""",
 )(edges)
+query(
+    "edge_assertions",
+    "H26",
+    f"""WITH {D_REL} SELECT id, source, target, 'USES' AS kind, true AS forward FROM rel WHERE weight > 1 UNION ALL SELECT id, target, source, 'DERIVED_FROM', false FROM rel WHERE weight > 1""",
+)(lambda t: G.edge_assertions(relations(t), assertions(t)).select("id", "source", "target", "kind", "forward"))
 query(
     "relationship_keys",
     "H43",

@@ -88,9 +88,9 @@ s AS (SELECT job_id, status FROM e WHERE has_status QUALIFY row_number() OVER (P
 g AS (SELECT job_id, stage FROM e WHERE has_stage QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
 d AS (SELECT job_id, done FROM e WHERE has_done QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
 n AS (SELECT job_id, max(ts) AS updated_at, count(*) AS events FROM e GROUP BY job_id)
-SELECT n.job_id, status, stage, round(done, 6) AS done, floor(epoch(updated_at))::BIGINT AS updated, events,
+SELECT n.job_id, status, stage, round(done, 6) AS done, date_trunc('second', updated_at) AS updated, events,
   coalesce(status = 'purchase', false) AND updated_at + INTERVAL 2 HOUR < (SELECT max(ts) FROM e) - INTERVAL 1 HOUR AS closed FROM n LEFT JOIN s USING (job_id) LEFT JOIN g USING (job_id) LEFT JOIN d USING (job_id)""",
-)(lambda t: J.latest_states(t.spark, streamed_jobs(t)).select("job_id", "status", "stage", F.round(F.col("done").cast("double"), 6).alias("done"), F.floor("updated").alias("updated"), "events", "closed"))
+)(lambda t: J.latest_states(t.spark, streamed_jobs(t)).select("job_id", "status", "stage", F.round(F.col("done").cast("double"), 6).alias("done"), F.timestamp_seconds(F.floor("updated")).cast("timestamp_ntz").alias("updated"), "events", "closed"))
 query("late_job_events", "I5", f"WITH {D_STREAM} SELECT event_id, job_id FROM late")(lambda t: t.spark.read.parquet(f"{streamed_jobs(t)}/late").select("event_id", "job_id"))
 
 ATTEMPTS = """SELECT user_id AS question_id, event_id, event_id AS attempt_no, CAST(event_id % 4 AS INT) AS request_attempt,

@@ -69,13 +69,21 @@ SELECT document_id, count(*) AS texts, 0::BIGINT AS tables, count(*) AS with_pro
 )
 query("heading_levels", "A11", f"SELECT document_id, level, count(*) AS headings FROM ({D_TEXT.replace('CAST(1 + (doc_id / 10) % 3 AS INT)', 'CAST(1 + doc_id % 3 AS INT)')}) WHERE label = 'section_header' GROUP BY ALL")(
     lambda t: R.heading_levels(text_items(t).withColumn("level", (1 + F.col("pos") % 3).cast("int"))))
+def titled(t):
+    """A title of more than 500 characters, an empty one, none, and neither title nor name."""
+    d = t.documents.select(F.col("source").alias("document_id")).distinct().withColumn("k", F.substring("document_id", 4, 9).cast("int") % 4)
+    title = F.when(F.col("k") == 0, F.repeat(F.concat("document_id", F.lit(" ")), 200)).when(F.col("k") == 1, "")
+    return d.select("document_id", title.alias("title"), F.when(F.col("k") != 3, F.concat("document_id", F.lit(".pdf"))).alias("name"))
+
+
 query(
     "document_profile",
     "A12",
     f"""WITH h AS (SELECT document_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS h, min(pos) AS p FROM ({D_TEXT}) WHERE label = 'section_header' AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY p) AS n FROM h QUALIFY n <= 60)
-SELECT document_id, md5(string_agg(substr(h, 1, 160), '|' ORDER BY n)) AS headings FROM k GROUP BY document_id""",
-)(lambda t: R.document_profile(text_items(t)).select("document_id", F.md5(F.array_join("headings", "|")).alias("headings")))
+k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY p) AS n FROM h QUALIFY n <= 60), g AS (SELECT document_id, md5(string_agg(substr(h, 1, 160), '|' ORDER BY n)) AS headings FROM k GROUP BY document_id)
+SELECT source AS document_id, CASE CAST(substr(source, 4) AS INT) % 4 WHEN 0 THEN substr(repeat(concat(source, ' '), 200), 1, 500) WHEN 3 THEN 'Selected document' ELSE concat(source, '.pdf') END AS title, coalesce(headings, md5('')) AS headings
+FROM (SELECT DISTINCT source FROM documents) LEFT JOIN g ON document_id = source""",
+)(lambda t: R.document_profile(titled(t), text_items(t)).select("document_id", "title", F.md5(F.array_join("headings", "|")).alias("headings")))
 query(
     "arxiv_identifiers",
     "A13",

@@ -44,9 +44,9 @@ def append(postings: DataFrame, path: str, buckets: int = BUCKETS) -> bool:
     spark = postings.sparkSession
     load = str(uuid.uuid4())
     rows = postings.withColumn("bucket", bucket("term", buckets))
-    rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions("bucket", "index_id", "term", "ordinal").write.partitionBy("bucket").parquet(f"{path}/loads/{load}/postings")
-    written = spark.read.schema(rows.schema).parquet(f"{path}/loads/{load}/postings")
-    written.groupBy("bucket", "index_id", "term").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{path}/loads/{load}/frequencies")
+    rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions("bucket", "index_id", "term", "ordinal").write.partitionBy("bucket").parquet(f"{path}/postings/load={load}")
+    written = spark.read.schema(rows.schema).parquet(f"{path}/postings/load={load}")
+    written.groupBy("bucket", "index_id", "term").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{path}/frequencies/load={load}")
     row = written.agg(
         F.sum(F.xxhash64("index_id", "term", "chunk_id", "ordinal", "positions").cast("decimal(38,0)")).cast("string").alias("fingerprint"),
         F.count("*").alias("postings"), F.count_distinct("index_id", "chunk_id").alias("chunks"), F.count_distinct("index_id", "term").alias("terms"),
@@ -67,7 +67,7 @@ def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     loads = [r["load"] for r in manifest(spark, path).select("load").collect()]
     if not loads:
         raise ValueError(f"no index under {path}")
-    return spark.read.option("basePath", f"{path}/loads").parquet(*[f"{path}/loads/{x}/{kind}" for x in loads])
+    return spark.read.option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/load={x}" for x in loads]).drop("load")
 
 
 def frequencies(spark: SparkSession, path: str) -> DataFrame:

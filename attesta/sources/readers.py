@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 from attesta import schemas
 from attesta.functions.text import strip
 
-# The schema name of an exported layout and the first bytes of a PDF.
+# The schema name of an exported layout, the first bytes of a PDF and the title of a document without one.
 LAYOUT_SCHEMA = "DoclingDocument"
 PDF_MAGIC = b"%PDF-"
+UNTITLED = "Selected document"
 ARXIV_ID = r"^(?:\d{2}(?:0[1-9]|1[0-2])\.\d{4,5}|[a-z][a-z.-]*/\d{7})(?:v[1-9]\d*)?$"
 DOC = ["document_id"]
 
@@ -213,15 +214,21 @@ def heading_levels(items: DataFrame) -> DataFrame:
     return items.where("label = 'section_header'").groupBy(*DOC, "level").agg(F.count("*").alias("headings"))
 
 
-def document_profile(items: DataFrame, max_headings: int = 60, max_chars: int = 160) -> DataFrame:
-    """First distinct titles and headings of each document, in order."""
+def document_profile(documents: DataFrame, items: DataFrame, max_headings: int = 60, max_chars: int = 160, max_title: int = 500) -> DataFrame:
+    """Title of each document and its first distinct titles and headings, in order; documents without headings have none.
+
+    documents(document_id, title, name): the title given, else the name, else a placeholder.
+    """
     from attesta.functions.skew import top_k
 
     body = strip("text")
     heads = items.where(F.col("label").isin("title", "section_header") & (F.length(body) > 0)).select(*DOC, "pos", body.alias("h"))
     first = heads.groupBy(*DOC, "h").agg(F.min("pos").alias("pos"))
     kept = top_k(first, DOC, [F.asc("pos")], max_headings, "place")
-    return kept.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("place", F.substring("h", 1, max_chars).alias("h")))).alias("x")).select(*DOC, F.col("x.h").alias("headings"))
+    listed = kept.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("place", F.substring("h", 1, max_chars).alias("h")))).alias("x")).select(*DOC, F.col("x.h").alias("headings"))
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    title = F.substring(F.coalesce(filled("title"), filled("name"), F.lit(UNTITLED)), 1, max_title)
+    return documents.select(*DOC, title.alias("title")).join(listed, DOC, "left").withColumn("headings", F.coalesce("headings", F.array().cast("array<string>")))
 
 
 # ---- identifiers and receipts --------------------------------------------------------

@@ -102,7 +102,7 @@ def fold_jobs(events: DataFrame, fields: tuple[str, ...] = FIELDS, finished: str
     opens it anew. State holds three values for each field and is bounded by the jobs that aren't closed.
     """
     keep = pd.Timedelta(retention) / timedelta(seconds=1)
-    timed = events.withWatermark("ts", delay).select("job_id", "event_id", "ts", F.col("ts").cast("double").alias("at"), *fields, *[F.col(f"has_{f}") for f in fields])
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("job_id", "event_id", "ts", F.col("ts").cast("double").alias("at"), *fields, *[F.col(f"has_{f}") for f in fields])
     out = ", ".join(["job_id string", *[f"{f} string" for f in fields], "updated double", "events long", "closed boolean"])
     return timed.groupBy("job_id").applyInPandasWithState(_fold(fields, finished, keep), out, "last array<string>, events long, newest double, finished boolean", "update", GroupStateTimeout.EventTimeTimeout)
 

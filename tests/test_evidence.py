@@ -152,3 +152,16 @@ def test_display_rect(spark):
     box = spark.createDataFrame([((1.0, 19.0, 3.0, 15.0, "BOTTOMLEFT"),), ((1.0, 1.0, 30.0, 2.0, "TOPLEFT"),)], f"b {U.BBOX}")
     rows = [r.x for r in box.select(U.display_rect(F.col("b"), F.lit(10.0), F.lit(20.0)).alias("x")).collect()]
     assert (rows[0].left, round(rows[0].top, 6), round(rows[0].bottom, 6)) == (0.1, 0.05, 0.25) and rows[1] is None
+
+
+def test_short_quotes_through_grams(spark):
+    import random
+
+    rng = random.Random(4)
+    bodies = [("d%d" % (i % 2), f"u{i}", " ".join(rng.choice(["alpha-beta", "gammadelta", "epsilonzeta", "eta", "aaaaaaaaaaaaaa", "alphabet"]) for _ in range(rng.randrange(0, 6)))) for i in range(60)]
+    needles = [(d, f"{d}{n}", q, "nowhere") for d in ("d0", "d1") for n, q in enumerate(["Alpha-Beta gammadelta", "gammadelta epsilon", "aaaaaaaaaaaa", "never anywhere", "lpha-beta gam", "epsilonzeta eta"])]
+    got = U.locate_quotes(
+        spark.createDataFrame(needles, "document_id string, quote_id string, quote string, source_ref string"),
+        spark.createDataFrame(bodies, "document_id string, evidence_id string, text string")).collect()
+    want = {(q, u) for d, q, n, _ in needles for e, u, b in bodies if d == e and n.lower() in b}
+    assert {(r.quote_id, r.evidence_id) for r in got} == want and len(got) == len(want) > 20

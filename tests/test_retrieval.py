@@ -196,7 +196,7 @@ def test_stored_index(spark, tmp_path):
     with pytest.raises(ValueError, match="already"):
         IX.append(T.postings(chunks.where("ordinal BETWEEN 39 AND 45")), path)
     # Data of loads that were refused, or never published, is not visible.
-    T.postings(chunks).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{path}/loads/broken/postings")
+    T.postings(chunks).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{path}/postings/load=broken")
     assert IX.search(spark, path, asked).collect() == before
     assert IX.append(T.postings(chunks.where("ordinal >= 40")), path)
     assert [tuple(r) for r in IX.manifest(spark, path).orderBy("segment").select("segment", "chunks").collect()] == [(0, 40), (1, 20)]
