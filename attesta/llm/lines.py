@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.lineage import cut
+from attesta.functions.lineage import cut, written
 from attesta.llm.common import broadcast_if_small, let, unused
 from attesta.llm.components import components
 
@@ -211,8 +211,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs are compared by the hashes of eight blocks and then verified; where many meet, every line is linked to one hub
     under keys with one character deleted. Texts are read only of lines that meet others.
     """
-    found = cut(
-        _occurrences(docs, key, text).select("doc_id", "h", "line_no", _id(), *[c.alias(n) for n, c in segment_keys(F.col("line")).items()])
+    # A table: keys and hashes of a row repeat with its lines, and only four columns are read again below.
+    found = written(
+        _occurrences(docs, key, text).select("doc_id", "h", "line_no", _id(), *[c.alias(n) for n, c in segment_keys(F.col("line")).items()]), "lines"
     )
     lines = cut(
         found.groupBy("id").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("own0", "own1", "probe0", "probe1")])

@@ -426,18 +426,21 @@ def linked_sets(sets: DataFrame, least: int = LEAST, block_bits: int = BLOCK_BIT
     return joined(roots, links).select("id", "root")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, block_bits: int = BLOCK_BITS) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, block_bits: int = BLOCK_BITS, empty: bool = False
+) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked by sets of word shingles with 100 |A & B| >= least |A or B|.
 
     One row for every input row; component_id is the smallest doc_id reachable, the document's own included (null keys
     don't count, unless a component has no other). Texts of the same words share one set, so copies are joined
-    once; a null text, or one without words, has an empty set and is linked with nothing. Links inside what is connected
+    once; a null text, or one without words, has an empty set and is linked with nothing, or with `empty` to others like it. Links inside what is connected
     already are not listed. Shingles are told apart by their hashes. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     hashed = word_hashes(docs, key, text)
-    own = cut(set_sizes(hashed, width))
+    own = set_sizes(hashed, width)
+    own = cut(own.withColumn("id", F.coalesce("id", F.unhex(F.lit("00")))) if empty else own)
     size = texts(docs, key, text).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = linked_sets(cut(candidates(hashed, size, width, least)), least, block_bits)
     least_of = own.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
@@ -446,3 +449,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return own.join(least_of.select("id", "root").join(named, "root").drop("root"), "id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """The rows of `docs`, all columns as they are, without those whose component has a smaller key.
+
+    Texts without words are copies of one another here. Rows that repeat the smallest key stay; rows with a null key stay only
+    if no other row of the component has a key. An empty table gives an empty one.
+    """
+    kept = jaccard_components(docs, key, text, width, least, empty=True).where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(kept, docs[key].eqNullSafe(kept["doc_id"]), "left_semi")

@@ -60,9 +60,10 @@ def ball_links(prints: DataFrame) -> DataFrame:
     link to the least member keeps the whole set connected and no pairs are enumerated.
     """
     one = F.lit(1).cast("long")
-    # Few bytes become many rows here, so the partitions are not left to a merge by size.
+    # Few bytes become many rows here, so the partitions are not left to a merge by size; a hash of its own keeps this
+    # exchange apart from the one of distinct().
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = prints.select("fingerprint").distinct().repartition(n, "fingerprint").select("fingerprint", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("i"))
+    sent = prints.select("fingerprint").distinct().repartition(n, F.xxhash64("fingerprint")).select("fingerprint", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("i"))
     flag = F.when(F.col("i") >= 0, F.expr("shiftleft(1L, i)")).otherwise(F.lit(0).cast("long"))
     met = (
         sent.select(F.col("fingerprint").bitwiseXOR(flag).alias("variant"), flag.alias("flag"))

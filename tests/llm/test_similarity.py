@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from attesta.llm import similarity
+from attesta.llm import shingle_join
 
 
 def shingles(text):
@@ -46,7 +46,7 @@ def test_near_copies(spark):
             if s >= 0.8:
                 a, b = sorted((find(i), find(j)))
                 want[b] = a
-    got = similarity.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = shingle_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), empty=True).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in range(len(texts))}
     assert between > 60
 
@@ -56,7 +56,7 @@ def test_chains_and_hot_groups(spark):
     w = [f"w{i}" for i in range(200)]
     chain = [" ".join([*w[:200 - 9 * i], *[f"x{i}" for i in range(9 * i)]]) for i in range(8)]
     rows = list(enumerate(chain)) + [(100 + i, " ".join([*w[:100], f"y{i}", *w[101:]])) for i in range(300)]
-    got = {r["doc_id"]: r["component_id"] for r in similarity.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got.values()) == {0} and len(got) == 308
 
 
@@ -66,10 +66,8 @@ def test_crowds_below_the_threshold(spark):
     rows = [(i, " ".join([*w[:45], *[f"z{i}_{k}" for k in range(12)], *w[45:]])) for i in range(200)]
     rows += [(1000 + i, t + " one") for i, t in rows[::10]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in similarity.near_copies(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_components(docs).collect()}
     assert got == {i: i % 1000 for i, _ in rows}
-    sets = similarity._split(docs, "doc_id", "text").select("id", similarity._shingles(similarity.F.col("w"), 5).alias("s"))
-    assert similarity._across(sets.select("id", similarity.F.col("id").alias("root")), sets, 0.8).count() < 200
 
 
 def test_pipeline_stage_drops_near_copies(spark):
@@ -86,6 +84,6 @@ def test_pipeline_stage_drops_near_copies(spark):
 
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "A  b"), (2, None), (3, " \n"), (4, "c")], "doc_id long, text string")
-    got = {(r["doc_id"], r["component_id"]) for r in similarity.near_copies(docs).collect()}
+    got = {(r["doc_id"], r["component_id"]) for r in shingle_join.jaccard_components(docs, empty=True).collect()}
     assert got == {(1, 1), (None, 1), (2, 2), (3, 2), (4, 4)}
-    assert similarity.first_of_each(docs.where("false")).count() == 0
+    assert shingle_join.first_of_each(docs.where("false")).count() == 0

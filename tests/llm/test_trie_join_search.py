@@ -148,7 +148,7 @@ def test_prefix_is_lengthened_where_tokens_are_frequent():
 
     rare, hot = np.full(84, 2), np.repeat([3500, 5000], 42)
     assert shingle_join.prefix_length(rare, 100, 80) == (1, 5)
-    matches, length = shingle_join.prefix_length(hot, 100, 80)
+    matches, length = shingle_join.prefix_length(hot, 400, 80)
     assert matches > 3
     assert length == matches + 4
 
