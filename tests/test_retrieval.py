@@ -190,19 +190,19 @@ def test_stored_index(spark, tmp_path):
     asked = spark.createDataFrame([("i0", "a", ["beta gamma", "search"]), ("i1", "b", ["alpha of delta"]), ("i1", "c", ["the"])], ASKED)
     path = f"{tmp_path}/index"
     assert IX.manifest(spark, path).collect() == []
-    assert IX.append(T.postings(chunks.where("ordinal < 40")), path)
-    before = IX.search(spark, path, asked).collect()
-    assert not IX.append(T.postings(chunks.where("ordinal < 40").repartition(3)), path)
+    assert IX.append(T.postings(chunks.where("ordinal < 40")), path, 4)
+    before = IX.search(spark, path, asked, buckets=4).collect()
+    assert not IX.append(T.postings(chunks.where("ordinal < 40").repartition(3)), path, 4)
     with pytest.raises(ValueError, match="already"):
-        IX.append(T.postings(chunks.where("ordinal BETWEEN 39 AND 45")), path)
+        IX.append(T.postings(chunks.where("ordinal BETWEEN 39 AND 45")), path, 4)
     # Data of loads that were refused, or never published, is not visible.
     T.postings(chunks).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{path}/postings/load=broken")
-    assert IX.search(spark, path, asked).collect() == before
-    assert IX.append(T.postings(chunks.where("ordinal >= 40")), path)
+    assert IX.search(spark, path, asked, buckets=4).collect() == before
+    assert IX.append(T.postings(chunks.where("ordinal >= 40")), path, 4)
     assert [tuple(r) for r in IX.manifest(spark, path).orderBy("segment").select("segment", "chunks").collect()] == [(0, 40), (1, 20)]
     key = ["index_id", "question_id", "rank"]
-    assert IX.search(spark, path, asked).orderBy(*key).collect() == T.phrase_search(T.postings(chunks), asked).orderBy(*key).collect()
+    assert IX.search(spark, path, asked, buckets=4).orderBy(*key).collect() == T.phrase_search(T.postings(chunks), asked).orderBy(*key).collect()
     want = T.postings(chunks).groupBy("index_id", "term").agg(F.count("*").alias("df"))
     assert sorted(IX.frequencies(spark, path).collect()) == sorted(want.collect())
-    plan = IX.matching(spark, path, asked)._jdf.queryExecution().executedPlan().toString()
+    plan = IX.matching(spark, path, asked, 4)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
