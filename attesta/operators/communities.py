@@ -139,16 +139,38 @@ def _contract(edges: DataFrame, community: DataFrame) -> DataFrame:
     return joined.groupBy("graph", F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).agg(F.sum("w").alias("w"))
 
 
+def _pendants(edges: DataFrame) -> DataFrame:
+    """(graph, node, community): every node, one with a single neighbour and no weight inside under that neighbour's name.
+
+    No partition of most modularity parts such a node from its neighbour, so it needs no move. Of two nodes that only have
+    each other the lesser gives the name.
+    """
+    apart = edges.where("a <> b")
+    ends = apart.select("graph", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(apart.select("graph", F.col("b").alias("node"), F.col("a").alias("other")))
+    ends = ends.unionByName(edges.where("a = b").select("graph", F.col("a").alias("node"), F.col("b").alias("other")))
+    met = cut(ends.groupBy("graph", "node").agg(F.count("*").alias("n"), F.min("other").alias("other")).withColumn("hangs", (F.col("n") == 1) & (F.col("other") != F.col("node"))))
+    mutual = met.where("hangs").select("graph", F.col("other").alias("node"), F.col("node").alias("back"))
+    paired = met.where("hangs").join(mutual, ["graph", "node"]).where("back = other AND node < other").select("graph", "node", F.lit(True).alias("first"))
+    return met.join(paired, ["graph", "node"], "left").select("graph", "node", F.when(F.col("hangs") & F.col("first").isNull(), F.col("other")).otherwise(F.col("node")).alias("community"))
+
+
 def partition(edges: DataFrame, bound: int = BOUND) -> DataFrame:
     """(graph, node, community) for the edges (graph, a, b, w) of any number of graphs without common nodes.
 
-    Graphs of more than `bound` edges are moved, refined to connected parts and contracted by Spark jobs over all of them at
-    once until they are small or nothing changes any more; small ones go to one task each. Communities are connected
-    and named by their least node.
+    In graphs of more than `bound` edges, nodes with one neighbour are laid to it; what stays large is moved, refined to connected
+    parts and contracted by Spark jobs over all of them at once until they are small or nothing changes any more; small ones
+    go to one task each. Communities are connected and named by their least node.
     """
     edges = cut(edges)
     ends = edges.select("graph", F.col("a").alias("node")).unionByName(edges.select("graph", F.col("b").alias("node"))).distinct()
-    member = cut(ends.withColumn("community", F.col("node")))
+    wide = edges.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("graph")
+    large = cut(edges.join(wide, "graph", "left_semi"))
+    if large.isEmpty():
+        member = cut(ends.withColumn("community", F.col("node")))
+    else:
+        hung = cut(_pendants(large))
+        member = cut(ends.join(hung, ["graph", "node"], "left").select("graph", "node", F.coalesce("community", "node").alias("community")))
+        edges = cut(edges.join(wide, "graph", "left_anti").unionByName(_contract(large, hung.drop("graph"))))
     kind = dict(edges.dtypes)["a"]
     done = None
     while True:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import checks as C
 from attesta.operators import chunks as K
+from attesta.operators import communities as M
 from attesta.operators import units as U
 
 
@@ -55,3 +56,18 @@ def test_records_meet_their_evidence_in_a_shuffle(spark, grid):
     attached = K.attach_results(units.select("document_id", "evidence_id"), cited, checked)
     assert broadcasts(attached) <= 2 and attached.where("size(result_ids) = 1").count() == 199
     assert broadcasts(K.resolve_chunks(units.select("document_id", F.lit("c").alias("chunk_id"), F.array("evidence_id").alias("evidence_ids")), units)) == 0
+
+
+def test_stars_need_no_moves(spark, monkeypatch):
+    """Hubs with many leaves are large graphs that are settled without a round of moves."""
+    def refuse(edges):
+        raise AssertionError("moved")
+
+    monkeypatch.setattr(M, "_moved", refuse)
+    links = [(f"l{h}-{i:03d}", f"h{h}", 10) for h in range(3) for i in range(40)] + [("h0", "h1", 1), ("p", "q", 2)]
+    nodes = sorted({x for s, t, _ in links for x in (s, t)})
+    edges = spark.createDataFrame(links, "source string, target string, weight int")
+    found = M.hierarchy(spark.createDataFrame([(x,) for x in nodes], "id string"), edges, max_size=50, bound=20).collect()
+    by = {r.id: r.community for r in found if r.level == 0}
+    assert len(found) == len(by) == len(nodes) and by["p"] == by["q"] == "0-p"
+    assert all(by[f"l{h}-{i:03d}"] == by[f"h{h}"] == f"0-h{h}" for h in range(3) for i in range(40))
