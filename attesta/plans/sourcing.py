@@ -113,7 +113,7 @@ query(
     "A24",
     "SELECT url AS path, CASE page_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' ELSE 'altered' END AS change FROM pages WHERE page_id % 4 <> 3",
 )(
-    lambda t: (lambda p: R.fingerprint_changes(p.where("page_id % 4 <> 0"), p.where("page_id % 4 <> 1").withColumn("sha256", F.when(F.col("page_id") % 4 == 2, "x").otherwise(F.col("sha256")))))(
+    lambda t: (lambda p: R.fingerprint_changes(p.where("page_id % 4 <> 0"), p.where("page_id % 4 <> 1").withColumn("sha256", F.when(F.col("page_id") % 4 == 2, "x").otherwise(F.col("sha256"))), ("page_id", "path")))(
         t.pages.select("page_id", F.col("url").alias("path"), F.sha2("html", 256).alias("sha256")))
 )
 

@@ -264,9 +264,14 @@ def receipt_faults(files: DataFrame, receipts: DataFrame) -> DataFrame:
     return files.join(r, "filename", "left").withColumn("fault", fault).where("fault IS NOT NULL").select("filename", "fault")
 
 
-def fingerprint_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files added, removed or altered between two directory manifests (path, sha256)."""
-    b = before.select("path", F.col("sha256").alias("old"))
-    a = after.select("path", F.col("sha256").alias("new"))
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "altered")
-    return b.join(a, "path", "full").select("path", change.alias("change")).where("change IS NOT NULL")
+def fingerprint_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Files added, removed or altered between two directory manifests (path, sha256).
+
+    `keys` tell files apart, one row each in a manifest; they hold more than the path where files may share one.
+    """
+    if "path" not in keys:
+        raise ValueError("keys must hold the path")
+    b = before.select("path", *[k for k in keys if k != "path"], F.struct(F.col("sha256")).alias("old"))
+    a = after.select("path", *[k for k in keys if k != "path"], F.struct(F.col("sha256")).alias("new"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "altered")
+    return b.join(a, list(keys), "full").select("path", change.alias("change")).where("change IS NOT NULL")

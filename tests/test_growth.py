@@ -7,6 +7,7 @@ from attesta.operators import checks as C
 from attesta.operators import chunks as K
 from attesta.operators import communities as M
 from attesta.operators import units as U
+from attesta.sources import readers as R
 
 
 def broadcasts(df) -> int:
@@ -71,3 +72,12 @@ def test_stars_need_no_moves(spark, monkeypatch):
     by = {r.id: r.community for r in found if r.level == 0}
     assert len(found) == len(by) == len(nodes) and by["p"] == by["q"] == "0-p"
     assert all(by[f"l{h}-{i:03d}"] == by[f"h{h}"] == f"0-h{h}" for h in range(3) for i in range(40))
+
+
+def test_manifests_with_a_shared_path(spark):
+    """Files that share a path are told apart by a further key; a file without a hash was there nevertheless."""
+    files = "page_id int, path string, sha256 string"
+    before = spark.createDataFrame([(1, "u", "a"), (2, "u", "b"), (3, "v", None), (4, "w", None)], files)
+    after = spark.createDataFrame([(0, "u", "c"), (2, "u", "x"), (3, "v", "d"), (4, "w", None)], files)
+    found = R.fingerprint_changes(before, after, ("page_id", "path")).collect()
+    assert sorted((r.path, r.change) for r in found) == [("u", "added"), ("u", "altered"), ("u", "removed"), ("v", "altered")]
