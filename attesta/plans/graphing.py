@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions.skew import shuffled_join
 from attesta.functions.stage import stage
 from attesta.operators import communities as C
 from attesta.operators import graph_tables as G
@@ -26,9 +27,10 @@ def relations(t):
     """Merged relations with endpoint titles, as native graph tables store them."""
     e = entities(t).select("id", "title")
     m = G.merge_relations(occurrences(t))
+    titled = shuffled_join(m, e.select(F.col("id").alias("source"), F.col("title").alias("s")), ["source"])
+    titled = shuffled_join(titled, e.select(F.col("id").alias("target"), F.col("title").alias("t")), ["target"])
     return stage(
-        m.join(e.select(F.col("id").alias("source"), F.col("title").alias("s")), "source").join(e.select(F.col("id").alias("target"), F.col("title").alias("t")), "target")
-        .select(F.concat_ws("-", "source", "target").alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), F.lit("").alias("description"), "weight",
+        titled.select(F.concat_ws("-", "source", "target").alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), F.lit("").alias("description"), "weight",
                 F.col("source").alias("source_key"), F.col("target").alias("target_key"))
     )
 
