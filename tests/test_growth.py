@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from attesta.operators import checks as C
 from attesta.operators import chunks as K
 from attesta.operators import communities as M
+from attesta.operators import research as S
 from attesta.operators import units as U
 from attesta.sources import readers as R
 
@@ -81,3 +82,16 @@ def test_manifests_with_a_shared_path(spark):
     after = spark.createDataFrame([(0, "u", "c"), (2, "u", "x"), (3, "v", "d"), (4, "w", None)], files)
     found = R.fingerprint_changes(before, after, ("page_id", "path")).collect()
     assert sorted((r.path, r.change) for r in found) == [("u", "added"), ("u", "altered"), ("u", "removed"), ("v", "altered")]
+
+
+def test_names_with_a_common_first_word_meet_few_texts(spark):
+    texts = [("d", f"t{i}", f"the item{i}, (the) odd one; the end-{i}") for i in range(40)]
+    nodes = [("d", str(i), "x", f"The item{i}") for i in range(40)] + [("d", "a", "x", "odd"), ("d", "b", "x", "(the) odd"), ("d", "c", "x", "the odd"), ("d", "e", "x", "item1 ,"), ("d", "f", "x", "- ")]
+    units = spark.createDataFrame(texts, "document_id string, evidence_id string, text string")
+    named = spark.createDataFrame(nodes, "document_id string, id string, label string, name string")
+    got = {}
+    for r in S.mentions(named, units).collect():
+        got.setdefault(r.id, set()).add(r.ref)
+    assert got == {**{str(i): {f"t{i}"} for i in range(40)}, "a": {t[1] for t in texts}, "b": {t[1] for t in texts}}
+    bodies = units.select("document_id", F.col("evidence_id").alias("ref"), F.lower("text").alias("body"))
+    assert S.mention_candidates(named.where("id < '9z'").select("document_id", F.lower("name").alias("k")), bodies).count() == 40
