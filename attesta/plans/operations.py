@@ -68,15 +68,16 @@ D_STREAM = f"""a AS ({duck(STREAM_EVENTS).replace('STRING', 'VARCHAR')}), m AS (
 late AS (SELECT a.* FROM a JOIN m USING (file) WHERE ts < bound), e AS (SELECT a.* FROM a JOIN m USING (file) WHERE bound IS NULL OR ts >= bound)"""
 
 
-def streamed_jobs(t):
-    """Both streaming queries run to their end over files that arrive one after another; the folder of their results."""
+def streamed_jobs(t, fold=True):
+    """Files arrive one after another, and both streaming queries (or the first one alone) run over each arrival; the folder of their results."""
     folder = f"{shared_folder(t.spark)}/jobs-{uuid.uuid4()}"
     events = t.sql(STREAM_EVENTS)
-    for file in range(10):
-        events.where(F.col("file") == file).drop("file").coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
     schema = events.drop("file").schema
-    J.admit(J.read_events(t.spark, f"{folder}/arrived", schema, 1), folder).awaitTermination()
-    J.keep_states(J.fold_jobs(J.read_events(t.spark, f"{folder}/admitted", schema, 1), finished="purchase"), folder).awaitTermination()
+    for file in range(10):
+        events.where(F.col("file") == file).drop("file").write.mode("append").parquet(f"{folder}/arrived")
+        J.admit(J.read_events(t.spark, f"{folder}/arrived", schema, None), folder).awaitTermination()
+        if fold:
+            J.keep_states(J.fold_jobs(J.read_events(t.spark, f"{folder}/admitted", schema, None), finished="purchase"), folder, file < 9).awaitTermination()
     return folder
 
 
@@ -91,7 +92,7 @@ n AS (SELECT job_id, max(ts) AS updated_at, count(*) AS events FROM e GROUP BY j
 SELECT n.job_id, status, stage, round(done, 6) AS done, date_trunc('second', updated_at) AS updated, events,
   coalesce(status = 'purchase', false) AND updated_at + INTERVAL 2 HOUR < (SELECT max(ts) FROM e) - INTERVAL 1 HOUR AS closed FROM n LEFT JOIN s USING (job_id) LEFT JOIN g USING (job_id) LEFT JOIN d USING (job_id)""",
 )(lambda t: J.latest_states(t.spark, streamed_jobs(t)).select("job_id", "status", "stage", F.round(F.col("done").cast("double"), 6).alias("done"), F.timestamp_seconds(F.floor("updated")).cast("timestamp_ntz").alias("updated"), "events", "closed"))
-query("late_job_events", "I5", f"WITH {D_STREAM} SELECT event_id, job_id FROM late")(lambda t: t.spark.read.parquet(f"{streamed_jobs(t)}/late").select("event_id", "job_id"))
+query("late_job_events", "I5", f"WITH {D_STREAM} SELECT event_id, job_id FROM late")(lambda t: t.spark.read.parquet(f"{streamed_jobs(t, fold=False)}/late").select("event_id", "job_id"))
 
 ATTEMPTS = """SELECT user_id AS question_id, event_id, event_id AS attempt_no, CAST(event_id % 4 AS INT) AS request_attempt,
   CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 503 WHEN 'click' THEN 401 WHEN 'signup' THEN 500 END AS status_code, CASE WHEN event_id % 5 = 0 THEN floor(value) END AS retry_after FROM {events}"""

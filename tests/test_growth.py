@@ -9,6 +9,7 @@ from attesta.operators import communities as M
 from attesta.operators import research as S
 from attesta.operators import units as U
 from attesta.sources import readers as R
+from attesta.streaming import jobs as J
 
 
 def broadcasts(df) -> int:
@@ -95,3 +96,23 @@ def test_names_with_a_common_first_word_meet_few_texts(spark):
     assert got == {**{str(i): {f"t{i}"} for i in range(40)}, "a": {t[1] for t in texts}, "b": {t[1] for t in texts}}
     bodies = units.select("document_id", F.col("evidence_id").alias("ref"), F.lower("text").alias("body"))
     assert S.mention_candidates(named.where("id < '9z'").select("document_id", F.lower("name").alias("k")), bodies).count() == 40
+
+
+def test_jobs_are_folded_in_buckets(spark, tmp_path, monkeypatch):
+    """State and calls follow the buckets, not the jobs; every job keeps its own times."""
+    monkeypatch.setattr(J, "BUCKETS", 2)
+    row = lambda job, event, minute, status: (job, event, f"2024-01-01 {minute // 60:02}:{minute % 60:02}:00", status, True, None, False, None, False)
+    first = [row(f"j{i}", i, 5, "done" if i % 2 else "running") for i in range(40)]
+    files = [first, [row(f"j{i}", 100 + i, 300, "running") for i in range(4)], [row("z", 200, 600, "running")]]
+    for number, file in enumerate(files):
+        spark.createDataFrame(file, "job_id string, event_id int, ts string, status string, has_status boolean, stage string, has_stage boolean, done double, has_done boolean").withColumn(
+            "ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "arrived"))
+        events = J.read_events(spark, str(tmp_path / "arrived"), spark.read.parquet(str(tmp_path / "arrived")).schema, None)
+        run = J.keep_states(J.fold_jobs(events), str(tmp_path), number < 2)
+        run.awaitTermination()
+    assert run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2
+    got = {r.job_id: (r.status, r.events, r.closed) for r in J.latest_states(spark, str(tmp_path)).collect()}
+    # The second batch meets the watermark of the first and open jobs.
+    want = {f"j{i}": ("done" if i % 2 else "running", 1, i % 2 == 1) for i in range(4, 40)}
+    assert got["z"] == ("running", 1, False) and {k: v for k, v in got.items() if k in want} == want
+    assert all(got[f"j{i}"] == ("running", 2, False) for i in range(4))
