@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.functions import products as PR
 from attesta.operators import checks as C
 from attesta.operators import chunks as K
 from attesta.operators import communities as M
+from attesta.operators import lexical as L
 from attesta.operators import research as S
 from attesta.operators import units as U
 from attesta.sources import readers as R
@@ -116,3 +118,24 @@ def test_jobs_are_folded_in_buckets(spark, tmp_path, monkeypatch):
     want = {f"j{i}": ("done" if i % 2 else "running", 1, i % 2 == 1) for i in range(4, 40)}
     assert got["z"] == ("running", 1, False) and {k: v for k, v in got.items() if k in want} == want
     assert all(got[f"j{i}"] == ("running", 2, False) for i in range(4))
+
+
+def test_sources_ranked_by_blocks(spark, monkeypatch):
+    """Blocks of any size give the sources of all pairs, with both boosts; ties by order, boosted chunks without a shared term too."""
+    words = "alpha beta gamma delta train limitation score metric".split()
+    chunks = spark.createDataFrame(
+        [("d", f"c{i:02d}", i, " ".join(words[(i * j) % 8] for j in range(1, 6)), ["Limitations" if i % 7 == 0 else "Body"], [f"#/t/{i % 9}"]) for i in range(40)] + [("e", "x", 0, "alpha", ["Body"], ["#/t/0"])],
+        "document_id string, chunk_id string, ordinal int, text string, headings array<string>, refs array<string>")
+    asked = spark.createDataFrame([("d", 1, "alpha beta"), ("d", 2, "limitations of gamma"), ("d", 3, "no such word, error"), ("d", 4, "of the"), ("e", 5, "alpha"), ("f", 6, "alpha")], "document_id string, question_id int, question string")
+    edges = spark.createDataFrame([("d", i, i, "USED_FOR", words[i % 8], "metric", [f"#/t/{i}::cell:1"]) for i in range(20)], "document_id string, edge_id int, edge_pos int, label string, source_text string, target_text string, refs array<string>")
+    scores = L.bm25(chunks, asked)
+    picked = L.graph_edges_for(asked, edges, 3)
+    whole = {name: sorted(L.numbered_sources(found, chunks).collect()) for name, found in (
+        ("plain", scores), ("headings", L.heading_boost(scores, asked, chunks)), ("graph", L.add_scores(scores, L.graph_boost(L.graph_edges_for(asked, edges), edges, chunks))))}
+    monkeypatch.setattr(PR, "BEST", (3, 2))
+    monkeypatch.setattr(PR, "ALL", (4, 1))
+    assert {name: sorted(L.ranked_sources(chunks, asked, **more).collect()) for name, more in (("plain", {}), ("headings", {"headings": True}), ("graph", {"edges": edges}))} == whole
+    assert sorted(L.graph_edges_for(asked, edges, 3).collect()) == sorted(picked.collect())
+    assert {r.question_id for r in scores.collect()} == {1, 2, 5} and L.bm25(chunks, asked).count() == scores.count()
+    # What is shuffled is rows of one side or the best of a block, never a pair for each common term.
+    assert L.ranked_sources(chunks, asked)._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
