@@ -206,3 +206,11 @@ def test_stored_index(spark, tmp_path):
     assert sorted(IX.frequencies(spark, path).collect()) == sorted(want.collect())
     plan = IX.matching(spark, path, asked, 4)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
+
+
+def test_a_word_is_stemmed_once_for_many_occurrences(spark):
+    """Stems come from one small function, not from a chain of conditions for every word of a text."""
+    assert [ST.stem(w) for w in STEMMED[0::2]] == STEMMED[1::2]
+    found = T.postings(spark.createDataFrame([("i", 1, 1, "Running runs; the runner's 'ponies' yay, by 𝒳s")], "index_id string, chunk_id int, ordinal int, contextualized_text string"))
+    assert {r.term: r.positions for r in found.collect()} == {"run": [0, 1], "runner": [3], "poni": [5], "yay": [6], "𝒳s": [8]}
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
