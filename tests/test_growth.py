@@ -139,3 +139,12 @@ def test_sources_ranked_by_blocks(spark, monkeypatch):
     assert {r.question_id for r in scores.collect()} == {1, 2, 5} and L.bm25(chunks, asked).count() == scores.count()
     # What is shuffled is rows of one side or the best of a block, never a pair for each common term.
     assert L.ranked_sources(chunks, asked)._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow") == 1
+
+
+def test_the_ledger_reads_its_sources_from_a_stage(spark):
+    """The sources of units are found once, not again for every table of the ledger."""
+    from attesta.plans import Tables
+    from attesta.plans import graphing as GP
+
+    plan = GP.ledger(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "source_record_id" not in plan
