@@ -214,3 +214,17 @@ def test_a_word_is_stemmed_once_for_many_occurrences(spark):
     found = T.postings(spark.createDataFrame([("i", 1, 1, "Running runs; the runner's 'ponies' yay, by 𝒳s")], "index_id string, chunk_id int, ordinal int, contextualized_text string"))
     assert {r.term: r.positions for r in found.collect()} == {"run": [0, 1], "runner": [3], "poni": [5], "yay": [6], "𝒳s": [8]}
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_pairs_of_common_words_are_not_rows_of_a_shuffle(spark, tmp_path):
+    """Words that every question and chunk holds: postings of pairs grow with the product of both sides; only the best of a block may leave it."""
+    rng = random.Random(11)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    chunks = spark.createDataFrame([("i", f"c{i}", i, " ".join(rng.choices(words, k=12))) for i in range(60)], CHUNKS)
+    asked = [("i", f"q{i}", rng.sample(words, 3) + [" ".join(rng.sample(words, 2))] * (i % 3 == 0)) for i in range(30)] + [("i", "long", ["alpha the beta", "gamma delta"])]
+    questions = spark.createDataFrame(asked, ASKED)
+    index, key = T.postings(chunks), ["index_id", "question_id", "rank"]
+    found = T.phrase_search(index, questions, 5)
+    want = T.ranked_chunks(index.join(T.phrase_terms(questions), ["index_id", "term"]), 5)
+    assert found.orderBy(*key).collect() == want.select(*found.columns).orderBy(*key).collect()
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
