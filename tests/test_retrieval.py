@@ -228,3 +228,11 @@ def test_pairs_of_common_words_are_not_rows_of_a_shuffle(spark, tmp_path):
     want = T.ranked_chunks(index.join(T.phrase_terms(questions), ["index_id", "term"]), 5)
     assert found.orderBy(*key).collect() == want.select(*found.columns).orderBy(*key).collect()
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_source_cost_stands_for_the_text(spark):
+    texts = spark.createDataFrame([("q", i, f"c{i}", 'a "b"\n' * i, [1, i]) for i in range(1, 9)], "question_id string, rank int, chunk_id string, text string, pages array<int>")
+    plans = spark.createDataFrame([("q", "why", "fact")], "question_id string, question string, intent string")
+    none = spark.createDataFrame([], "question_id string, place int, chunk_id string, section_kind string")
+    costs = texts.select("question_id", "rank", "chunk_id", R.source_cost(F.col("text"), F.col("pages")).alias("cost"))
+    assert R.assemble_sources(costs, none, plans, 5, 300).orderBy("place").collect() == R.assemble_sources(texts, none, plans, 5, 300).orderBy("place").collect()
