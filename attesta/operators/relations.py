@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions import text
+from attesta.functions import skew, text
 from attesta.functions.text import contains_word, normalized, sorted_distinct
 
 DOC = ["document_id"]
@@ -151,11 +151,20 @@ def attach_edge_evidence(edges: DataFrame, nodes: DataFrame, accepted: DataFrame
         n.select("document_id", F.col("id").alias("target"), F.col("label").alias("object_kind"), F.col("k").alias("o")), ["document_id", "target"]
     )
     said = accepted.select(*REL, "predicate", "subject_kind", "object_kind", normalized("subject").alias("s"), normalized("object").alias("o"))
-    keys = ["document_id", "predicate", "subject_kind", "object_kind", "s", "o"]
-    return (
-        ends.withColumnRenamed("label", "predicate").join(said, keys).join(quotes.select(*REL, "source_ref", "quote"), REL)
-        .select("document_id", "edge_id", "source_ref", "quote").distinct()
-    )
+    key = F.struct("predicate", "subject_kind", "object_kind", "s", "o")
+
+    def keyed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        """One row for each thing and key, with all keys of the thing if there are several."""
+        held = rows.groupBy("document_id", *by).agg(F.array_sort(F.collect_set(key)).alias("__all"))
+        return held.select("document_id", *by, F.explode("__all").alias("__key"), F.when(F.size("__all") > 1, F.col("__all")).alias(name)).select(
+            "document_id", *by, "__key.*", name)
+
+    # A key with many edges and quotes is as many pairs in the result; pairs are told apart before they are made, so none is shuffled.
+    own = keyed(ends.withColumnRenamed("label", "predicate"), ["edge_id"], "__own")
+    told = keyed(skew.shuffled_join(said, quotes.select(*REL, "source_ref", "quote"), REL), ["source_ref", "quote"], "__told")
+    pairs = skew.shuffled_join(own, told, ["document_id", "predicate", "subject_kind", "object_kind", "s", "o"])
+    first = F.array_min(F.array_intersect("__own", "__told"))
+    return pairs.where(F.col("__own").isNull() | F.col("__told").isNull() | (first == key)).select("document_id", "edge_id", "source_ref", "quote")
 
 
 def relation_gate(edges: DataFrame, nodes: DataFrame) -> DataFrame:

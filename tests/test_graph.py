@@ -269,3 +269,18 @@ def test_finished_jobs_leave_the_state_and_late_events_are_listed(spark, tmp_pat
     assert seen == [2, 2, 1, 2]
     batch = L.job_states(admitted.where("job_id <> 'a'"), list(jobs.FIELDS)).collect()
     assert {r.job_id: (r.status, r.stage, None if r.done is None else str(r.done), r.events) for r in batch} == {k: v[:4] for k, v in rows[2].items() if k != "a"}
+
+
+def test_edge_evidence_is_told_apart_before_it_is_paired(spark):
+    """Edges and quotes of a key make as many pairs as the result has rows; none of them goes through a shuffle."""
+    ends = [("d", f"e{i}", f"s{i % 2}", "o", "USES_CONCEPT") for i in range(6)] + [("d", "e0", "s0", "o", "USES_COMPONENT")]
+    edges = spark.createDataFrame(ends, "document_id string, edge_id string, source string, target string, label string")
+    nodes = spark.createDataFrame([("d", "s0", "Method", "A"), ("d", "s1", "Method", "B"), ("d", "o", "Concept", "C")], "document_id string, id string, label string, name string")
+    said = [("d", 0, i, p, "Method", s, "Concept", "C") for i, (p, s) in enumerate([("USES_CONCEPT", "A"), ("USES_COMPONENT", "A"), ("USES_CONCEPT", "B"), ("USES_CONCEPT", "A")])]
+    accepted = spark.createDataFrame(said, "document_id string, batch_id int, rel_id int, predicate string, subject_kind string, subject string, object_kind string, object string")
+    quotes = spark.createDataFrame([("d", 0, 0, "r", "same"), ("d", 0, 1, "r", "same"), ("d", 0, 2, "r", "same"), ("d", 0, 3, "r", None)], "document_id string, batch_id int, rel_id int, source_ref string, quote string")
+    found = R.attach_edge_evidence(edges, nodes, accepted, quotes)
+    assert sorted(map(str, found.collect())) == sorted(
+        f"Row(document_id='d', edge_id='e{i}', source_ref='r', quote={q!r})" for i in range(6) for q in (["same", None] if i % 2 == 0 else ["same"]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line for line in plan[: next(i for i, line in enumerate(plan) if "Join" in line)])
