@@ -199,7 +199,7 @@ def published_chunks(t):
     path, chunks = folder(t, "chunks"), chunk_rows(t)
     versions = [S.write_chunks(chunks.where("length(text) % 2 = 0"), path)]
     P.stage_load(t.spark, path, {"chunks": S.chunk_part(chunks.withColumn("text", F.lit("half")))})
-    versions += [S.write_chunks(chunks, path), S.write_chunks(chunks.repartition(3), path)]
+    versions += [S.write_chunks(chunks, path), S.write_chunks(chunks.repartition("chunk_id"), path)]
     found = P.read_part(t.spark, path, "chunks")
     return found.select("chunk_id", F.md5("text").alias("text"), "refs_json", F.lit(",".join(map(str, versions))).alias("versions"))
 

@@ -84,3 +84,13 @@ def test_damaged_lines_are_listed_with_their_place(spark, tmp_path):
     for r in found:
         content = (tmp_path / r.path.rsplit("/", 1)[1]).read_bytes()
         assert content[r.offset :].split(b"\n")[0].decode() == r.value
+
+
+def test_repeated_load_is_not_confined_to_a_few_tasks(spark, monkeypatch):
+    """The load that is repeated is dealt by key over the session's partitions, not over a fixed number of tasks."""
+    from attesta.plans import REGISTRY, registered, sourcing  # noqa: F401
+
+    loads, write = [], sourcing.S.write_chunks
+    monkeypatch.setattr(sourcing.S, "write_chunks", lambda chunks, path: loads.append(chunks) or write(chunks, path))
+    assert {r.versions for r in REGISTRY.queries["published_chunks"](spark, "/root/testdata/sf0.001").collect()} == {"0,1,None"}
+    assert "RepartitionByExpression [chunk_id" in loads[2]._jdf.queryExecution().optimizedPlan().toString()
