@@ -12,6 +12,7 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ SPACE = "▁"
 NEWLINE_FREE = re.compile(r" *[^ \n]+| +|\n")
 #: Penalty of a character without a piece, below the least score of an ordinary piece; it becomes its bytes.
 UNKNOWN = 10.0
+#: Ids whose texts are joined at once.
+JOINED = 1 << 20
 #: Segmentations remembered by a Python worker, which bounds its memory and changes no result, and their longest unit.
 REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 #: Longer units, and such with unknown characters, are segmented one by one.
@@ -66,6 +69,7 @@ class Vocabulary:
         self.hashes, self.ids, self.gains = (np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int32, float)))
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.slots, self.shift = _slots(self.hashes)
         self.lattice = lru_cache(10_000)(lambda unit: _backward_edges(unit, self))
         self.joint = lru_cache(20_000)(lambda parts, n: _paths(list(parts), self, n))
 
@@ -77,6 +81,36 @@ def _hash(s: str) -> int:
     return h
 
 
+def _slot(h: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return ((h * BASE) >> shift).astype(np.int64)
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+    """An open hash table of row numbers, an eighth of it filled at most: a taken slot sends a row to the next one."""
+    bits = max(4, (8 * len(hashes)).bit_length())
+    shift, slots = np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+    rows = np.arange(len(hashes))
+    at = _slot(hashes, shift)
+    while len(rows):
+        free = slots[at] < 0
+        slots[at[free]] = rows[free]
+        left = slots[at] != rows
+        rows, at = rows[left], (at[left] + 1) % len(slots)
+    return slots, shift
+
+
+def _found(h: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Row number of each hash, or -1."""
+    slot = _slot(h, v.shift)
+    at = v.slots[slot]
+    other = np.flatnonzero((at >= 0) & (v.hashes[at] != h))
+    while len(other):
+        slot[other] = (slot[other] + 1) % len(v.slots)
+        at[other] = v.slots[slot[other]]
+        other = other[(at[other] >= 0) & (v.hashes[at[other]] != h[other])]
+    return at
+
+
 def read_vocabulary(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
     """Pieces, scores and the ids of the 256 byte pieces of a model with byte fallback, read on the driver."""
     import sentencepiece
@@ -170,19 +204,21 @@ def segment_columns(units: list[str], v: Vocabulary) -> list[tuple[bytes, float]
         rows, h = np.arange(n), np.zeros(n, np.uint64)
         for e in range(s + 1, min(s + v.longest, size) + 1):
             h = h * BASE + codes[rows, e - 1]
-            at = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            known = v.hashes[at] == h
+            at = _found(h, v)
+            known = at >= 0
             if not known.all():
                 rows, h, at = rows[known], h[known], at[known]
                 if not len(rows):
                     break
             whole = v.ids[at] >= 0
             r, gain = (rows, v.gains[at]) if whole.all() else (rows[whole], v.gains[at[whole]])
-            score, other, old = best[s, r] + gain, second[s, r] + gain, best[e, r]
+            score, old = best[s, r] + gain, best[e, r]
             more = score > old
-            second[e, r] = np.where(more, np.maximum(old, other), np.maximum(second[e, r], score))
-            won = r[more]
-            best[e, won], start[e, won], piece[e, won] = score[more], s, v.ids[at[whole]][more]
+            won, lost = r[more], r[~more]
+            # A path that beats the best leaves it, or its own second best, as the second best.
+            second[e, won] = np.maximum(old[more], second[s, won] + gain[more])
+            second[e, lost] = np.maximum(second[e, lost], score[~more])
+            best[e, won], start[e, won], piece[e, won] = score[more], s, v.ids[at[whole][more]]
     path, at, every = np.full((n, size), -1, np.int32), np.full(n, size), np.arange(n)
     for column in range(size - 1, -1, -1):
         live = at > 0
@@ -286,11 +322,14 @@ def encode_units(whole: list[str], v: Vocabulary, n: int):
     except KeyError:
         remember(set(whole), v)
         found = list(map(v.memory.__getitem__, whole))
-    ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
     if not whole:
-        return ids, 0.0, []
-    gaps = np.array([f[1] for f in found])
-    loose = sorted(i for i in np.argsort(gaps, kind="stable")[: n - 1].tolist() if gaps[i] < inf)
+        return np.zeros(0, "<i4"), 0.0, []
+    blobs, gaps = zip(*found)
+    ids, gaps = np.frombuffer(b"".join(blobs), "<i4"), np.array(gaps)
+    near = np.arange(len(gaps))
+    if 1 < n < len(gaps):
+        near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2])
+    loose = sorted(i for i in near[np.argsort(gaps[near], kind="stable")[: n - 1]].tolist() if gaps[i] < inf)
     parts = [whole[i] for i in loose]
     short = sum(map(len, parts)) <= REMEMBERED_CHARS * n
     outcomes = (v.joint(tuple(parts), n) if short else _paths(parts, v, n)) if loose else [(0.0, [])]
@@ -298,7 +337,7 @@ def encode_units(whole: list[str], v: Vocabulary, n: int):
     score = float(_gains(v)[ids].sum()) + _unknown_gain(ids, v)
     if not loose:
         return ids, score, [(score, [])]
-    lengths = np.array([len(f[0]) for f in found]) // 4
+    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     offset = (np.cumsum(lengths) - lengths)[loose].tolist()
     first = outcomes[0][0]
     best = []
@@ -399,6 +438,30 @@ def encoded(docs: DataFrame, n: int = 4, path: str = MODEL, key: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, score double, nbest {NBEST_SQL}")
 
 
+def _plain(v) -> pa.Array:
+    """The text of each piece. A byte below 128 is a character of its own; longer characters are put together by `decode`."""
+    texts: list[str | None] = [p.replace(SPACE, " ") for p in v.pieces]
+    for b, i in enumerate(v.byte_ids):
+        texts[i] = chr(b) if b < 128 else None
+    return pa.array(texts, pa.string())
+
+
+def _decoded(lists: pa.ListArray, plain: pa.Array, v) -> pa.Array:
+    """`decode` of each list of ids, a column at a time where no byte is part of a longer character."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if len(lists) > 1 and sizes.sum() > JOINED:
+        half = len(lists) // 2
+        return pa.concat_arrays([_decoded(lists[:half], plain, v), _decoded(lists[half:], plain, v)])
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    # A list with a null joins to a null.
+    joined = pc.utf8_slice_codeunits(pc.binary_join(pa.ListArray.from_arrays(ends, plain.take(lists.flatten())), ""), 1)
+    open_ = pc.and_(pc.is_null(joined), pc.is_valid(lists))
+    if pc.any(open_).as_py():
+        found = pa.array([decode(x, v) for x in lists.filter(open_).to_pylist()], pa.string())
+        joined = pc.replace_with_mask(joined, open_, found)
+    return pc.if_else(pc.is_valid(lists), joined, pa.scalar(None, pa.string()))
+
+
 def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str = MODEL) -> DataFrame:
     """All rows and columns plus the text of `ids`; null ids give a null text, no ids an empty one."""
     shared = _shared(rows.sparkSession, path)
@@ -406,21 +469,11 @@ def decoded(rows: DataFrame, ids: str = "ids", into: str = "decoded", path: str
 
     @F.arrow_udf("string")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = _built(shared)
-        # A byte below 128 is a character of its own; longer characters are put together by `decode`.
-        plain: list[str | None] = [p.replace(SPACE, " ") for p in v.pieces]
-        for b, i in enumerate(v.byte_ids):
-            plain[i] = chr(b) if b < 128 else None
+        from types import SimpleNamespace
+
+        v = SimpleNamespace(**dict(zip(("pieces", "scores", "byte_ids"), shared[1].value)))
+        plain = _plain(v)
         for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                if x is None:
-                    out.append(None)
-                    continue
-                try:
-                    out.append("".join(map(plain.__getitem__, x))[1:])
-                except TypeError:  # bytes among the pieces
-                    out.append(decode(x, v))
-            yield pa.array(out, pa.string())
+            yield _decoded(batch, plain, v)
 
     return rows.withColumn(into, back(F.col(ids)))

@@ -89,3 +89,21 @@ def test_pieces(docs, empty):
     by = {r["doc_id"]: r for r in out}
     assert by[2]["ids"] is None and by[3]["ids"] == [] and by[3]["score"] == 0
     assert pieces.encoded(empty).count() == 0
+
+
+def test_ids_are_joined_to_texts_a_column_at_a_time():
+    """Lists of ids become texts without a Python object for every id; nulls, empty lists and bytes of longer characters as by `decode`."""
+    import numpy as np
+    import pyarrow as pa
+    from attesta.llm import pieces as P
+
+    v = P.Vocabulary(*P.read_vocabulary())
+    texts = ["plain words, twice plain", "", None, "\U000133e5 and \u2581 é\n\n x", "a  b", "\x00\x7f"]
+    done = [None if t is None else P.encode(t, v, 4)[0].tolist() for t in texts]
+    lists = pa.array(done * 2, pa.list_(pa.int32()))
+    assert P._decoded(lists, P._plain(v), v).to_pylist() == texts * 2
+    assert P._decoded(lists[1:5], P._plain(v), v).to_pylist() == texts[1:5]
+    h = np.concatenate([v.hashes, v.hashes + np.uint64(1)])
+    at = P._found(h, v)
+    assert (at[: len(v.hashes)] == np.arange(len(v.hashes))).all()
+    assert all((i < 0) != (x in set(v.hashes.tolist())) for i, x in zip(at[-50:].tolist(), h[-50:].tolist()))
