@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.functions.stage import stage
 from attesta.functions.text import normalized, strip
 
 RESP = ["response_id"]
@@ -94,6 +95,11 @@ def entity_reason(name: Column, description: Column, key: Column, source_key: Co
     return reason.when(name.rlike(STRUCTURE_V2), "document_reference")
 
 
+def _source_keys(responses: DataFrame) -> DataFrame:
+    """(response_id, source_key): texts are brought to their identity key once for all passes that look names up in them."""
+    return stage(responses.select(*RESP, normalized("source").alias("source_key")))
+
+
 def check_entities(entities: DataFrame, responses: DataFrame, version: int = 3) -> DataFrame:
     """Entities with `key` and `reason` (null when accepted).
 
@@ -101,7 +107,7 @@ def check_entities(entities: DataFrame, responses: DataFrame, version: int = 3)
     """
     keyed = _keyed(entities)
     repeated = keyed.groupBy(*RESP, "key").agg(F.count("*").alias("copies"))
-    source = responses.select(*RESP, normalized("source").alias("source_key"))
+    source = _source_keys(responses)
     rows = keyed.join(repeated, [*RESP, "key"]).join(source, RESP)
     rule = entity_reason(F.col("name"), F.col("description"), F.col("key"), F.col("source_key"), version)
     twice = F.when(F.col("copies") > 1, "ambiguous_duplicate_identity")
@@ -115,7 +121,7 @@ def inherited_entities(current: DataFrame, previous: DataFrame, responses: DataF
     A declaration is inherited unless the current pass names the identity at all; an
     accepted current identity of another type is a conflict.
     """
-    source = responses.select(*RESP, normalized("source").alias("source_key"))
+    source = _source_keys(responses)
     prior = _keyed(previous).join(source, RESP)
     ok = prior.where(entity_reason(F.col("name"), F.col("description"), F.col("key"), F.col("source_key"), 3).isNull()).drop("source_key")
     accepted = current.where("reason IS NULL").select(*RESP, "key", F.col("type").alias("current_type"))
@@ -131,14 +137,15 @@ def _joined(relations: DataFrame, names: DataFrame, responses: DataFrame) -> Dat
     rows = relations.withColumn("__s", normalized("source")).withColumn("__t", normalized("target"))
     rows = rows.join(known.select(*RESP, F.col("key").alias("__s"), F.col("e").alias("a")), [*RESP, "__s"], "left")
     rows = rows.join(known.select(*RESP, F.col("key").alias("__t"), F.col("e").alias("b")), [*RESP, "__t"], "left")
-    text = responses.select(
+    # A stage: both passes over the same responses read the same keys.
+    text = stage(responses.select(
         *RESP,
         F.col("source").alias("passage"),
         normalized("source").alias("passage_key"),
         normalized(F.replace("source", F.lit("\n\n"), F.lit("\x01"))).alias("paragraph_keys"),
         normalized(F.replace(F.regexp_extract("source", ROW_LABEL, 1), F.lit(DAGGER), F.lit(""))).alias("row_key"),
         normalized(F.regexp_extract("source", PAPER_TITLE, 1)).alias("title_key"),
-    )
+    ))
     rows = rows.join(text, RESP)
     return rows.withColumn("quote_key", normalized("evidence")).withColumn("subject_key", normalized(F.replace(F.col("a.name"), F.lit(DAGGER), F.lit(""))))
 

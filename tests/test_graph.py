@@ -284,3 +284,17 @@ def test_edge_evidence_is_told_apart_before_it_is_paired(spark):
         f"Row(document_id='d', edge_id='e{i}', source_ref='r', quote={q!r})" for i in range(6) for q in (["same", None] if i % 2 == 0 else ["same"]))
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Aggregate" in line for line in plan[: next(i for i, line in enumerate(plan) if "Join" in line)])
+
+
+def test_texts_are_normalized_once_for_both_passes(spark):
+    """Passes over the same responses begin at their identity keys; neither plan brings a text to its key again."""
+    responses = spark.createDataFrame([(1, "Alpha uses Beta and Gamma."), (2, "Beta alone.")], "response_id long, source string")
+    e = "response_id long, pos int, name string, type string, description string"
+    current = X.check_entities(spark.createDataFrame([(1, 0, "Alpha", "Tool", "d")], e), responses)
+    inherited, _ = X.inherited_entities(current, spark.createDataFrame([(1, 0, "ALPHA", "Tool", "d"), (1, 1, "beta", "Tool", "d"), (2, 0, "Gamma", "Tool", "d")], e), responses)
+    assert [(r.response_id, r.key) for r in inherited.collect()] == [(1, "beta")]
+    relations = spark.createDataFrame([(1, 0, "Alpha", "Alpha", "OTHER", "method", "d", "Alpha uses")], "response_id long, pos int, source string, target string, kind string, scope string, description string, evidence string")
+    checked = X.check_relations(relations, current.where("reason IS NULL"), responses)
+    for found in (current, inherited):
+        assert "AS source_key" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS passage_key" not in checked._jdf.queryExecution().optimizedPlan().toString()
