@@ -148,3 +148,28 @@ def test_the_ledger_reads_its_sources_from_a_stage(spark):
 
     plan = GP.ledger(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "source_record_id" not in plan
+
+
+def _section_grid(spark):
+    """Rows of sections and cells in two tables; sections end late, in ties, or nowhere."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(d, "#/tables/0", n, top, top + rng.choice([0, 1, 1, 1, 3, 9]) if rng.random() < 0.9 else None, rng.random() < 0.3) for d in "ab" for n, top in enumerate(rng.choices(range(40), k=90))]
+    rows += [("a", "#/tables/0", 90, None, 3, True), ("a", "#/tables/0", 91, None, None, False), ("c", "#/tables/0", 0, 5, 6, False), ("c", "#/tables/1", 0, 1, 2, True)]
+    return rows, spark.createDataFrame(rows, "document_id string, item_ref string, idx int, row_start int, row_end int, row_section boolean")
+
+
+def test_sections_are_found_in_one_pass_over_the_cells(spark, monkeypatch):
+    rows, cells = _section_grid(spark)
+    plan = U.row_sections(cells)._jdf.queryExecution().optimizedPlan().toString()
+    # No copies of a table's rows for every bucket, no join of cells.
+    assert "__salt" not in plan and "Join" not in plan
+    want = set()
+    for d, t, i, top, _, _ in rows:
+        past = [o for o in rows if o[:2] == (d, t) and o[5] and None not in (o[3], o[4], top) and o[4] <= top]
+        want |= {(d, f"{t}::cell:{i}", "row_sections", f"{t}::cell:{o[2]}", o[2]) for o in past if o[3] == max(p[3] for p in past)}
+    for block in (65_536, 7, 1):
+        monkeypatch.setattr(U.skew, "BLOCK", block)
+        found = [tuple(r) for r in U.row_sections(cells).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
