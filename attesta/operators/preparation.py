@@ -158,12 +158,24 @@ def table_grid_lines(cells: DataFrame) -> DataFrame:
 
 
 def missing_cells(cells: DataFrame, lines: DataFrame) -> DataFrame:
-    """Cells whose text does not appear in any line of their rows."""
-    spots = cells.where(has_text("text")).withColumn("row", F.explode(F.sequence("row_start", F.col("row_end") - 1)))
-    found = spots.join(lines, [*DOC, "item_ref", "row"]).where(F.contains(squash("line"), squash("text")))
-    return cells.where(has_text("text")).select(*DOC, "item_ref", "idx").join(
-        found.select(*DOC, "item_ref", "idx"), [*DOC, "item_ref", "idx"], "left_anti"
+    """Cells whose text does not appear in any line of their rows.
+
+    Rows of a cell without its text are found where the cells meet their lines, both shuffled by row. A cell of one row
+    is settled there; only such rows of taller cells are counted by cell (told apart by `idx`, its number in the table).
+    """
+    key = [*DOC, "item_ref"]
+    rows = F.sequence("row_start", F.col("row_end") - 1)
+    spots = cells.where(has_text("text")).select(
+        *key, "idx", F.coalesce(F.size(F.array_distinct(rows)), F.lit(0)).alias("height"), squash("text").alias("text"), F.explode_outer(rows).alias("row")
+    )
+    shown = lines.select(*[F.col(c).alias(f"l_{c}") for c in (*key, "row")], squash("line").alias("line"))
+    same = [F.col(c) == F.col(f"l_{c}") for c in (*key, "row")]
+    without = skew.shuffled_join(spots, shown, [*same, F.contains("line", "text")], "left_anti")
+    tall = (
+        without.where("height > 1").groupBy(*key, "idx", "height", "text").agg(F.count_distinct("row").alias("n"), F.count("*").alias("seen"))
+        .where("n = height").withColumn("copy", F.explode(F.expr("array_repeat(1, CAST(seen DIV height AS INT))")))
     )
+    return without.where("height <= 1").select(*key, "idx").unionByName(tall.select(*key, "idx"))
 
 
 def table_heads(cells: DataFrame, captions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from attesta.operators import checks as C
 from attesta.operators import chunks as K
 from attesta.operators import communities as M
 from attesta.operators import lexical as L
+from attesta.operators import preparation as P
 from attesta.operators import research as S
 from attesta.operators import units as U
 from attesta.sources import readers as R
@@ -173,3 +174,11 @@ def test_sections_are_found_in_one_pass_over_the_cells(spark, monkeypatch):
         monkeypatch.setattr(U.skew, "BLOCK", block)
         found = [tuple(r) for r in U.row_sections(cells).collect()]
         assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+
+
+def test_missing_cells_meet_their_lines_in_a_shuffle(spark, grid):
+    assert broadcasts(P.missing_cells(grid, P.table_grid_lines(grid.where("idx % 9 > 0")))) == 0
+    cells = [(0, 0, 1, "kept"), (1, 0, 1, "lost"), (2, 1, 3, "kept  low"), (3, 1, 3, "lost"), (4, 2, 3, " "), (5, 9, 10, "no line"), (6, 1, 4, "two"), (7, None, None, "nowhere"), (8, 0, 1, "lost"), (8, 0, 1, "lost"), (9, 1, 3, "gone"), (9, 1, 3, "gone")]
+    cells = spark.createDataFrame([("d", "t", *c) for c in cells], "document_id string, item_ref string, idx int, row_start int, row_end int, text string")
+    lines = spark.createDataFrame([("d", "t", 0, "| kept |"), ("d", "t", 0, "| two lines of a row |"), ("d", "t", 1, "| x |"), ("d", "t", 2, "| kept low |"), ("d", "t", 3, "| two |"), ("d", "u", 1, "| lost |")], "document_id string, item_ref string, row int, line string")
+    assert sorted(r.idx for r in P.missing_cells(cells, lines).collect()) == [1, 3, 5, 7, 8, 8, 9, 9]
