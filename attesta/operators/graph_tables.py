@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import skew
-from attesta.functions.lineage import cut
+from attesta.functions.lineage import written
 from attesta.functions.text import casefold, normalized
 
 # Names that are citations or document parts rather than entities.
@@ -322,39 +322,59 @@ def rebuild_gates(relations: DataFrame, assertions: DataFrame, names: DataFrame,
 
 
 # ---- components, local context ------------------------------------------
+def _pointers(e: DataFrame) -> DataFrame:
+    """(u, v, leaf) of each node with an edge: a leaf points at its only neighbour, a smaller one, others at themselves."""
+    least = e.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("top"))
+    above = e.select(F.col("v").alias("u"), F.lit(True).alias("above")).distinct()
+    leaf = F.col("above").isNull() & (F.col("v") == F.col("top"))
+    return skew.shuffled_join(least, above, ["u"], "full").select("u", F.when(leaf, F.col("v")).otherwise(F.col("u")).alias("v"), leaf.alias("leaf"))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): smallest id of each weakly connected component.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): every step is a
-    map-side-combined minimum per node plus one equi-join, and the number of rounds grows
-    with the logarithm of the graph, not with its diameter. Rounds go on until one changes nothing.
+    Edges lead from the larger to the smaller id. A leaf, whose only neighbour is a smaller one, is never the smallest of
+    its component, so it is set aside with that neighbour. What is left goes through a large-star and a small-star step
+    (Kiveris et al., 2014), until nothing is left: the number of rounds grows with the logarithm of the graph, not with its
+    diameter, and a finished star is in no later round. Every step is a map-side-combined minimum per node plus one equi-join.
     """
-    pairs = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).where("u <> v").distinct()
-
     def both(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         n = both(e) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = n.join(least, "u")
+        joined = skew.shuffled_join(n, least, ["u"])
         out = joined.where("v > u") if large else joined
         result = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             result = result.unionByName(least.select("u", F.col("m").alias("v")))
         return result.where("u <> v").distinct()
 
-    mark = None
-    while True:
-        pairs = cut(star(star(pairs, True), False))
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == mark:
-            break
-        mark = tuple(state)
-    roots = pairs.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.select("id").join(roots.withColumnRenamed("u", "id"), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component")
-    )
+    oriented = edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"))
+    rounds = [written(oriented, "links")]
+    while not rounds[-1].isEmpty():
+        e = rounds[-1]
+        core = written(skew.shuffled_join(e, _pointers(e).where("NOT leaf").select("u"), ["u"], "left_semi"), "links")
+        rounds.append(written(star(star(core, True), False), "links"))
+    found = None
+    for e in reversed(rounds[1:-1]):
+        found = _followed(_pointers(e).select("u", "v"), found)
+    at = nodes.select("id")
+    if len(rounds) > 1:
+        hung = _pointers(rounds[0]).select(F.col("u").alias("id"), F.col("v").alias("__v"))
+        at = skew.shuffled_join(at, hung, ["id"], "left").select("id", F.coalesce("__v", "id").alias("v"))
+    else:
+        at = at.withColumn("v", F.col("id"))
+    return _followed(at, found).withColumnRenamed("v", "component")
+
+
+def _followed(pointers: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Pointers whose ends are replaced by what was found for them in later rounds."""
+    if found is None:
+        return pointers
+    ends = found.select(F.col("u").alias("v"), F.col("v").alias("__end"))
+    return skew.shuffled_join(pointers, ends, ["v"], "left").select(pointers.columns[0], F.coalesce("__end", "v").alias("v"))
 
 
 def local_context(entity_hits: DataFrame, relations: DataFrame, entity_units: DataFrame, k_entities: int = 8, k_relations: int = 12, k_units: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from attesta.functions import products as PR
 from attesta.operators import checks as C
 from attesta.operators import chunks as K
 from attesta.operators import communities as M
+from attesta.operators import graph_tables as G
 from attesta.operators import lexical as L
 from attesta.operators import preparation as P
 from attesta.operators import research as S
@@ -182,3 +183,28 @@ def test_missing_cells_meet_their_lines_in_a_shuffle(spark, grid):
     cells = spark.createDataFrame([("d", "t", *c) for c in cells], "document_id string, item_ref string, idx int, row_start int, row_end int, text string")
     lines = spark.createDataFrame([("d", "t", 0, "| kept |"), ("d", "t", 0, "| two lines of a row |"), ("d", "t", 1, "| x |"), ("d", "t", 2, "| kept low |"), ("d", "t", 3, "| two |"), ("d", "u", 1, "| lost |")], "document_id string, item_ref string, row int, line string")
     assert sorted(r.idx for r in P.missing_cells(cells, lines).collect()) == [1, 3, 5, 7, 8, 8, 9, 9]
+
+
+def test_finished_stars_are_in_no_later_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(G, "written", lambda df, name, write=G.written: rounds.append(write(df, name)) or rounds[-1])
+    edges = [(f"o{c}-{i}", f"c{c}") for c in range(5) for i in range(40)] + [(f"s{i}", f"s{i + 1}") for i in range(8)]
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for e in edges for x in e})], "id string")
+    found = {r.id: r.component for r in G.connected_components(nodes, spark.createDataFrame(edges, "source string, target string")).collect()}
+    assert found == {x: f"c{x[1]}" if x[0] in "oc" else "s0" for x in found} and len(found) == 5 * 41 + 9
+    sizes = [r.count() for r in rounds]
+    assert sizes[0] == 208 and max(sizes[1:]) < 20 and sizes[-1] == 0
+
+
+def test_components_of_any_graph(spark):
+    import random
+
+    rng = random.Random(9)
+    for n, m in ((60, 20), (60, 45), (60, 70), (8, 60), (5, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(None, 1), (2, None)]
+        up = list(range(n))
+        for _ in range(n):
+            for a, b in edges[:m]:
+                up[a] = up[b] = min(up[a], up[b])
+        found = G.connected_components(spark.range(n), spark.createDataFrame(edges, "source long, target long"))
+        assert sorted(tuple(r) for r in found.select("id", "component").collect()) == list(enumerate(up))
