@@ -87,3 +87,37 @@ def test_edges(spark):
     got = {(r["doc_id"], r["component_id"]) for r in shingle_join.jaccard_components(docs, empty=True).collect()}
     assert got == {(1, 1), (None, 1), (2, 2), (3, 2), (4, 4)}
     assert shingle_join.first_of_each(docs.where("false")).count() == 0
+
+
+def test_near_copies_that_lost_their_equal_lines_are_found(spark, tmp_path):
+    """The line stage leaves only the altered lines of a near copy, which is still dropped; own lines keep their document."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    texts, altered = {}, []
+    for i in range(12):
+        of = [[word() for _ in range(25)] for _ in range(8)]
+        texts[i] = "\n".join(" ".join(x) for x in of)
+        if i < 8:
+            copy = [list(x) for x in of]
+            for k in range(1 + i % 3):
+                copy[k][12] = word()
+            texts[100 + i] = "\n".join(" ".join(x) for x in copy)
+            altered.append(100 + i)
+        else:
+            texts[100 + i] = texts[i] + "\n" + " ".join(word() for _ in range(20))
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(None, texts[3] + "\nmore of it", "en", "s", 0), (500, "", "en", "s", 0)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    read = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IS NOT NULL")
+    left = corpus_pipeline.line_dedup(spark, read, folder).cache()
+    sets = {r["doc_id"]: shingles(r["text"]) for r in left.collect()}
+    assert all(x in sets and jaccard(sets[x], sets[x - 100]) < 0.8 <= jaccard(shingles(texts[x]), shingles(texts[x - 100])) for x in altered)
+    out = corpus_pipeline.near_duplicates(spark, left, folder)
+    assert out.columns == left.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert set(got) == set(sets) - set(altered) and {108, 109, 110, 111} <= set(got)
+    assert all(got[i] == r for i, r in {r["doc_id"]: r["text"] for r in left.collect()}.items() if i in got)
+    # Nothing was taken out: the same as without the texts as they were.
+    named = spark.read.parquet(f"{folder}/documents.parquet")
+    assert sorted(map(str, corpus_pipeline.near_duplicates(spark, named, folder).collect())) == sorted(map(str, corpus_pipeline.near_duplicates(spark, named, "").collect()))
+    assert corpus_pipeline.near_duplicates(spark, named.where("false"), folder).count() == 0
