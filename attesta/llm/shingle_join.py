@@ -426,14 +426,6 @@ def linked_sets(sets: DataFrame, least: int = LEAST, block_bits: int = BLOCK_BIT
     return joined(roots, links).select("id", "root")
 
 
-def _least_of_each(own: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, root, component_id): sets that have a name under their root, and the least doc_id of all that hold a set of that root."""
-    least_of = own.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
-    least_of = cut(least_of.select("id", F.coalesce("root", "id").alias("root"), "least"))
-    named = least_of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return least_of.select("id", "root").join(named, "root")
-
-
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, block_bits: int = BLOCK_BITS, empty: bool = False
 ) -> DataFrame:
@@ -451,67 +443,60 @@ def jaccard_components(
     own = cut(own.withColumn("id", F.coalesce("id", F.unhex(F.lit("00")))) if empty else own)
     size = texts(docs, key, text).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = linked_sets(cut(candidates(hashed, size, width, least)), least, block_bits)
-    return own.join(_least_of_each(own, found).drop("root"), "id", "left").select(
+    least_of = own.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("least")).join(found, "id", "left")
+    least_of = cut(least_of.select("id", F.coalesce("root", "id").alias("root"), "least"))
+    named = least_of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(least_of.select("id", "root").join(named, "root").drop("root"), "id", "left").select(
         "doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def changed_texts(docs: DataFrame, before: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text): texts of `before` that differ from those of `docs` under the same key, where either table has that key once."""
-    once = lambda d, h: texts(d, key, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.first(F.unhex(F.md5(F.col("text").cast("binary")))).alias(h)).where("n = 1").drop("n")
-    ids = cut(once(docs, "h_now").join(once(before, "h_then"), "doc_id").where("h_now <> h_then").select("doc_id"))
-    return texts(before, key, text).join(broadcast_if_small(ids), "doc_id", "left_semi")
+def changed_keys(docs: DataFrame, before: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id) whose text differs between the tables, where either has that key once."""
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    once = lambda d, h: texts(d, key, text).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.first(digest).alias(h)).where("n = 1").drop("n")
+    return once(docs, "h_now").join(once(before, "h_then"), "doc_id").where("h_now <> h_then").select("doc_id")
 
 
-def _own_left(members: DataFrame, width: int) -> DataFrame:
-    """(doc_id) of changed texts of which nothing that is left stands in another text of their component.
+def _own_left(now: DataFrame, then: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """(doc_id) of the rows of `now` that have no shingle in common with another row of `then` in their component.
 
-    members(component_id, doc_id, w, n_sets, now): the words of every text; n_sets > 1 where a text was changed, `now` marks the text as it is.
+    now(doc_id, w), then(doc_id, w): words of texts; groups(doc_id, component_id).
     """
     shingle = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, width)))
-    tokens = members.where("size(w) > 0").select("component_id", "doc_id", "n_sets", "now", F.explode(F.array_distinct(shingle)).alias("h"))
-    # Texts as they were, or as they are where nothing changed, are held against what is left of the others.
-    holders = tokens.where("n_sets = 1 OR NOT now").groupBy("component_id", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
-    left = tokens.where("n_sets > 1 AND now").join(holders, ["component_id", "h"], "left")
-    elsewhere = F.coalesce((F.col("a") != F.col("doc_id")) | (F.col("b") != F.col("doc_id")), F.lit(False)) | F.coalesce(F.col("unnamed") > 0, F.lit(False))
-    return left.groupBy("doc_id").agg(F.bool_or(elsewhere).alias("shared")).where("NOT shared").select("doc_id")
+    named = broadcast_if_small(groups.withColumnRenamed("doc_id", "of"))
+
+    def tokens(rows: DataFrame) -> DataFrame:
+        held = rows.where("size(w) > 0").join(named, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
+        return held.select("component_id", "doc_id", F.explode(F.array_distinct(shingle)).alias("h"))
+
+    holders = tokens(then).groupBy("component_id", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
+    other = (F.col("a") != F.col("doc_id")) | (F.col("b") != F.col("doc_id")) | (F.col("unnamed") > 0)
+    left = tokens(now).join(holders, ["component_id", "h"], "left").groupBy("doc_id").agg(F.bool_or(F.coalesce(other, F.lit(False))).alias("shared"))
+    return left.where("NOT shared").select("doc_id")
 
 
 def first_by_both(docs: DataFrame, before: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """`first_of_each`, where a document counts as a copy by its text in `docs` or by its text in `before`.
+    """`first_of_each`, where documents are copies by their texts in `docs` or by their texts in `before`.
 
-    A near copy of which equal lines were taken out is no longer like its original, though it was; texts as they were are sets of
-    their own in the same join, and both sets of a document are in one component. A document of whose lines some were taken stays if
-    nothing that is left of it (no shingle) stands in another document of its component: that is its own. Rows whose key is null
-    or repeated are compared by their text in `docs` alone.
+    A near copy of which equal lines were taken out is no longer like its original, though it was. Both joins are made for
+    themselves: in one join every changed text would be held against what it was. A document of whose lines some were taken
+    stays if nothing that is left of it (no shingle) stood in another document of its component: that is its own. Rows whose key
+    is null or repeated are compared by their text in `docs`.
     """
-    small_batches(docs.sparkSession)
-    now, then = texts(docs, key, text), changed_texts(docs, before, key, text)
-    both = now.withColumn("now", F.lit(True)).unionByName(then.withColumn("now", F.lit(False)))
-    split = both.select("doc_id", "now", words(lower_ascii(F.col("text"))).alias("s"))
-    hashed = split.select("doc_id", "now", F.unhex(F.md5(F.concat_ws(" ", "s").cast("binary"))).alias("id"), F.transform("s", lambda w: F.xxhash64(w)).alias("w"))
-    empty = F.unhex(F.lit("00"))
-    own = cut(hashed.select("doc_id", "now", F.when(F.size("w") > 0, F.col("id")).otherwise(empty).alias("id")))
-    size = both.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = linked_sets(cut(candidates(hashed, size, width, least)), least)
-    # What is left blank has no words by which it could be linked.
-    twice = own.where("NOT now").select("doc_id").join(own.where(F.col("id") != empty), "doc_id").join(found, "id", "left").groupBy("doc_id").agg(
-        F.min(F.coalesce("root", "id")).alias("a"), F.max(F.coalesce("root", "id")).alias("b")
-    )
-    up = components(twice.where("a <> b")).select(F.col("id").alias("root"), F.col("root").alias("up"))
-    sets = own.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    merged = sets.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-    named = cut(own.join(_least_of_each(own, merged).drop("root"), "id"))
-    counted = named.groupBy("doc_id").agg(F.count_if(~F.col("now")).alias("earlier"))
-    copies = counted.where("earlier > 0").join(named.where("now"), "doc_id").where("NOT doc_id <=> component_id").select("doc_id", "component_id")
-    groups = copies.select("component_id").distinct()
-    by = counted.select(F.col("doc_id").alias("by"), (F.col("earlier") + 1).alias("n_sets"))
-    in_groups = named.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias("of"), F.col("now").alias("as"), F.col("id").alias("set"), "component_id").distinct()
-    asked = cut(in_groups.join(by, F.col("of").eqNullSafe(F.col("by"))).drop("by"))
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("now") == F.col("as")) & (F.col("id") == F.col("set"))
-    members = hashed.join(broadcast_if_small(asked), same).select("doc_id", "now", "w", "component_id", "n_sets")
-    kept = named.where("now AND doc_id <=> component_id").select("doc_id").unionByName(_own_left(members, width)).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["doc_id"]), "left_semi")
+    now = texts(docs, key, text)
+    first = cut(jaccard_components(now, "doc_id", "text", width, least, empty=True).where("doc_id <=> component_id").select("doc_id").distinct())
+    ids = cut(changed_keys(docs, before, key, text))
+    changed = broadcast_if_small(ids)
+    then = now.join(changed, "doc_id", "left_anti").unionByName(texts(before, key, text).join(changed, "doc_id", "left_semi"))
+    linked = cut(jaccard_components(then, "doc_id", "text", width, least, empty=True).select("doc_id", "component_id").distinct())
+    copies = linked.join(ids, "doc_id").where("doc_id <> component_id OR component_id IS NULL").select("doc_id", "component_id")
+    groups = cut(linked.join(copies.select("component_id").distinct(), "component_id", "left_semi").select("doc_id", "component_id"))
+    split = lambda d: d.select("doc_id", words(lower_ascii(F.col("text"))).alias("w"))
+    own = _own_left(split(now.join(broadcast_if_small(copies.select("doc_id")), "doc_id", "left_semi")), split(then), groups, width)
+    second = linked.where("doc_id <=> component_id").select("doc_id").unionByName(own).distinct()
+    both = first.withColumnRenamed("doc_id", "of").join(second, F.col("of").eqNullSafe(F.col("doc_id"))).select(F.col("of"))
+    return docs.join(both, docs[key].eqNullSafe(both["of"]), "left_semi")
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST) -> DataFrame:
