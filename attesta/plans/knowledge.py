@@ -453,7 +453,8 @@ def study_anchors(t):
     for c, k in (("row_end", "int"), ("col_start", "int"), ("col_end", "int"), ("issues", "array<string>")):
         units = units.withColumn(c, F.lit(None).cast(k))
     labels = doc_units(t).select("document_id", "evidence_id", F.lit("Table 1").alias("table_label"))
-    return stage(S.node_anchors(study_nodes(t), evidence, units, empty, labels))
+    groups, refs = S.node_anchors(study_nodes(t), evidence, units, empty, labels)
+    return stage(groups), stage(refs)
 
 
 def assessed(t):

@@ -1,9 +1,12 @@
 """Plans that must not send what grows with the input through the driver or through one task."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import products as PR
+from attesta.functions.text import contains_word
 from attesta.operators import checks as C
 from attesta.operators import chunks as K
 from attesta.operators import communities as M
@@ -46,6 +49,16 @@ def test_quotes_meet_their_units_in_a_shuffle(spark, grid):
     assert found.where("quote_id <> evidence_id").count() == 0 and found.count() == 200 + 190
 
 
+def test_short_quotes_pass_a_very_long_text_once(spark):
+    """Runs of characters are taken in one pass; by their numbers they would cost the square of a text's length."""
+    units = spark.createDataFrame([("d", "long", "é\U0001f600 ab " * 100_000 + "zebra crossing"), ("d", "other", "a zebra crossing here"), ("d", "no", "zebra  line")], "document_id string, evidence_id string, text string")
+    quotes = spark.createDataFrame([("d", "q", "Zebra crossing", None), ("d", "s", "\U0001f600 ab é\U0001f600 ab", None)], "document_id string, quote_id string, quote string, source_ref string")
+    began = time.perf_counter()
+    got = {(r.quote_id, r.evidence_id) for r in U.locate_quotes(quotes.where("quote_id = 'q'"), units).collect()}
+    assert got == {("q", "long"), ("q", "other")} and time.perf_counter() - began < 60
+    assert {(r.quote_id, r.evidence_id) for r in U.locate_quotes(quotes.where("quote_id = 's'"), units, short=4).collect()} == {("s", "long")}
+
+
 def test_records_meet_their_evidence_in_a_shuffle(spark, grid):
     place = "array<struct<page_no:int,bbox:string,granularity:string,charspan:array<int>>>"
     units = grid.select("document_id", U.cell_id("item_ref", "idx").alias("evidence_id"), "item_ref", F.lit("table_cell").alias("kind"), "text", F.lit(None).cast(place).alias("locations"),
@@ -99,6 +112,12 @@ def test_names_with_a_common_first_word_meet_few_texts(spark):
         got.setdefault(r.id, set()).add(r.ref)
     assert got == {**{str(i): {f"t{i}"} for i in range(40)}, "a": {t[1] for t in texts}, "b": {t[1] for t in texts}}
     bodies = units.select("document_id", F.col("evidence_id").alias("ref"), F.lower("text").alias("body"))
+    # Names of one or two words are settled by postings; signs of a name's ends must stand beside its words, too.
+    signs = spark.createDataFrame([("d", k) for k in ("odd one;", "the end-", "(the", ", (the) odd", "one; the", "-1", "one ;")], "document_id string, k string")
+    bodies = units.select("document_id", F.col("evidence_id").alias("ref"), F.lower("text").alias("body"))
+    for some in (signs, named.where("id < '9z'").select("document_id", F.lower("name").alias("k"))):
+        want = some.join(bodies, "document_id").where(contains_word(F.col("body"), F.col("k"))).select("k", "ref")
+        assert sorted(map(tuple, S.short_mentions(some, bodies).select("k", "ref").collect())) == sorted(map(tuple, want.collect()))
     assert S.mention_candidates(named.where("id < '9z'").select("document_id", F.lower("name").alias("k")), bodies).count() == 40
 
 
